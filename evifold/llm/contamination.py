@@ -125,7 +125,7 @@ def tree_sum(windows: DataFrame, partial: Callable[[np.ndarray], np.ndarray], sh
         yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["part"])
 
     parts = windows.select("ids").mapInArrow(fold, "part binary").rdd.map(lambda r: np.frombuffer(r[0]).reshape(shape))
-    return parts.treeAggregate(np.zeros(shape), np.add, np.add, depth=2)
+    return parts.treeAggregate(np.zeros(shape), np.add, np.add, depth=3)
 
 
 def _times(ids: np.ndarray, weights: np.ndarray, basis: np.ndarray) -> np.ndarray:
