@@ -7,6 +7,7 @@ from difflib import SequenceMatcher
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def content_key(text: Column) -> Column:
@@ -107,7 +108,7 @@ def near_pairs(left: DataFrame, right: DataFrame, left_id: str, right_id: str, t
     return scored.select(F.col("_a").alias(left_id), F.col("_b").alias(right_id), jaccard.alias("jaccard")).where(F.col("jaccard") >= least)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Similarity of two texts by longest matching blocks; NULL counts as empty, two empty texts give 1."""
     return pd.Series([SequenceMatcher(None, x or "", y or "", autojunk=False).ratio() for x, y in zip(a, b)])
