@@ -26,8 +26,10 @@ RUN, WIDTH, STRIDE = 13, 16, 4
 RANK, OVERSAMPLING, ROUNDS, SEED = 128, 16, 3, 20_261_126
 #: Exponent of the inverse document frequency; under 1 so that a rare word beside a shared run doesn't hide it.
 DAMPING = 0.5
-COSINE = 0.72
-LCS_LEAST, NEAR_LEAST, KEYS, KEYS_LEAST = 12, 2, 4, 3
+COSINE = 0.62
+LCS_LEAST, NEAR_LEAST, KEYS, KEYS_LEAST = 12, 2, 16, 8
+#: Character of words that the pool doesn't have; numbers of words begin at 1.
+UNKNOWN = "\0"
 #: Most passages of the pool that are broadcast at a time (about 512 bytes each); more are taken in blocks.
 BLOCK = 40_000
 #: Most rows of the pool; it is a benchmark, read to the driver.
@@ -220,7 +222,7 @@ def find_leaks(
 
     ``kind`` is 'verbatim' where a text and the problem or accepted answer share at least 13 words in a row, else, with
     ``paraphrases``, 'paraphrase' where at least two passages share a subsequence of 12 of their 16 words with it
-    and at least three of its four rarest words stand in them. ``run_words`` counts at most the 16 words of a passage.
+    and at least half of its 16 rarest words stand in them. ``run_words`` counts at most the 16 words of a passage.
     NULL and empty texts, texts under 13 words and an empty pool or corpus give no rows; rows that stand twice give
     one. Names of other columns don't matter. The pool is read to the driver, up to MAX_POOL rows.
     """
@@ -270,8 +272,8 @@ def _candidates(windows: DataFrame, pool: Pool, block: slice, weights: np.ndarra
                 keys, where = np.unique(rows.astype(np.int64) * len(passages) + owner[columns], return_inverse=True)
                 best = np.zeros(len(keys))
                 np.maximum.at(best, where, near[rows, columns])
-                text = ["".join(_char(t) if t else " " for t in row) for row in ids.tolist()]
-                grams = [[g for k in range(WIDTH - RUN + 1) if " " not in (g := t[k : k + RUN])] for t in text]
+                text = ["".join(map(_char, row)) for row in ids.tolist()]
+                grams = [[g for k in range(WIDTH - RUN + 1) if UNKNOWN not in (g := t[k : k + RUN])] for t in text]
                 for key, c in zip(keys.tolist(), best.tolist()):
                     row, p = divmod(key, len(passages))
                     t, held = text[row], passages[p]
@@ -282,7 +284,7 @@ def _candidates(windows: DataFrame, pool: Pool, block: slice, weights: np.ndarra
                             break
                     if run:
                         for n in range(WIDTH, RUN, -1):
-                            if any(" " not in (g := t[k : k + n]) and g in held for k in range(WIDTH - n + 1)):
+                            if any(UNKNOWN not in (g := t[k : k + n]) and g in held for k in range(WIDTH - n + 1)):
                                 run = n
                                 break
                     elif not paraphrases:

@@ -11,7 +11,7 @@ pair of encodings whose decoding removes all such places is taken.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import pyarrow as pa
@@ -93,9 +93,10 @@ PLACES = {
 #: Places that count from the second on.
 WEAK = re.compile("[ЂЃѓЉЊЌЋЏђљњќћџЎЈҐЅѕ]|[а-яё][А-Я]{2,}[а-я]?|[А-Я][а-я]?[°±µ‚ѓ„…†‡€‰‹‘’“”•–—™›¤¦§©«¬®·№»](?=[РСГВ])|(?:[ÐÑ][^\\s]){3}")
 _RARE_SERBIAN = 3
+_INVERTED, _CAPITALS, _SMALLS = re.compile("(?<![А-Яа-яё])[а-яё][А-Я]{3,}"), re.compile("[А-Я]"), re.compile("[а-яё]")
 _HAN_RUN = re.compile(f"[{_HAN}]+[a-z]?")
 _SYMBOL_RUN = re.compile("[À-ÿ]{4,}")
-_SNIP = re.compile("[ -~\n]?[^\x00-\x7f]+[^\n]?[^\n]?")
+_SNIP = re.compile("[ -~\n]?[^\x00-\x7f]+[!-~]{0,2}")
 _UNICODE_LETTERS = re.compile("[A-Za-z]")
 #: The automata that are run on every text with characters beyond ASCII; the others only follow other evidence.
 _ALWAYS = ["cp1252", "cp437", "cp1250", "iso8859_2", "cp1251"]
@@ -137,7 +138,7 @@ def evidence(text: str) -> str | None:
         for m in utf8_automaton(codec).finditer(t):
             if _sound_span(t, m, codec):
                 return codec
-    if len(WEAK.findall(t)) >= _RARE_SERBIAN:
+    if len(WEAK.findall(t)) >= _RARE_SERBIAN or _inverted_case(t):
         return "weak"
     for m in _HAN_RUN.finditer(t):
         run = m.group()
@@ -151,6 +152,11 @@ def evidence(text: str) -> str | None:
     return None
 
 
+def _inverted_case(t: str) -> bool:
+    """Whether Cyrillic words begin small and go on in capitals, as KOI8-R does when it is read as cp1251."""
+    return bool(_INVERTED.search(t)) and len(_CAPITALS.findall(t)) > 2 * len(_SMALLS.findall(t))
+
+
 def _wide_damage(run: str, t: str, m: re.Match[str]) -> bool:
     """Whether a run of Han characters is UTF-8 that was read as a double-byte encoding."""
     han = run.rstrip("abcdefghijklmnopqrstuvwxyz")
@@ -253,33 +259,58 @@ def damage(text: str) -> int:
     weak = len(WEAK.findall(t))
     n += weak if weak >= _RARE_SERBIAN else 0
     n += sum(_wide_damage(m.group(), t, m) for m in _HAN_RUN.finditer(t))
+    n += len(_CAPITALS.findall(t)) if _inverted_case(t) else 0
     return n + sum(len(r) for r in _SYMBOL_RUN.findall(t))
 
 
+def _rank(text: str) -> tuple[int, int]:
+    """Order of attempts: least damage, then most usual characters."""
+    return damage(text), -len(_PLAUSIBLE.findall(text))
+
+
+def _times(step: Callable[[str], str], n: int) -> Callable[[str], str]:
+    """``step`` made ``n`` times, for text that was damaged as often in the same way."""
+
+    def run(t: str) -> str:
+        for _ in range(n):
+            t = step(t)
+        return t
+
+    return run
+
+
+@lru_cache(maxsize=1)
+def _steps() -> list[Callable[[str], str]]:
+    """All ways to decode anew, by encoding: only spans that are damage by themselves, or all well-formed ones; once or more often."""
+    spans = [lambda t, c=c, sure=sure: _decode_spans(t, c, sure) for sure in (False, True) for c in TAKEN_FOR]
+    return [_times(step, n) for n in range(1, ROUNDS + 1) for step in spans] + [lambda t, c=c: _decode_wide(t, c) for c in TAKEN_FOR_WIDE]
+
+
 def restore(text: str) -> str:
-    """``text`` with its damaged spans decoded anew; equal to ``text`` where nothing could be restored."""
-    best, left = text, damage(text)
+    """``text`` with its damaged spans decoded anew; equal to ``text`` where nothing could be restored.
+
+    Attempts are compared on the characters beyond ASCII and their neighbours only; the best is then made on the text.
+    """
+    if text.isascii() or not damage(text):
+        return text
+    best = text
     for _ in range(ROUNDS):
-        before = best
-        for codec in TAKEN_FOR:
-            tried = _decode_spans(best, codec, sure=False)
-            if tried != best and (now := damage(tried)) < left:
-                best, left = tried, now
-        if left and any(c > "⺀" for c in best):
-            for codec in TAKEN_FOR_WIDE:
-                tried = _decode_wide(best, codec)
-                if tried != best and (now := damage(tried)) < left:
-                    best, left = tried, now
-        if best == before:
+        sample = " ".join(_SNIP.findall(best))
+        now = _rank(sample)
+        ranked = [(_rank(tried), k) for k, step in enumerate(_steps()) if (tried := step(sample)) != sample]
+        if not ranked or min(ranked)[0][0] >= now[0]:
             break
-    c1 = re.sub("[\x80-\x9f]", lambda m: _chars("cp1252")[ord(m.group())], best)
-    if c1 != best and (now := damage(c1)) < left:
-        best, left = c1, now
+        best = _steps()[min(ranked)[1]](best)
+    left = damage(best)
+    if left and (c1 := re.sub("[\x80-\x9f]", lambda m: _chars("cp1252")[ord(m.group())], best)) != best and damage(c1) < left:
+        best, left = c1, damage(c1)
     if left:
-        tries = dict.fromkeys(_recode(x, w, t, k) for x in dict.fromkeys((best, text)) for w, t in SINGLE_PAIRS for k in (False, True))
-        found = [(damage(tried), -len(_PLAUSIBLE.findall(tried)), k, tried) for k, tried in enumerate(tries)]
-        if min(found)[0] < left:
-            best = min(found)[3]
+        ways = [(x, w, t, k) for x in dict.fromkeys((best, text)) for w, t in SINGLE_PAIRS for k in (False, True)]
+        samples = {x: " ".join(_SNIP.findall(x)) for x in (best, text)}
+        ranked = [(_rank(_recode(samples[x], w, t, k)), i) for i, (x, w, t, k) in enumerate(ways)]
+        if min(ranked)[0][0] < left:
+            tried = _recode(*ways[min(ranked)[1]])
+            best = tried if damage(tried) < left else best
     return best
 
 
