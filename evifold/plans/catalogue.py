@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("ranking_queries", "event_queries", "evaluation_queries", "text_queries", "passage_queries", "trace_queries")
+MODULES = ("ranking_queries", "event_queries", "evaluation_queries", "text_queries", "passage_queries", "trace_queries", "selection_queries")
 
 
 def _all(name: str) -> dict:
