@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evifold.plans.checkpoints import cut_lineage
+from evifold.sources.tables import spread
 
 TOKEN = r"[a-z0-9]+|[一-鿿]"
 #: Largest query set, in distinct (query, term) rows, that is sent to all tasks; larger ones are joined by term.
@@ -21,9 +22,15 @@ def distinct_tokens(text: Column) -> Column:
     return F.array_distinct(tokens(text))
 
 
-def term_counts(docs: DataFrame, id_col: str, text: Column) -> DataFrame:
-    """(id, term, tf, len): term frequencies and the length in tokens of each document; documents without tokens give no row."""
+def term_counts(docs: DataFrame, id_col: str, text: Column, wanted: DataFrame | None = None) -> DataFrame:
+    """(id, term, tf, len): term frequencies and the length in tokens of each document; documents without tokens give no row.
+
+    ``wanted`` (term), a small table, restricts the terms before anything is shuffled; lengths still count all tokens,
+    and the rows of a document stay together, so that later sums per document need no shuffle.
+    """
     listed = docs.select(F.col(id_col), tokens(text).alias("_t")).select(id_col, F.size("_t").alias("len"), F.explode("_t").alias("term"))
+    if wanted is not None:
+        listed = listed.join(F.broadcast(wanted), "term", "left_semi").repartition(id_col)
     return listed.groupBy(id_col, "term", "len").agg(F.count(F.lit(1)).alias("tf"))
 
 
@@ -32,22 +39,22 @@ def bm25(docs: DataFrame, queries: DataFrame, id_col: str, text: Column, query_i
 
     Document frequencies and the average length are those of all documents, also of empty ones. Query tokens keep their
     repeats unless ``distinct_query``. Queries or documents without tokens give no row; NULL texts are empty. The query
-    side goes to all tasks only while it has at most ``BROADCAST_TERMS`` rows, which is counted first.
+    side goes to all tasks only while it has at most ``BROADCAST_TERMS`` rows, which is counted first; beyond that the
+    counts are joined to it by term. The postings of query terms are written once and read for both uses.
     """
-    counts = term_counts(docs, id_col, text)
-    lengths = docs.select(F.size(tokens(text)).alias("len")).agg(F.count(F.lit(1)).alias("n_docs"), F.avg("len").alias("avg_len"))
+    queries, query_text = queries.select(F.col(query_id), query_text.alias("_q")), F.col("_q")
+    docs, text = spread(docs.select(F.col(id_col), text.alias("_text"))), F.col("_text")
+    lengths = docs.agg(F.count(F.lit(1)).alias("n_docs"), F.avg(F.coalesce(F.regexp_count(F.lower(text), F.lit(TOKEN)), F.lit(0))).alias("avg_len"))
     asked = queries.select(F.col(query_id).alias("query_id"), F.explode(tokens(query_text)).alias("term"))
-    asked = asked.groupBy("query_id", "term").agg(F.lit(1).cast("bigint").alias("qtf") if distinct_query else F.count(F.lit(1)).alias("qtf"))
+    asked = cut_lineage(asked.groupBy("query_id", "term").agg(F.lit(1).cast("bigint").alias("qtf") if distinct_query else F.count(F.lit(1)).alias("qtf")))
     wanted = asked.select("term").distinct()
-    asked = cut_lineage(asked)
-    if asked.count() <= BROADCAST_TERMS:
-        asked, wanted = F.broadcast(asked), F.broadcast(asked.select("term").distinct())
-    hits = counts.join(wanted, "term", "left_semi")
+    few = asked.count() <= BROADCAST_TERMS
+    hits = cut_lineage(term_counts(docs, id_col, text, wanted) if few else term_counts(docs, id_col, text).join(wanted, "term", "left_semi"))
     frequencies = hits.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weights = asked.join(frequencies, "term").crossJoin(F.broadcast(lengths)).select("query_id", "term", "avg_len", (F.col("qtf") * idf).alias("w"))
     part = F.col("w") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.greatest(F.lit(1.0), F.col("avg_len"))))
-    scored = hits.join(weights, "term").select("query_id", id_col, part.alias("part"))
+    scored = hits.join(F.broadcast(weights) if few else weights, "term").select("query_id", id_col, part.alias("part"))
     return scored.groupBy("query_id", id_col).agg(F.round(F.sum("part"), 6).alias("score"))
 
 

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from evifold.functions.text import computed_once
 from evifold.operators import curation as U
 from evifold.operators import textrules as T
-from evifold.sources.tables import table
+from evifold.sources.tables import spread, table
 
 
 def _docs(spark: SparkSession, d: str) -> DataFrame:
@@ -33,7 +34,8 @@ def pii_redact(spark: SparkSession, d: str) -> DataFrame:
 
 
 def table_signature(spark: SparkSession, d: str) -> DataFrame:
-    return _docs(spark, d).select("doc_id", *(c.alias(n) for n, c in T.table_signature(F.col("text")).items()))
+    rows = computed_once(spread(_docs(spark, d).select("doc_id", "text")), "low", T.folded(F.col("text")))
+    return rows.select("doc_id", *(c.alias(n) for n, c in T.table_signature(F.col("low")).items()))
 
 
 def source_metadata(spark: SparkSession, d: str) -> DataFrame:

@@ -147,7 +147,7 @@ def test_text_rules(spark):
     assert one(T.host, "https://user@www.A.example:80/x") == "a.example" and one(T.host, "ftp://x") is None
     assert one(T.citations, '<cite id="a, b">x</cite><cite id="c">y</cite>') == ["a", "b", "c"]
     assert one(T.study_design, "A systematic review of randomized trials") == "systematic_review"
-    assert one(lambda c: T.table_signature(c)["structure"], "| a | b |") == "table_like" and one(lambda c: T.table_signature(c)["structure"], "A sentence.") == "prose"
+    assert one(lambda c: T.table_signature(T.folded(c))["structure"], "| a | b |") == "table_like" and one(lambda c: T.table_signature(T.folded(c))["structure"], "A sentence.") == "prose"
 
 
 def test_passages(spark):
