@@ -82,7 +82,7 @@ PLACES = {
     "lost": re.compile("�"),
     "control": re.compile("[\x80-\x9f]"),
     "capital inside": re.compile(f"[{_LOW}][{_UP}](?=[{_LOW}'’.,;:]|$|\\s)"),
-    "symbol inside": re.compile(f"[A-Za-z{_UP}{_LOW}][{_ODD}·§][a-z]|(?<![^\\s(\\[*_#>-])[³²¹¬┐√∂ⁿ±÷][{_LOW}]{{2}}|[a-z]{{2}}[¾¼½¹³]+[a-z]"),
+    "symbol inside": re.compile(f"[A-Za-z{_UP}{_LOW}][{_ODD}·§][a-z]|(?<![^\\s(\\[*_#>-])[³²¹¬┐√∂ⁿ±÷][{_LOW}]{{2}}|[a-z]{{2}}[¾¼½¹³]+[a-z]|[A-Z]«?[√∂∑∏∫ƒ≈∆◊][A-Z]|(?<![^\\s])∑(?!\\S)|(?<![A-Za-z])ð[a-z]"),
     "box": re.compile(f"[A-Za-z{_LOW}][{_BOX}]|[{_BOX}][A-Za-z{_LOW}]|[├┬─ΓÔ][⌐çéÇôöª║®{_BOX}]"),
     "mixed scripts": re.compile("[A-Za-z][Ѐ-џ]|[Ѐ-џ][A-Za-z]"),
     "mac": re.compile("√[†-⁰©®ß∂-≥ºª±¥µÄÅÇÉÑÖÜáàâäãåçéèêëíìîïñóòôöõúùûü¢£§•¶™´¨ÆØ∏∫Ωæø¿¡¬«…]|¬[µ©∞±∑∑∏ªº∫ßÆø¿¡]|‚[ÄÇÅ][ôìî¶úù¢†°]|[≈ƒ][ÇÑÖÜáàâäãåçéèêëíìîïñóòôöõúùûü†°ôö]|∞C\\b|Œ[±≤îîº]"),
@@ -96,7 +96,7 @@ _RARE_SERBIAN = 3
 _INVERTED, _CAPITALS, _SMALLS = re.compile("(?<![А-Яа-яё])[а-яё][А-Я]{3,}"), re.compile("[А-Я]"), re.compile("[а-яё]")
 _HAN_RUN = re.compile(f"[{_HAN}]+[a-z]?")
 _SYMBOL_RUN = re.compile("[À-ÿ]{4,}")
-_SNIP = re.compile("[ -~\n]?[^\x00-\x7f]+[!-~]{0,2}")
+_BEYOND = re.compile("[^\x00-\x7f]+(?=([!-~]{0,2}))")
 _UNICODE_LETTERS = re.compile("[A-Za-z]")
 #: The automata that are run on every text with characters beyond ASCII; the others only follow other evidence.
 _ALWAYS = ["cp1252", "cp437", "cp1250", "iso8859_2", "cp1251"]
@@ -104,6 +104,11 @@ _QUOTES = "»”’“‘›–—…°«‚„\xa0·"
 _UPPER_WORD = re.compile(f"[A-Z{_UP}]$")
 
 
+def _sample(text: str) -> str:
+    """Runs of characters beyond ASCII with the character before and up to two after them, joined by blanks."""
+    return " ".join(text[max(0, m.start() - 1) : m.end()] + m[1] for m in _BEYOND.finditer(text))
+
+
 def _sound_span(text: str, m: re.Match[str], codec: str) -> bool:
     """Whether a well-formed span is damage, not a capital that happens to stand before a closing mark."""
     span = m.group()
@@ -130,7 +135,7 @@ def evidence(text: str) -> str | None:
     """Name of the first evidence of wrong decoding in ``text``; None for sound, empty and ASCII texts."""
     if text.isascii():
         return None
-    t = " ".join(_SNIP.findall(text))
+    t = _sample(text)
     for name, place in PLACES.items():
         if place.search(t):
             return name
@@ -171,6 +176,8 @@ def _wide_damage(run: str, t: str, m: re.Match[str]) -> bool:
     if not spans or covered < len(raw) - 1:
         return False
     before, after = t[m.start() - 1 : m.start()], t[m.end() : m.end() + 1]
+    if "a" <= before <= "z" and run != han and len(han) <= 2 and all("\xc0" <= c <= "\xff" for c in raw[: -1].decode("utf-8", "replace")):
+        return True  # a letter with an accent inside a Latin word, in a text of any language
     latin = ("a" <= before <= "z" or "A" <= before <= "Z") and (run != han or after.isalpha() and after.isascii()) or run != han and before in ("", " ") or ("a" <= before <= "z" and not after.isalpha())
     few = sum(c > "⺀" for c in t) < 0.25 * len(t)
     return bool(latin and few)
@@ -251,7 +258,7 @@ def damage(text: str) -> int:
     """Number of places of any evidence; lower is better, 0 for sound texts."""
     if text.isascii():
         return 0
-    t = " ".join(_SNIP.findall(text))
+    t = _sample(text)
     n = sum(len(p.findall(t)) for p in PLACES.values())
     for codec in _ALWAYS:
         n += sum(_sound_span(t, m, codec) for m in utf8_automaton(codec).finditer(t))
@@ -295,7 +302,7 @@ def restore(text: str) -> str:
         return text
     best = text
     for _ in range(ROUNDS):
-        sample = " ".join(_SNIP.findall(best))
+        sample = _sample(best)
         now = _rank(sample)
         ranked = [(_rank(tried), k) for k, step in enumerate(_steps()) if (tried := step(sample)) != sample]
         if not ranked or min(ranked)[0][0] >= now[0]:
@@ -306,7 +313,7 @@ def restore(text: str) -> str:
         best, left = c1, damage(c1)
     if left:
         ways = [(x, w, t, k) for x in dict.fromkeys((best, text)) for w, t in SINGLE_PAIRS for k in (False, True)]
-        samples = {x: " ".join(_SNIP.findall(x)) for x in (best, text)}
+        samples = {x: _sample(x) for x in (best, text)}
         ranked = [(_rank(_recode(samples[x], w, t, k)), i) for i, (x, w, t, k) in enumerate(ways)]
         if min(ranked)[0][0] < left:
             tried = _recode(*ways[min(ranked)[1]])
