@@ -76,6 +76,11 @@ _HEAD = re.compile(f"(?:{BOX_HEADS})")
 _BUTTON = re.compile(f"(?:{'|'.join(map(re.escape, BUTTONS.split('|')))})")
 _NOTICE = re.compile("|".join(f"(?:{x})" for x in NOTICES))
 _OPENING = re.compile("|".join(f"(?:{x})" for x in OPENINGS))
+#: The same wording without its characters beyond ASCII: pages that were wrongly decoded keep the rest of it.
+_LABEL_BONES = frozenset(b for x in _LABEL_SET if not x.isascii() and len(b := re.sub("[^\x00-\x7f]", "", x).strip()) > 3)
+_OTHER_BONES = frozenset(b for x in (*BUTTONS.split("|"), *BOX_HEADS.split("|")) if not x.isascii() and len(b := " ".join(re.sub("[^\x00-\x7f]", "", x).split())) > 6)
+_HEAD_BONES = frozenset(" ".join(re.sub("[^\x00-\x7f]", "", x).split()) for x in BOX_HEADS.split("|") if not x.isascii())
+_NOTICE_BONES = re.compile("|".join(f"(?:{re.sub('[^' + chr(0) + '-' + chr(127) + ']', '', x)})" for x in NOTICES if not x.isascii() and x[0] != "["))
 _BUTTONS_ROW = re.compile(rf"(?:(?:{'|'.join(map(re.escape, sorted(BUTTONS.split('|'), key=len, reverse=True)))})\s*){{2,}}")
 _LINK = re.compile(r"!?\[([^\]]*)\]\(([^)\s]*)[^)]*\)")
 _MARKS = re.compile(r"^(?:[\s>*+•◦▪·–_-]|#{1,6}(?=\s)|\d{1,3}[.)](?=\s)|(?<![A-Za-z])[|](?=\s*\[))+")
@@ -156,7 +161,13 @@ def _plain(line: str) -> str:
 
 
 def _is_label(part: str) -> bool:
-    return part.strip(" *_[]▾›»→") in _LABEL_SET
+    part = part.strip(" *_[]▾›»→")
+    return part in _LABEL_SET or not part.isascii() and _bones(part) in _LABEL_BONES
+
+
+def _bones(text: str) -> str:
+    """Lower-case text without the characters beyond ASCII."""
+    return " ".join(re.sub("[^\x00-\x7f]", "", text).lower().split())
 
 
 def _furniture_text(t: str) -> bool:
@@ -189,8 +200,8 @@ def _kind(line: str) -> int:
     if len(t) < 400 and _furniture_text(t):
         return FURNITURE
     opened = _LINK.sub(r"\1", raw) if "](" in raw else raw
-    crumbs = _CRUMB.split(_plain_case(opened))
-    if len(crumbs) >= 2 and _is_label(crumbs[0].casefold().replace("’", "'")) and (len(crumbs) >= 3 or len(_WORDS.findall(crumbs[-1])) <= 12) and not _STOP.search(raw):
+    crumbs = [" ".join(c.casefold().replace("’", "'").split()) for c in _CRUMB.split(_plain_case(opened))]
+    if len(crumbs) >= 2 and _is_label(crumbs[0]) and (_is_label(crumbs[1]) or not _STOP.search(raw)) and len(_WORDS.findall(crumbs[-1])) <= 16:
         return FURNITURE
     gap = r"\s*(?:Â·|¬∑|[|·•])\s*|\s{6,}" if "  " in opened.strip() and re.search(r"\w  \w", opened) and not re.search(r"\w \w", opened.strip()) else r"\s*(?:Â·|¬∑|[|·•])\s*|\s{3,}"
     parts = [" ".join(p.casefold().replace("’", "'").split()) for p in re.split(gap, _plain_case(opened)) if p.strip()]
@@ -200,6 +211,12 @@ def _kind(line: str) -> int:
             return FURNITURE
     if _is_label(t):
         return LABEL
+    if not raw.isascii() and len(raw) < 260:
+        bones = _bones(_plain_case(opened).replace("’", "'")).rstrip(".!: ")
+        if bones in _HEAD_BONES:
+            return BOX
+        if bones in _OTHER_BONES or _NOTICE_BONES.fullmatch(bones):
+            return FURNITURE
     sentences = _SENTENCES.split(t)
     if len(sentences) > 1:
         known = sum(len(s) for s in sentences if _furniture_text(s))

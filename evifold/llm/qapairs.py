@@ -25,6 +25,9 @@ REFUSALS = [
     "i can't provide", "i cannot provide", "i am unable to", "i'm unable to", "i am not able to", "i'm not able to", "must decline", "have to decline", "i decline to", "i won't be able to", "i will not be able to", "i won't answer",
     "falls outside what i'm allowed", "falls outside what i am allowed", "outside the scope of what i", "not allowed to discuss", "i'd rather not", "i would rather not", "is not something i can assist", "not something i can help", "i don't have the ability to respond",
     "i do not have the ability to", "no answer can be given", "i can't comment", "i cannot comment", "i can't discuss", "i cannot discuss", "against my guidelines", "i'm not permitted", "i am not permitted", "i can't give medical advice", "i cannot give medical advice",
+    "can't comply", "cannot comply", "cannot fulfill", "can't fulfill", "unable to help", "unable to answer", "unable to assist", "not in a position to", "not comfortable answering", "beyond what i can", "can't respond to", "cannot respond to", "i refuse to", "i must refuse",
+    "darf ich keine", "ich darf keine", "keine auskunft", "muss ich ablehnen", "ich lehne es ab", "nicht befugt", "kann ich keine auskunft", "je ne saurais", "je ne suis pas autorisé", "je dois décliner", "je refuse de", "je ne peux rien dire",
+    "no voy a responder", "debo declinar", "no se me permite", "não vou responder", "não me é permitido", "tenho de recusar", "recuso-me", "odmawiam", "nie wolno mi", "не буду отвечать", "вынужден отказаться", "не имею права", "不能回答", "拒绝回答", "无权", "不方便回答",
     "kann ich nicht helfen", "kann ich leider nicht", "ich kann diese frage nicht", "kann ich nicht beantworten", "ich darf keine", "darf ich nicht beantworten", "nicht beantworten", "keine auskunft geben", "dazu möchte ich mich nicht äussern",
     "je ne peux pas répondre", "je ne peux pas vous aider", "je ne suis pas en mesure", "ne m'est pas possible de", "je ne peux pas donner", "je préfère ne pas répondre",
     "no puedo ayudar", "no puedo responder", "no me es posible", "no puedo dar", "no puedo ofrecer", "prefiero no responder", "no estoy autorizado",
@@ -43,9 +46,9 @@ COURTESY = [
 STOPWORDS = {
     "en": "the of and to in is was with for that this on by from are were be or an as at it not have has had but which their than when after before can what how should would does do your you my",
     "de": "der die das und ist war mit für von den dem des ein eine einen einer nicht auf im bei nach zu zur zum werden wurde wird oder auch sich als noch unter über ich kann wie wann welche sollte wer",
-    "fr": "le la les des du de et est été pour dans que qui une un sur avec par pas plus ou au aux ce cette ces ses leur il elle ne se sont après chez comme être quels quelle faut peut",
-    "es": "el la los las del de y es fue para que en una un con por no más o al su sus se lo como después aunque muy sigue qué cuándo cómo este esta está si entre sin",
-    "pt": "o a os as do da dos das de e é foi para que em uma um com por não mais ou ao sua seu se no na nos nas como após também muito qual pode à às são",
+    "fr": "le la les des du de et est été pour dans que qui une un sur avec par pas plus ou au aux ce cette ces ses leur il elle ne se sont après chez comme être quels quelle quel faut peut on en cas prendre entre sont-ils",
+    "es": "el la los las del de y es fue para que en una un con por no más o al su sus se lo como después aunque muy sigue qué cuándo cómo este esta está si entre sin en tomar es tengo",
+    "pt": "o a os as do da dos das de e é foi para que em uma um com por não mais ou ao sua seu se no na nos nas como após também muito qual pode à às são em tomar entre tenho",
     "pl": "i w na z do nie się że jest po o od przez za oraz lub dla był była były które który ponieważ dopiero czy jak między u",
     "ru": "и в на с не что по о от для за из к у при после это как или был была было но до их между можно ли",
 }
@@ -70,6 +73,7 @@ _END = re.compile(r"[.!?。！？…|`\])}”\"'’»›>*_]$")
 _HARD_OPEN = re.compile(r"(?:[,;:–—-]|[(\[{“„«]|\b(?:and|or|but|the|of|with|to|by|und|oder|der|die|et|ou|le|la|de|y|o|el|и|в|na|i)|\*\*)$", re.I)
 _LIST_LINE = re.compile(r"^\s*(?:[-*+•]|\d{1,3}[.)])\s+")
 _CITE_END = re.compile(r"(?:\[\d{1,3}(?:[,–-]\s*\d{1,3})*\]|https?://\S+)\s*$")
+_POLITE = re.compile(r"\s*(?:please|kindly|bitte|veuillez|merci de|por favor|consulte|consultez|пожалуйста|обратитесь|请|ご相談|proszę)", re.I)
 _ASK = re.compile(r"\b(?:respond|answer|reply|write|translate|antworte\w*|répond\w*|respond\w*|responda|ответ\w*|odpowied\w*)\b|回答|答え|翻译|用", re.I)
 
 
@@ -172,7 +176,7 @@ def is_refusal(response: str) -> bool:
         found = {kind for _, kind in _phrases().iter(_quotes(sentence))}
         if "refusal" in found:
             refused = True
-        elif not found and len(words(sentence)) > 2:
+        elif not found and len(words(sentence)) > 2 and not (_POLITE.match(sentence) and len(words(sentence)) <= 14 and not re.search(r"\d", sentence)):
             return False
     return refused
 
