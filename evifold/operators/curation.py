@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from evifold.functions.ordered import numbered
+
 
 def content_key(text: Column) -> Column:
     """128-bit key of a text without case and white space; NULL for NULL."""
@@ -43,18 +45,13 @@ def atomic_filter(df: DataFrame, scenario: list[str], good: Column) -> DataFrame
 
 
 def shard_of(df: DataFrame, order: str, shards: int) -> DataFrame:
-    """``df`` with ``shard`` 0..n-1: contiguous in order, sizes that differ by one at most, larger ones first.
-
-    Places come from counts per range partition, not from one window over all rows.
-    """
-    ranged = df.repartitionByRange(F.col(order)).sortWithinPartitions(order).withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id() - F.shiftleft(F.spark_partition_id().cast("bigint"), 33))
-    sizes = ranged.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
-    offsets = sizes.withColumn("_o", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("_t", F.sum("_n").over(Window.partitionBy()))
-    placed = ranged.join(F.broadcast(offsets.select("_p", "_o", "_t")), "_p").withColumn("_i", F.col("_i") + F.col("_o"))
-    base, extra = F.floor(F.col("_t") / shards), F.col("_t") % shards
+    """``df`` with ``shard`` 0..n-1: contiguous in order, sizes that differ by one at most, larger ones first. ``order`` must be unique."""
+    n = df.count()
+    base, extra = n // shards, n % shards
     large = extra * (base + 1)
-    shard = F.when(F.col("_i") < large, F.floor(F.col("_i") / (base + 1))).otherwise(extra + F.floor((F.col("_i") - large) / F.greatest(base, F.lit(1))))
-    return placed.withColumn("shard", shard.cast("bigint")).drop("_p", "_i", "_o", "_t")
+    place = F.col("_i")
+    shard = F.when(place < large, F.floor(place / (base + 1))).otherwise(extra + F.floor((place - large) / max(base, 1)))
+    return numbered(df, [F.col(order)], "_i").withColumn("shard", shard.cast("bigint")).drop("_i")
 
 
 def disjoint(a: DataFrame, b: DataFrame, key: str) -> DataFrame:

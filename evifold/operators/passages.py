@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from evifold.functions.ordered import running
+
 SECTION = "title string, sections array<struct<heading:string,text:string>>"
 _ARROW = pa.struct([("title", pa.string()), ("sections", pa.list_(pa.struct([("heading", pa.string()), ("text", pa.string())])))])
 _DROPPED = frozenset("script style noscript svg nav header footer form template".split())
@@ -172,10 +174,13 @@ def merge_intervals(df: DataFrame, key: list[str], start: str, end: str) -> Data
 
 
 def char_budget(df: DataFrame, group: list[str], rank: list[str], length: Column, budget: int) -> DataFrame:
-    """``df`` with ``kept``: characters that each row gets when texts are taken in rank order until the budget is used up."""
-    w = Window.partitionBy(*group).orderBy(*rank).rowsBetween(Window.unboundedPreceding, -1)
-    used = F.coalesce(F.sum(F.coalesce(length, F.lit(0))).over(w), F.lit(0))
-    return df.withColumn("kept", F.greatest(F.lit(0), F.least(F.coalesce(length, F.lit(0)), F.lit(budget) - used)).cast("bigint"))
+    """``df`` with ``kept``: characters that each row gets when texts are taken in rank order until the budget is used up.
+
+    A group may hold most of the rows; ``rank`` must tell its rows apart.
+    """
+    size = F.coalesce(length, F.lit(0)).cast("bigint")
+    summed = running(df.withColumn("_size", size), group, [F.col(r) for r in rank], before={"_used": F.col("_size")})
+    return summed.withColumn("kept", F.greatest(F.lit(0), F.least(F.col("_size"), F.lit(budget) - F.col("_used"))).cast("bigint")).drop("_size", "_used")
 
 
 def fair_shares(sizes: Column, budget: int) -> Column:

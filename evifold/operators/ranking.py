@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from evifold.functions.ordered import running
 from evifold.plans.checkpoints import cut_lineage
 from evifold.sources.tables import spread
 
@@ -104,10 +105,14 @@ def group_diverse(ranked: DataFrame, group: list[str], section: str, order: list
 
 
 def domain_diverse(scored: DataFrame, group: list[str], domain: str, score: str, title: str, id_col: str, penalty: float = 30.0) -> DataFrame:
-    """Rank of greedy selection by score minus ``penalty`` per earlier pick of the same domain; ties by title descending, then id."""
-    inside = Window.partitionBy(*group, domain).orderBy(F.desc(score), F.desc_nulls_last(title), F.asc(id_col))
-    adjusted = scored.withColumn("adjusted", F.col(score) - penalty * (F.row_number().over(inside) - 1))
-    return adjusted.withColumn("rank", F.row_number().over(Window.partitionBy(*group).orderBy(F.desc("adjusted"), F.desc_nulls_last(title), F.asc(id_col))))
+    """Rank of greedy selection by score minus ``penalty`` per earlier pick of the same domain; ties by title descending, then id.
+
+    One domain or group may hold most of the rows.
+    """
+    tie = [F.desc_nulls_last(title), F.asc(id_col)]
+    inside = running(scored, [*group, domain], [F.desc(score), *tie], "_in_domain")
+    adjusted = inside.withColumn("adjusted", F.col(score) - penalty * (F.col("_in_domain") - 1)).drop("_in_domain")
+    return running(adjusted, group, [F.desc("adjusted"), *tie], "rank")
 
 
 def jaccard(a: Column, b: Column) -> Column:

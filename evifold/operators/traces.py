@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from evifold.operators.curation import sequence_ratio
+from evifold.functions.ordered import numbered
+from evifold.operators.curation import hash_order, sequence_ratio
 from evifold.operators.ranking import jaccard, tokens
 
 # fixed values: words that frame a search question and words that name study designs
@@ -207,13 +208,6 @@ def cosine_rate(step: Column, warmup: int, total: int, peak: float) -> Column:
 
 
 def batches(df: DataFrame, key: str, seed: str, size: int) -> DataFrame:
-    """``df`` with ``batch``: rows in hash order in batches of ``size``, the last one smaller; the hash order is split by range, then counted."""
-    from evifold.operators.curation import hash_order
-
-    n = df.count()
-    ranged = df.withColumn("_h", hash_order(F.col(key), seed)).repartitionByRange("_h", key).sortWithinPartitions("_h", key)
-    numbered = ranged.withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id() - F.shiftleft(F.spark_partition_id().cast("bigint"), 33))
-    sizes = numbered.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
-    offsets = sizes.select("_p", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_o"))
-    placed = numbered.join(F.broadcast(offsets), "_p").withColumn("batch", F.floor((F.col("_i") + F.col("_o")) / size).cast("bigint"))
-    return placed.drop("_h", "_p", "_i", "_o") if n else df.withColumn("batch", F.lit(0).cast("bigint"))
+    """``df`` with ``batch``: rows in hash order of their unique key in batches of ``size``, the last one smaller."""
+    placed = numbered(df.withColumn("_h", hash_order(F.col(key), seed)), [F.col("_h"), F.col(key)], "_i")
+    return placed.withColumn("batch", F.floor(F.col("_i") / size).cast("bigint")).drop("_h", "_i")

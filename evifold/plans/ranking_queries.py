@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from evifold.functions.ordered import running
 from evifold.operators import ranking as R
 from evifold.sources.tables import table
 
@@ -98,8 +99,8 @@ def source_priority_blend(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").where("title is not null")
     words = docs.select("doc_id", "source", R.distinct_tokens(F.col("title")).alias("t"), R.distinct_tokens(F.col("snippet")).alias("s"), R.distinct_tokens(F.col("text")).alias("x"), F.col("score").isNotNull().cast("int").alias("has_score"))
     blend = F.round(0.6 * R.overlap_share(F.col("t"), F.col("x")) + 0.4 * R.overlap_share(F.col("s"), F.col("x")), 6)
-    ranked = words.withColumn("blend", blend).withColumn("rank", F.row_number().over(Window.partitionBy("source").orderBy(F.desc("blend"), F.desc("has_score"), F.asc("doc_id"))))
-    return ranked.select("source", "doc_id", "blend", "rank")
+    narrow = words.select("source", "doc_id", "has_score", blend.alias("blend"))
+    return running(narrow, ["source"], [F.desc("blend"), F.desc("has_score"), F.asc("doc_id")], "rank").drop("has_score")
 
 
 def bigram_phrase_score(spark: SparkSession, d: str) -> DataFrame:

@@ -179,3 +179,20 @@ def test_traces(spark):
     assert spark.range(1).select(X.record_faults(F.slice(spans, 1, 1), F.lit(2))).first()[0] == "out_of_range"
     batched = X.batches(spark.range(10), "id", "s", 4).groupBy("batch").count()
     assert rows(batched, "batch", "count") == [(0, 4), (1, 4), (2, 2)]
+
+
+def test_running_sums_over_a_hot_key(spark):
+    from evifold.functions.ordered import numbered, running
+
+    rng = random.Random(5)
+    items = [(rng.choice(["hot"] * 6 + ["a", "b", None]), i, rng.choice([1, 2, None])) for i in range(2_000)]
+    df = spark.createDataFrame(items, "k string, i int, v int").repartition(5)
+    got = {r.i: (r.n, r.s) for r in running(df, ["k"], [F.desc("i")], "n", {"s": F.col("v")}).collect()}
+    for k in ("hot", "a", "b", None):
+        n = s = 0
+        for _, i, v in sorted((x for x in items if x[0] == k), key=lambda x: -x[1]):
+            n += 1
+            assert got[i] == (n, s)
+            s += v or 0
+    assert [r.place for r in numbered(df.where("k is not null"), [F.col("i")]).orderBy("i").collect()] == list(range(sum(x[0] is not None for x in items)))
+    assert running(df.limit(0), ["k"], [F.col("i")], "n").count() == 0
