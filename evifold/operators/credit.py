@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from evifold.functions.ordered import running
+
 
 def strict_mean(x: Column) -> Column:
     """Mean of a group that is NULL as soon as one value is unobserved; NULL for an empty group."""
@@ -22,9 +24,13 @@ def status_value(status: Column, direct: list[str], partial: list[str], none: li
 
 
 def return_to_go(df: DataFrame, run: list[str], order: list[str], reward: str) -> DataFrame:
-    """``df`` with ``rtg``: sum of this and all later rewards of the run, NULL where one of them is unobserved."""
-    w = Window.partitionBy(*run).orderBy(*order).rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    return df.withColumn("rtg", F.when(F.count_if(F.col(reward).isNull()).over(w) == 0, F.sum(reward).over(w)))
+    """``df`` with ``rtg``: sum of this and all later rewards of the run, NULL where one of them is unobserved.
+
+    A run may hold most of the rows; ``order`` must tell its rows apart.
+    """
+    own = F.col(reward)
+    later = running(df, run, [F.desc(o) for o in order], before={"_later": own, "_unknown": own.isNull().cast("int")})
+    return later.withColumn("rtg", F.when(F.col("_unknown") == 0, F.col("_later") + own)).drop("_later", "_unknown")
 
 
 def discounted_return(rewards: Column, gamma: float, scale: Column, clip: float = 1.0) -> Column:

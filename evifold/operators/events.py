@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from evifold.functions.ordered import running
+
 BEFORE = (Window.unboundedPreceding, -1)
 SO_FAR = (Window.unboundedPreceding, Window.currentRow)
 
@@ -34,11 +36,15 @@ def latest_by(df: DataFrame, keys: list[str], value: str, seq: list[str]) -> Dat
 
 
 def failures_since_success(df: DataFrame, run: list[str], order: list[str], ok: Column, failed: Column) -> DataFrame:
-    """``df`` with ``failures``: failures since the last success of the run up to this row, which is included."""
-    island = Window.partitionBy(*run).orderBy(*order).rowsBetween(*SO_FAR)
-    marked = df.withColumn("_island", F.sum(F.when(ok, 1).otherwise(0)).over(island))
-    inside = Window.partitionBy(*run, "_island").orderBy(*order).rowsBetween(*SO_FAR)
-    return marked.withColumn("failures", F.sum(F.when(failed, 1).otherwise(0)).over(inside)).drop("_island")
+    """``df`` with ``failures``: failures since the last success of the run up to this row, which is included.
+
+    A run may hold most of the rows; ``order`` must tell its rows apart. NULL verdicts are neither success nor failure.
+    """
+    sort = [F.col(o) for o in order]
+    flagged = df.withColumn("_ok", F.when(ok, 1).otherwise(0)).withColumn("_bad", F.when(failed, 1).otherwise(0))
+    islands = running(flagged, run, sort, before={"_island": F.col("_ok")}).withColumn("_island", F.col("_island") + F.col("_ok"))
+    inside = running(islands, [*run, "_island"], sort, before={"failures": F.col("_bad")})
+    return inside.withColumn("failures", F.col("failures") + F.col("_bad")).drop("_ok", "_bad", "_island")
 
 
 def charge_budget(df: DataFrame, run: list[str], order: list[str], failed: Column, exempt_limit: int = 5, charged_limit: int = 6, actual_limit: int = 11) -> DataFrame:
