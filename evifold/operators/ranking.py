@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -76,6 +80,68 @@ def cosine(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
+def dense_top_k(vectors: DataFrame, queries: DataFrame, id_col: str, vector_col: str, query_id: str, query_vector: str, k: int, block: int = 4_096) -> DataFrame:
+    """(query_id, id, score, rank): the ``k`` rows of highest cosine with each query, scores rounded to 6 places, ties by id.
+
+    Exact: every vector is compared with every query. The queries are read to the driver in blocks of ``block``, each
+    block is broadcast, and a task passes on no more than its best ``k`` rows per query, so what is shuffled grows with
+    tasks x queries, not with vectors x queries. NULL ids or vectors and vectors of length zero give no row.
+    """
+    schema = "query_id bigint, item_id bigint, score double"
+    rows = vectors.select(F.col(id_col).cast("bigint").alias("item_id"), F.col(vector_col).cast("array<double>").alias("v")).where("item_id is not null and size(v) > 0")
+    asked = queries.select(F.col(query_id).cast("bigint").alias("q"), F.col(query_vector).cast("array<double>").alias("v")).where("q is not null and size(v) > 0")
+
+    def normal(m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        length = np.linalg.norm(m, axis=1)
+        return m[length > 0] / length[length > 0, None], length > 0
+
+    def search(ids: list[int], matrix: np.ndarray) -> DataFrame:
+        held = vectors.sparkSession.sparkContext.broadcast((np.array(ids), np.ascontiguousarray(matrix.T)))
+
+        def best(found: list[tuple[np.ndarray, np.ndarray, np.ndarray]], n: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+            q, i, s = (np.concatenate(x) for x in zip(*found))
+            order = np.lexsort((i, -s, q))
+            q, i, s = q[order], i[order], s[order]
+            first = np.flatnonzero(np.concatenate(([True], q[1:] != q[:-1])))
+            keep = np.arange(len(q)) - np.repeat(first, np.diff(np.append(first, len(q)))) < n
+            return [(q[keep], i[keep], s[keep])]
+
+        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            names, targets = held.value
+            found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                flat, sound = normal(np.array(batch.column(1).to_pylist(), float))
+                items = batch.column(0).to_numpy()[sound]
+                for lo in range(0, len(items), 2_048):
+                    scores = np.round(flat[lo : lo + 2_048] @ targets, 6)
+                    least = np.partition(scores, max(0, len(scores) - k), axis=0)[max(0, len(scores) - k)]
+                    r, c = np.nonzero(scores >= least)
+                    found = best([*found, (names[c], items[lo : lo + 2_048][r], scores[r, c])], k)
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in found[0]], names=["query_id", "item_id", "score"])
+
+        return rows.mapInArrow(scan, schema)
+
+    out, ids, vecs = None, [], []
+    pending = asked.toLocalIterator(prefetchPartitions=True)
+    for r in pending:
+        ids.append(r.q)
+        vecs.append(r.v)
+        if len(ids) == block:
+            matrix, sound = normal(np.array(vecs))
+            part = search(np.array(ids)[sound].tolist(), matrix)
+            out, ids, vecs = part if out is None else out.unionByName(part), [], []
+    if ids:
+        matrix, sound = normal(np.array(vecs))
+        part = search(np.array(ids)[sound].tolist(), matrix)
+        out = part if out is None else out.unionByName(part)
+    if out is None:
+        out = vectors.sparkSession.createDataFrame([], schema)
+    return top_k(out, ["query_id"], [F.desc("score"), F.asc("item_id")], k).withColumnRenamed("item_id", id_col)
+
+
 def unit(v: Column) -> Column:
     """Vector over its length; NULL for the zero vector."""
     norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))

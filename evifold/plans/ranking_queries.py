@@ -56,10 +56,8 @@ def history_window(spark: SparkSession, d: str) -> DataFrame:
 
 
 def dense_topk(spark: SparkSession, d: str) -> DataFrame:
-    vectors = table(spark, d, "embeddings").select("vec_id", R.unit(F.col("embedding")).alias("v"))
-    asked = vectors.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
-    scored = vectors.crossJoin(asked).select("query_id", "vec_id", F.round(R.cosine(F.col("v"), F.col("q")), 6).alias("score"))
-    return R.top_k(scored, ["query_id"], [F.desc("score"), F.asc("vec_id")], 10).select("query_id", "vec_id", "score", "rank")
+    vectors = table(spark, d, "embeddings")
+    return R.dense_top_k(vectors, vectors.where("vec_id % 20 = 0"), "vec_id", "embedding", "vec_id", "embedding", 10).select("query_id", "vec_id", "score", "rank")
 
 
 def _two_lists(spark: SparkSession, d: str) -> DataFrame:

@@ -196,3 +196,19 @@ def test_running_sums_over_a_hot_key(spark):
             s += v or 0
     assert [r.place for r in numbered(df.where("k is not null"), [F.col("i")]).orderBy("i").collect()] == list(range(sum(x[0] is not None for x in items)))
     assert running(df.limit(0), ["k"], [F.col("i")], "n").count() == 0
+
+
+def test_dense_search_against_brute_force(spark):
+    rng = random.Random(6)
+    rows = [(i, [rng.choice([-1.0, 0.0, 1.0, 2.0]) for _ in range(3)]) for i in range(300)] + [(900, None), (901, [0.0, 0.0, 0.0]), (None, [1.0, 0.0, 0.0])]
+    df = spark.createDataFrame(rows, "i bigint, v array<double>").repartition(4)
+    got = {}
+    for r in R.dense_top_k(df, df.where("i % 20 = 0"), "i", "v", "i", "v", 5, block=4).collect():
+        got.setdefault(r.query_id, {})[r["rank"]] = r.i
+    sound = [(i, v) for i, v in rows if i is not None and v and any(v)]
+    cos = lambda a, b: round(sum(x * y for x, y in zip(a, b)) / (sum(x * x for x in a) ** 0.5 * sum(x * x for x in b) ** 0.5), 6)
+    for q, v in sound:
+        if q % 20 == 0:
+            want = sorted(sound, key=lambda x: (-cos(v, x[1]), x[0]))[:5]
+            assert [got[q][k] for k in range(1, 6)] == [i for i, _ in want]
+    assert R.dense_top_k(df, df.limit(0), "i", "v", "i", "v", 5).count() == 0 and R.dense_top_k(df.limit(0), df, "i", "v", "i", "v", 5).count() == 0
