@@ -109,6 +109,11 @@ def _sample(text: str) -> str:
     return " ".join(text[max(0, m.start() - 1) : m.end()] + m[1] for m in _BEYOND.finditer(text))
 
 
+def _distinct(text: str) -> str:
+    """The sample of a text with each run once."""
+    return " ".join(dict.fromkeys(text[max(0, m.start() - 1) : m.end()] + m[1] for m in _BEYOND.finditer(text)))
+
+
 def _sound_span(text: str, m: re.Match[str], codec: str) -> bool:
     """Whether a well-formed span is damage, not a capital that happens to stand before a closing mark."""
     span = m.group()
@@ -244,7 +249,7 @@ def _recode(text: str, taken: str, true: str, only_damaged: bool = False) -> str
     wide_in, wide_out = taken in ("gbk", "cp932", "big5"), true in ("gbk", "cp932", "euc_jp", "big5", "cp949")
     runs = re.compile("[^\x00-\x7f][^\x00-\x20]*" if true in ("cp932", "big5") else "[^\x00-\x7f]+[a-z]?" if wide_in and not wide_out else "[^\x00-\x7f]+")
     if only_damaged:
-        return re.sub("[^\\s\x00-\x1f]+", lambda m: runs.sub(back, m.group()) if damage(m.group()) else m.group(), text)
+        return re.sub("[^\\s\x00-\x1f]+", lambda m: runs.sub(back, m.group()) if _word_damage(m.group()) else m.group(), text)
     return runs.sub(back, text)
 
 
@@ -270,27 +275,35 @@ def damage(text: str) -> int:
     return n + sum(len(r) for r in _SYMBOL_RUN.findall(t))
 
 
+@lru_cache(maxsize=50_000)
+def _word_damage(word: str) -> int:
+    return damage(word)
+
+
 def _rank(text: str) -> tuple[int, int]:
     """Order of attempts: least damage, then most usual characters."""
     return damage(text), -len(_PLAUSIBLE.findall(text))
 
 
-def _times(step: Callable[[str], str], n: int) -> Callable[[str], str]:
-    """``step`` made ``n`` times, for text that was damaged as often in the same way."""
-
-    def run(t: str) -> str:
-        for _ in range(n):
-            t = step(t)
-        return t
-
-    return run
-
-
 @lru_cache(maxsize=1)
 def _steps() -> list[Callable[[str], str]]:
-    """All ways to decode anew, by encoding: only spans that are damage by themselves, or all well-formed ones; once or more often."""
+    """All ways to decode anew, by encoding: only spans that are damage by themselves, or all well-formed ones."""
     spans = [lambda t, c=c, sure=sure: _decode_spans(t, c, sure) for sure in (False, True) for c in TAKEN_FOR]
-    return [_times(step, n) for n in range(1, ROUNDS + 1) for step in spans] + [lambda t, c=c: _decode_wide(t, c) for c in TAKEN_FOR_WIDE]
+    return spans + [lambda t, c=c: _decode_wide(t, c) for c in TAKEN_FOR_WIDE]
+
+
+def _again(step: Callable[[str], str], sample: str) -> tuple[tuple[int, int], int]:
+    """Best rank of a sample after a step made once or, where it goes on changing it, up to ROUNDS times; and how often."""
+    best, t = (_rank(sample), 0), sample
+    for n in range(1, ROUNDS + 1):
+        new = step(t)
+        if new == t:
+            break
+        t = new
+        best = min(best, (_rank(t), n))
+        if not best[0][0]:
+            break
+    return best
 
 
 def restore(text: str) -> str:
@@ -302,18 +315,21 @@ def restore(text: str) -> str:
         return text
     best = text
     for _ in range(ROUNDS):
-        sample = _sample(best)
+        sample = _distinct(best)
         now = _rank(sample)
-        ranked = [(_rank(tried), k) for k, step in enumerate(_steps()) if (tried := step(sample)) != sample]
-        if not ranked or min(ranked)[0][0] >= now[0]:
+        if not now[0]:
+            break
+        (rank, times), k = min((_again(step, sample), k) for k, step in enumerate(_steps()))
+        if rank[0] >= now[0] or not times:
             break
-        best = _steps()[min(ranked)[1]](best)
+        for _ in range(times):
+            best = _steps()[k](best)
     left = damage(best)
     if left and (c1 := re.sub("[\x80-\x9f]", lambda m: _chars("cp1252")[ord(m.group())], best)) != best and damage(c1) < left:
         best, left = c1, damage(c1)
     if left:
         ways = [(x, w, t, k) for x in dict.fromkeys((best, text)) for w, t in SINGLE_PAIRS for k in (False, True)]
-        samples = {x: _sample(x) for x in (best, text)}
+        samples = {x: _distinct(x) for x in (best, text)}
         ranked = [(_rank(_recode(samples[x], w, t, k)), i) for i, (x, w, t, k) in enumerate(ways)]
         if min(ranked)[0][0] < left:
             tried = _recode(*ways[min(ranked)[1]])

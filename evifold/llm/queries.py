@@ -23,7 +23,10 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_main_body(spark: SparkSession, d: str) -> DataFrame:
-    return boilerplate.main_body(table(spark, d, "crawl_results"), "page_id", "markdown").withColumnRenamed("item_id", "page_id")
+    crawled = boilerplate.main_body(table(spark, d, "crawl_results"), "page_id", "markdown")
+    pages = boilerplate.main_body(table(spark, d, "documents"), "doc_id", "text", F.col("doc_kind") == "web_page")
+    named = [x.select(F.lit(name).alias("page_table"), "item_id", "body") for name, x in (("crawl_results", crawled), ("documents", pages))]
+    return named[0].unionByName(named[1])
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
