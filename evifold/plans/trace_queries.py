@@ -58,7 +58,7 @@ def answer_validation(spark: SparkSession, d: str) -> DataFrame:
 
 
 def prefix_chain_merge(spark: SparkSession, d: str) -> DataFrame:
-    rows = steps(spark, d).where("run_id is not null and a.query is not null").withColumn("q", F.lower(F.substring("a.query", 1, 12)))
+    rows = steps(spark, d).where("run_id is not null and a.query is not null").withColumn("q", F.lower("a.query"))
     chained = X.prefix_chains(rows, ["run_id"], ["turn", "log_id"], "q")
     return chained.groupBy("run_id").agg(F.max("chain").alias("chains"), F.count(F.lit(1)).alias("n"))
 

@@ -11,6 +11,7 @@ from evifold.operators import passages as P
 from evifold.operators import ranking as R
 from evifold.operators import textrules as T
 from evifold.operators import traces as X
+from evifold.plans.trace_queries import prefix_chain_merge
 
 
 def rows(df, *names):
@@ -181,6 +182,13 @@ def test_traces(spark):
     assert rows(batched, "batch", "count") == [(0, 4), (1, 4), (2, 2)]
 
 
+def test_prefix_chain_merge_compares_whole_queries(spark, tmp_path):
+    queries = ["aspirin for gout", "Aspirin for gout in adults", "aspirin for migraine", "aspirin for migraine"]
+    steps = [(i, "r", i, f'{{"action": "search", "query": "{q}"}}') for i, q in enumerate(queries)]
+    spark.createDataFrame(steps, "log_id bigint, run_id string, turn int, executed_action string").write.parquet(str(tmp_path / "case_steps.parquet"))
+    assert rows(prefix_chain_merge(spark, str(tmp_path)), "run_id", "chains", "n") == [("r", 2, 4)]
+
+
 def test_running_sums_over_a_hot_key(spark):
     from evifold.functions.ordered import numbered, running
 
