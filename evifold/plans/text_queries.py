@@ -106,12 +106,24 @@ def manifest_diff(spark: SparkSession, d: str) -> DataFrame:
     return U.manifest_diff(first, last, "page", "digest")
 
 
+def _titles(spark: SparkSession, d: str) -> DataFrame:
+    """(title, id, asked): the smallest row of each title, and whether any of its rows is a query."""
+    rows = table(spark, d, "paper_rows").where("title is not null")
+    return rows.groupBy("title").agg(F.min("paper_row_id").alias("id"), F.bool_or(F.col("paper_row_id") % 20 == 0).alias("asked"))
+
+
 def jaccard_pairs(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "paper_rows").where("title is not null").groupBy("title").agg(F.min("paper_row_id").alias("id"))
-    asked = docs.where("id % 20 = 0").select(F.col("id").alias("query_id"), "title")
+    """Near titles of each title that any row with an id divisible by 20 has, by the smallest row of each; ``jaccard_members`` has the other rows."""
+    docs = _titles(spark, d)
+    asked = docs.where("asked").select(F.col("id").alias("query_id"), "title")
     return U.near_pairs(asked, docs, "query_id", "id", "title", 0.8).select("query_id", "id", F.round("jaccard", 6).alias("jaccard"))
 
 
+def jaccard_members(spark: SparkSession, d: str) -> DataFrame:
+    """The row by which ``jaccard_pairs`` names the title of each row."""
+    return table(spark, d, "paper_rows").select("paper_row_id", "title").join(_titles(spark, d), "title").select("paper_row_id", "id")
+
+
 def decontaminate(spark: SparkSession, d: str) -> DataFrame:
     """Problems of eval_outputs against the pool: equal after normalising, or near by words and by longest matching blocks."""
     pool = table(spark, d, "exclusion_pool").where("problem is not null").groupBy("problem").agg(F.min("question_id").alias("question_id"))
@@ -134,7 +146,7 @@ def benchmark_examples(spark: SparkSession, d: str) -> DataFrame:
     return pool.select(F.md5("problem").alias("id"), F.trim("problem").alias("problem"), "bench", F.size(answers).cast("bigint").alias("n_answers"), F.array_join(answers, " || ").alias("answers"))
 
 
-QUERIES = {f.__name__: f for f in (clean_text_stats, script_hint, english_eligible, pii_redact, table_signature, source_metadata, url_canonical_host, web_source_id, failure_taxonomy, heading_outline, exact_dedup, hash_ranked_sample, stratified_cap, atomic_group_filter, shard_ntile, resume_anti_join, split_disjointness, conflict_detect, manifest_diff, jaccard_pairs, decontaminate, canonical_digest, benchmark_examples)}
+QUERIES = {f.__name__: f for f in (clean_text_stats, script_hint, english_eligible, pii_redact, table_signature, source_metadata, url_canonical_host, web_source_id, failure_taxonomy, heading_outline, exact_dedup, hash_ranked_sample, stratified_cap, atomic_group_filter, shard_ntile, resume_anti_join, split_disjointness, conflict_detect, manifest_diff, jaccard_pairs, jaccard_members, decontaminate, canonical_digest, benchmark_examples)}
 
 
 def _count(pattern: str, text: str = "text") -> str:

@@ -11,6 +11,7 @@ from evifold.operators import passages as P
 from evifold.operators import ranking as R
 from evifold.operators import textrules as T
 from evifold.operators import traces as X
+from evifold.plans.text_queries import jaccard_members, jaccard_pairs
 from evifold.plans.trace_queries import prefix_chain_merge
 
 
@@ -189,6 +190,13 @@ def test_prefix_chain_merge_compares_whole_queries(spark, tmp_path):
     assert rows(prefix_chain_merge(spark, str(tmp_path)), "run_id", "chains", "n") == [("r", 2, 4)]
 
 
+def test_jaccard_pairs_ask_for_repeated_titles(spark, tmp_path):
+    papers = [(3, "one two three four five"), (20, "one two three four five"), (7, "one two three four five six"), (27, "one two three four five six"), (40, "apart"), (8, "never asked"), (9, None)]
+    spark.createDataFrame(papers, "paper_row_id bigint, title string").write.parquet(str(tmp_path / "paper_rows.parquet"))
+    assert rows(jaccard_pairs(spark, str(tmp_path)), "query_id", "id", "jaccard") == [(3, 3, 1.0), (3, 7, 0.833333), (40, 40, 1.0)]
+    assert rows(jaccard_members(spark, str(tmp_path)), "paper_row_id", "id") == [(3, 3), (7, 7), (8, 8), (20, 3), (27, 7), (40, 40)]
+
+
 def test_running_sums_over_a_hot_key(spark):
     from evifold.functions.ordered import numbered, running
 
