@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from difflib import SequenceMatcher
 
 import pandas as pd
@@ -81,15 +82,15 @@ def word_sets(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("[a-z0-9]+"), F.lit(0)))
 
 
-def near_pairs(left: DataFrame, right: DataFrame, left_id: str, right_id: str, text: str, least: float) -> DataFrame:
+def near_pairs(left: DataFrame, right: DataFrame, left_id: str, right_id: str, text: str, least: float, sets: Callable[[Column], Column] = word_sets) -> DataFrame:
     """(left_id, right_id, jaccard): pairs of texts whose word sets have a Jaccard similarity of at least ``least``.
 
     Prefix filtering: words are ranked from rare to frequent over both sides; two similar sets share one of their first
     ``n - ceil(least * n) + 1`` words. Only those prefixes are joined, so no pair that reaches ``least`` is lost and no
-    cross join is made. Texts without words give no pair.
+    cross join is made. Texts without words give no pair. ``sets`` gives the word set of a text.
     """
-    a = left.select(F.col(left_id).alias("_a"), word_sets(F.col(text)).alias("_x"))
-    b = right.select(F.col(right_id).alias("_b"), word_sets(F.col(text)).alias("_y"))
+    a = left.select(F.col(left_id).alias("_a"), sets(F.col(text)).alias("_x"))
+    b = right.select(F.col(right_id).alias("_b"), sets(F.col(text)).alias("_y"))
     frequency = a.select(F.explode("_x").alias("w")).unionAll(b.select(F.explode("_y").alias("w"))).groupBy("w").agg(F.count(F.lit(1)).alias("f"))
 
     def prefix(df: DataFrame, key: str, words: str) -> DataFrame:
@@ -105,6 +106,32 @@ def near_pairs(left: DataFrame, right: DataFrame, left_id: str, right_id: str, t
     return scored.select(F.col("_a").alias(left_id), F.col("_b").alias(right_id), jaccard.alias("jaccard")).where(F.col("jaccard") >= least)
 
 
+def blank_sets(text: Column) -> Column:
+    """Word set of a text whose words are joined by one blank, in any script."""
+    return F.array_remove(F.array_distinct(F.split(F.coalesce(text, F.lit("")), " ")), "")
+
+
+def shingles(text: Column, width: int) -> Column:
+    """Distinct runs of ``width`` words of a text whose words are joined by one blank; none if it has fewer."""
+    w = F.split(text, " ")
+    last = F.size(w) - width + 1
+    return F.when(last >= 1, F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.array_join(F.slice(w, i, width), " ")))).otherwise(F.array().cast("array<string>"))
+
+
+def contained(left: DataFrame, right: DataFrame, left_id: str, right_id: str, text: str, width: int) -> DataFrame:
+    """(left_id, right_id, share): pairs that share a run of ``width`` words; share of the right text's distinct runs that stand in the left one.
+
+    Hashes of the runs find the pairs, the runs themselves confirm them.
+    """
+    a = left.select(F.col(left_id).alias("_a"), shingles(F.col(text), width).alias("_x"))
+    b = right.select(F.col(right_id).alias("_b"), shingles(F.col(text), width).alias("_y"))
+    hashed = lambda df, key, runs: df.select(key, F.explode(F.transform(runs, lambda s: F.xxhash64(s))).alias("h"))
+    candidates = hashed(a, "_a", F.col("_x")).join(hashed(b, "_b", F.col("_y")), "h").select("_a", "_b").distinct()
+    both = F.size(F.array_intersect("_x", "_y"))
+    scored = candidates.join(a, "_a").join(b, "_b").where(both > 0)
+    return scored.select(F.col("_a").alias(left_id), F.col("_b").alias(right_id), (both / F.size("_y")).alias("share"))
+
+
 @F.pandas_udf(T.DoubleType())
 def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Similarity of two texts by longest matching blocks; NULL counts as empty, two empty texts give 1."""

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from evifold.functions.text import computed_once
 from evifold.operators import curation as U
 from evifold.operators import textrules as T
+from evifold.operators.traces import normalised
+from evifold.plans.checkpoints import cut_lineage
 from evifold.sources.tables import spread, table
 
 
@@ -125,13 +127,34 @@ def jaccard_members(spark: SparkSession, d: str) -> DataFrame:
 
 
 def decontaminate(spark: SparkSession, d: str) -> DataFrame:
-    """Problems of eval_outputs against the pool: equal after normalising, or near by words and by longest matching blocks."""
-    pool = table(spark, d, "exclusion_pool").where("problem is not null").groupBy("problem").agg(F.min("question_id").alias("question_id"))
-    problems = table(spark, d, "eval_outputs").where("problem is not null").groupBy("problem").agg(F.min("output_id").alias("output_id"))
-    near = U.near_pairs(problems, pool, "output_id", "question_id", "problem", 0.65)
-    texts = near.join(problems.select("output_id", F.col("problem").alias("p")), "output_id").join(pool.select("question_id", F.col("problem").alias("q")), "question_id")
-    close = texts.where((F.least(F.length("p"), F.length("q")) >= 80) & (F.least(F.length("p"), F.length("q")) >= 0.8 * F.greatest(F.length("p"), F.length("q"))))
-    return close.where(U.sequence_ratio("p", "q") >= 0.85).select("output_id", "question_id", F.round("jaccard", 6).alias("jaccard"))
+    """All rows of eval_outputs with a held-out question: (output_id, question_id, kind, jaccard, share), each pair once.
+
+    ``kind`` is the first that holds: 'id', 'normalised_exact', 'near_duplicate' (from 80 characters on, by lengths,
+    words and longest matching blocks) or 'contained' (at least 13 words of the held-out problem in a row). ``jaccard`` is
+    that of the words, ``share`` the share of the held-out problem's runs of 13 words. Texts are compared normalised.
+    """
+    # a text of the pool that is missing may still stand there in its normalised form
+    pool = cut_lineage(table(spark, d, "exclusion_pool").where("question_id is not null").select("question_id", F.coalesce(F.nullif(normalised("problem"), F.lit("")), F.nullif(normalised("normalized_text"), F.lit(""))).alias("q")).distinct())
+    outputs = cut_lineage(table(spark, d, "eval_outputs").select("output_id", "example_id", normalised("problem").alias("p")))
+    left = outputs.where("p != ''").select(F.col("p").alias("text")).distinct().withColumn("l", F.md5("text"))
+    right = pool.where("q is not null").select(F.col("q").alias("text")).distinct().withColumn("r", F.md5("text"))
+
+    near = U.near_pairs(left.where(F.length("text") >= 80), right, "l", "r", "text", 0.65, U.blank_sets)
+    texts = near.join(left.select("l", F.col("text").alias("p")), "l").join(right.select("r", F.col("text").alias("q")), "r")
+    alike = texts.where(F.least(F.length("p"), F.length("q")) >= 0.8 * F.greatest(F.length("p"), F.length("q"))).where(U.sequence_ratio("p", "q") >= 0.85).select("p", "q", F.lit(2).alias("k"))
+    runs = U.contained(left, right, "l", "r", "text", 13)
+    held = runs.join(left.select("l", F.col("text").alias("p")), "l").join(right.select("r", F.col("text").alias("q")), "r").select("p", "q", F.lit(3).alias("k"))
+    equal = left.join(right, "text").select(F.col("text").alias("p"), F.col("text").alias("q"), F.lit(1).alias("k"))
+    by_text = outputs.join(equal.unionByName(alike).unionByName(held), "p").join(pool, "q").select("output_id", "question_id", "k", "p", "q")
+    by_id = outputs.join(pool, F.col("example_id") == F.col("question_id")).select("output_id", "question_id", F.lit(0).alias("k"), "p", "q")
+
+    pairs = by_id.unionByName(by_text).groupBy("output_id", "question_id").agg(F.min_by(F.struct("p", "q"), F.struct("k", "q")).alias("t"), F.min("k").alias("k"))
+    a, b = U.blank_sets(F.col("t.p")), U.blank_sets(F.col("t.q"))
+    x, y = U.shingles(F.coalesce("t.p", F.lit("")), 13), U.shingles(F.coalesce("t.q", F.lit("")), 13)
+    kind = F.element_at(F.array(*map(F.lit, ("id", "normalised_exact", "near_duplicate", "contained"))), F.col("k") + 1)
+    jaccard = F.size(F.array_intersect(a, b)) / F.nullif(F.size(F.array_union(a, b)), F.lit(0))
+    share = F.size(F.array_intersect(x, y)) / F.nullif(F.size(y), F.lit(0))
+    return pairs.select("output_id", "question_id", kind.alias("kind"), F.round(jaccard, 6).alias("jaccard"), F.round(share, 6).alias("share"))
 
 
 def canonical_digest(spark: SparkSession, d: str) -> DataFrame:

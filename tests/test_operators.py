@@ -11,7 +11,7 @@ from evifold.operators import passages as P
 from evifold.operators import ranking as R
 from evifold.operators import textrules as T
 from evifold.operators import traces as X
-from evifold.plans.text_queries import jaccard_members, jaccard_pairs
+from evifold.plans.text_queries import decontaminate, jaccard_members, jaccard_pairs
 from evifold.plans.trace_queries import prefix_chain_merge
 
 
@@ -197,6 +197,22 @@ def test_jaccard_pairs_ask_for_repeated_titles(spark, tmp_path):
     assert rows(jaccard_members(spark, str(tmp_path)), "paper_row_id", "id") == [(3, 3), (7, 7), (8, 8), (20, 3), (27, 7), (40, 40)]
 
 
+def test_decontaminate_finds_ids_equals_near_and_contained(spark, tmp_path):
+    word = [f"word{k}" for k in range(60)]
+    cyrillic = "Можно ли принимать это лекарство вместе с аспирином каждый день утром и вечером до еды при подагре"
+    pool = [("q1", "Short one?", None), ("q2", "短い質問", None), ("q3", " ".join(word[:40]), None), ("q4", cyrillic, None), ("q5", None, None), ("q6", "", "kept as text only"), ("q1", "Short one?", None), ("q1", "Another text of one", None)]
+    outputs = [
+        (1, "x", "SHORT  one"), (2, "x", "短い質問"), (3, "q5", None), (4, "x", " ".join(["before", "it", *word[10:24], "after"])), (5, "x", cyrillic.replace("утром", "днём")),
+        (6, "x", "Short one?"), (7, "x", "another short one"), (8, "x", " ".join(word[:12])), (9, "q3", " ".join(word[:40])), (10, "x", "Kept, as text only!"), (11, None, None),
+    ]
+    spark.createDataFrame(pool, "question_id string, problem string, normalized_text string").write.parquet(str(tmp_path / "exclusion_pool.parquet"))
+    spark.createDataFrame(outputs, "output_id bigint, example_id string, problem string").write.parquet(str(tmp_path / "eval_outputs.parquet"))
+    got = decontaminate(spark, str(tmp_path))
+    equal = [(i, q, "normalised_exact") for i, q in ((1, "q1"), (2, "q2"), (6, "q1"), (10, "q6"))]
+    assert rows(got, "output_id", "question_id", "kind") == sorted([*equal, (3, "q5", "id"), (4, "q3", "contained"), (5, "q4", "near_duplicate"), (9, "q3", "id")])
+    assert [r.share for r in got.where("output_id in (4, 9)").orderBy("output_id").collect()] == [round(2 / 28, 6), 1.0]
+
+
 def test_running_sums_over_a_hot_key(spark):
     from evifold.functions.ordered import numbered, running
 
