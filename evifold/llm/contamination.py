@@ -1,7 +1,7 @@
 """Held-out passages in a corpus, found by latent semantic retrieval.
 
-Passages are windows of 16 words, one every 4 words, of which at least 13 are words of the held-out pool; 13 shared
-words in a row always lie in one of them. Over the damped TF-IDF matrix of all passages of the corpus and the pool a
+Passages are windows of 16 words, one every 4 words, of which at least 13, for paraphrases 12, are words of the held-out
+pool; 13 shared words in a row always lie in one of them. Over the damped TF-IDF matrix of all passages of the corpus and the pool a
 randomised SVD is computed in a distributed way: each task multiplies its rows with a random matrix and back, and
 the products, whose size depends on the pool's vocabulary only, are summed in a tree. In the latent space, every
 passage of the corpus is compared with all passages of the pool by cosine. For the candidates follow
@@ -85,8 +85,8 @@ def read_pool(pool: DataFrame, id_col: str = "question_id", problem_col: str = "
     return out
 
 
-def corpus_windows(df: DataFrame, vocabulary: dict[str, int], id_col: str, text_col: str) -> DataFrame:
-    """(item_id, ids): the passages of each text with at least RUN pool words, as little-endian 32-bit word numbers."""
+def corpus_windows(df: DataFrame, vocabulary: dict[str, int], id_col: str, text_col: str, least: int = RUN) -> DataFrame:
+    """(item_id, ids): the passages of each text with at least ``least`` pool words, as little-endian 32-bit word numbers."""
     shared = df.sparkSession.sparkContext.broadcast(vocabulary)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -96,12 +96,12 @@ def corpus_windows(df: DataFrame, vocabulary: dict[str, int], id_col: str, text_
             for row, text in enumerate(batch.column(1).to_pylist()):
                 found = words(text)
                 n = len(found)
-                if n < RUN:
+                if n < least:
                     continue
                 ids = np.fromiter((number(w, 0) for w in found), np.uint32, n)
                 known = np.concatenate(([0], np.cumsum(ids > 0)))
-                starts = np.arange(0, n - RUN + 1, STRIDE)
-                starts = starts[known[np.minimum(starts + WIDTH, n)] - known[starts] >= RUN]
+                starts = np.arange(0, n - least + 1, STRIDE)
+                starts = starts[known[np.minimum(starts + WIDTH, n)] - known[starts] >= least]
                 if len(starts):
                     ids = np.concatenate((ids, np.zeros(WIDTH, np.uint32)))
                     at += [row] * len(starts)
@@ -109,7 +109,7 @@ def corpus_windows(df: DataFrame, vocabulary: dict[str, int], id_col: str, text_
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(blobs, pa.binary())], names=["item_id", "ids"])
 
     rows = df.select(F.col(id_col).cast("bigint").alias("item_id"), F.col(text_col).cast("string").alias("body"))
-    return rows.where(f"length(body) >= {2 * RUN - 1} and item_id is not null").mapInArrow(scan, "item_id bigint, ids binary")
+    return rows.where(f"length(body) >= {2 * least - 1} and item_id is not null").mapInArrow(scan, "item_id bigint, ids binary")
 
 
 def _matrix(blobs: list[bytes]) -> np.ndarray:
@@ -232,7 +232,7 @@ def find_leaks(
     if not len(pool.windows):
         found = spark.createDataFrame([], schema)
     else:
-        windows = cut_lineage(corpus_windows(df, pool.vocabulary, id_col, text_col))
+        windows = cut_lineage(corpus_windows(df, pool.vocabulary, id_col, text_col, LCS_LEAST if paraphrases else RUN))
         weights, basis = latent_space(windows, pool, rank)
         found = None
         for lo in range(0, len(pool.windows), BLOCK):

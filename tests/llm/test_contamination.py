@@ -54,6 +54,15 @@ def test_paraphrase(spark):
     assert [(r.item_id, r.question_id, r.kind) for r in got] == [(1, "q2", "paraphrase")]
 
 
+def test_paraphrase_with_every_fourth_word_replaced(spark):
+    rng = random.Random(8)
+    held = [(f"q{k}", " ".join(f"t{k}y{rng.randrange(30)}" for _ in range(48)), None) for k in range(8)]
+    changed = [(k, " ".join("other" if n % 4 == k else w for n, w in enumerate(held[k][1].split()))) for k in range(4)]
+    df = spark.createDataFrame([*changed, (9, " ".join(FILLER))], "doc_id bigint, text string")
+    got = find_leaks(df, spark.createDataFrame(held, "question_id string, problem string, accepted_answer string")).collect()
+    assert sorted((r.item_id, r.question_id, r.kind) for r in got) == [(k, f"q{k}", "paraphrase") for k in range(4)]
+
+
 def test_linear_algebra_against_dense():
     rng = np.random.RandomState(0)
     ids = rng.randint(0, 9, (50, 16)).astype(np.uint32)
