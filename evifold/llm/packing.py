@@ -1,9 +1,8 @@
 """Putting texts, sized in tokens, into sequences of fixed capacity.
 
 Texts are dealt to shards by a hash, each shard small enough for one task and large enough to pack well.
-In a shard, items are routed to tiers by length (more than a half of the capacity, more than a quarter, ...);
-each tier opens sequences for what the longer tiers left over, and the gaps of the long ones are filled from
-the shorter tiers, always with the longest item that fits. Sequences are then dealt to step groups of equal
+In a shard, the longest item left opens a sequence, and its gap is filled with the longest items that fit. The
+tier of an item (more than a half of the capacity, more than a quarter, ...) only says how long it is. Sequences are then dealt to step groups of equal
 size in snake order of their attention cost, so that steps take equal time.
 """
 
@@ -69,8 +68,8 @@ def sized(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabul
 def pack_shard(sizes: np.ndarray, capacity: int, tiers: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For items of 1..capacity tokens in a fixed order: the sequence, the place in it, and the tier of each.
 
-    Tier by tier from the longest: an item opens a sequence, and its gap is filled at once with the longest items
-    that fit, from its own tier downwards. The lists of equal sizes are stacks; which sizes are left is read from
+    From the longest: an item opens a sequence, and its gap is filled at once with the longest items that fit; the
+    tier follows from the size and changes no placement. The lists of equal sizes are stacks; which sizes are left is read from
     one integer as a set of bits, so that finding the longest item that fits takes one step.
     """
     n = len(sizes)
