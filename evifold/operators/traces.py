@@ -98,25 +98,25 @@ def query_rewrites(query: Column) -> Column:
     return F.slice(first, 1, 3)
 
 
-def repeated_queries(df: DataFrame, run: str, order: str, query: Column, least: float = 0.85, window: int = 64) -> DataFrame:
-    """Rows whose query has a word Jaccard of at least ``least`` with one of the ``window`` queries before it in the run: (row, best).
+def repeated_queries(df: DataFrame, run: str, order: str, query: Column, least: float = 0.85) -> DataFrame:
+    """Rows whose query has a word Jaccard of at least ``least`` with any query before it in the run: (row, best).
 
-    A run's trace is bounded by its budget of actions; ``window`` has to be at least that budget.
+    Each row holds the distinct word sets before it in its run, so the work grows with the square of a run's length.
     """
     rows = df.withColumn("_w", F.array_distinct(tokens(query)))
-    earlier = F.collect_list("_w").over(Window.partitionBy(run).orderBy(order).rowsBetween(-window, -1))
+    earlier = F.collect_set("_w").over(Window.partitionBy(run).orderBy(order).rowsBetween(Window.unboundedPreceding, -1))
     best = F.array_max(F.transform(earlier, lambda e: jaccard(F.col("_w"), e)))
     return rows.withColumn("best", best).where(F.col("best") >= least).drop("_w")
 
 
-def similar_queries(df: DataFrame, run: list[str], order: str, query: Column, least: float = 0.9, least_chars: int = 24, window: int = 64) -> DataFrame:
+def similar_queries(df: DataFrame, run: list[str], order: str, query: Column, least: float = 0.9, least_chars: int = 24) -> DataFrame:
     """Rows with an earlier, different query in the run whose similarity by matching blocks is at least ``least``: (row, similarity).
 
     Lengths bound the similarity from above, 2 * min / (a + b); pairs under the bound never reach Python.
     """
     rows = df.withColumn("_q", F.trim(F.regexp_replace(F.lower(query), r"\s+", " "))).where(F.length("_q") >= least_chars)
     w = Window.partitionBy(*run).orderBy(order)
-    earlier = rows.withColumn("_e", F.array_distinct(F.collect_list("_q").over(w.rowsBetween(-window, -1)))).withColumn("_p", F.explode("_e")).drop("_e")
+    earlier = rows.withColumn("_e", F.collect_set("_q").over(w.rowsBetween(Window.unboundedPreceding, -1))).withColumn("_p", F.explode("_e")).drop("_e")
     a, b = F.length("_q"), F.length("_p")
     near = earlier.where((F.col("_q") != F.col("_p")) & (2 * F.least(a, b) >= least * (a + b)))
     scored = near.withColumn("similarity", F.round(sequence_ratio("_q", "_p"), 3)).where(F.col("similarity") >= least)

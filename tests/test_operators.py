@@ -213,6 +213,13 @@ def test_decontaminate_finds_ids_equals_near_and_contained(spark, tmp_path):
     assert [r.share for r in got.where("output_id in (4, 9)").orderBy("output_id").collect()] == [round(2 / 28, 6), 1.0]
 
 
+def test_searches_are_compared_with_the_whole_run(spark):
+    words = lambda i: " ".join(f"w{i}x{k}" for k in range(9))
+    df = spark.createDataFrame([("r", i, words(i)) for i in range(70)] + [("r", 70, words(0) + "s"), ("r", 71, words(0))], "run string, o int, q string")
+    assert rows(X.repeated_queries(df, "run", "o", F.col("q")), "o", "best") == [(71, 1.0)]
+    assert rows(X.similar_queries(df.where("o < 71"), ["run"], "o", F.col("q"), 0.98), "o") == [(70,)]
+
+
 def test_running_sums_over_a_hot_key(spark):
     from evifold.functions.ordered import numbered, running
 
