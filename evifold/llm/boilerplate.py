@@ -1,26 +1,46 @@
 """Main body of web pages: which lines belong to the article and which to the furniture of the site.
 
-Each line goes through the standard library's streaming HTML parser with its Markdown marks counted as tags. The
-ratio of text to tags per line is smoothed along the page with a Gaussian kernel, and a threshold between the two
-clusters of the smoothed ratios marks the regions of content. Where the ratio alone can't tell (headings, table
-rows and titles of an article are as short as menu entries), the wording of furniture decides: notices, buttons
-and footers stand in closed lists, and runs of labels or titles below the head of a link box belong to the box.
+A page goes line by line through the standard library's streaming HTML parser, its Markdown marks counted as the tags
+they stand for. The lines of a wrapped paragraph or of a table form a block. The text-to-tag ratio of each block is
+taken, smoothed along the page with a Gaussian kernel, and a threshold between the two clusters of the smoothed ratios
+marks the dense blocks. Neighbouring dense blocks form the regions of content; a region that holds little beside the
+largest one is none. Heads, titles and bylines go with the region below them, all other lines are furniture.
+
+The wording of furniture in four languages is a feature of the ratio: listed wording counts as one tag per character,
+so that a notice of full sentences, which has no tags of its own, shows. ``wording=False`` leaves that out.
 """
 
 from __future__ import annotations
 
+import math
 import re
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 from html.parser import HTMLParser
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SIGMA = 1.0
+#: Width of the kernel in blocks, and the range of ratios in which the threshold of a page lies.
+SIGMA, LEAST_RATIO, MOST_RATIO = 0.6, 18, 24
+#: Characters of a sentence that may be content by itself, and that is content whatever stands around it; and both for
+#: a sentence that was looked up in the wording and isn't listed.
+SENTENCE_CHARS, SURE_CHARS = 50, 90
+UNLISTED_CHARS, UNLISTED_SURE_CHARS = 10, 45
+#: A table counts as text of this ratio, as its bars are no tags of furniture.
+TABLE_RATIO = 120
+#: Blocks without density that a region may span, and short lines above it that go with it as title, byline and head.
+GAP, HEADS = 2, 5
+#: Share of the largest region's characters that a region needs, without and with the wording, and what is always enough.
+SHARE, SHARE_WORDED, ENOUGH_CHARS = 0.2, 0.05, 400
+#: Share of the threshold that a sentence at the edge of a region needs.
+ABOVE, BELOW = 0.8, 0.9
+#: Longest line whose wording is kept for other pages that have it too; longer ones are looked at each time.
+KEPT_CHARS = 300
 
 # fixed values: wording of site furniture by language (en, de, fr, es), matched against a whole line or sentence
 LABELS = (
@@ -63,14 +83,6 @@ OPENINGS = [
     r"mit ihrer zustimmung erheben wir .*", r"wir verwenden cookies.*", r"die inhalte dieser website .*", r"avec votre accord, nos .*", r"ce site utilise .*", r"les informations de ce site .*", r"con su permiso, nosotros .*", r"utilizamos cookies .*", r"este sitio no sustituye .*",
 ]
 
-#: Section heads of articles, which may follow the titles of a link box at once.
-SECTION_HEADS = (
-    "abstract|background|introduction|methods|results|discussion|conclusion|conclusions|limitations|key points|warnings|follow-up|precautions|summary|references|what the evidence says|dosage and administration|when to seek help|related adverse events|"
-    "hintergrund|einleitung|methoden|ergebnisse|diskussion|einschränkungen|schlussfolgerung|zusammenfassung|für patientinnen und patienten|"
-    "contexte|introduction|méthodes|résultats|discussion|précautions d'emploi|résumé|"
-    "antecedentes|introducción|métodos|resultados|discusión|conclusión|conclusiones|precauciones|resumen"
-)
-_SECTION = frozenset(SECTION_HEADS.split("|"))
 _LABEL_SET = frozenset(LABELS.split("|"))
 _HEAD = re.compile(f"(?:{BOX_HEADS})")
 _BUTTON = re.compile(f"(?:{'|'.join(map(re.escape, BUTTONS.split('|')))})")
@@ -87,50 +99,72 @@ _MARKS = re.compile(r"^(?:[\s>*+•◦▪·–_-]|#{1,6}(?=\s)|\d{1,3}[.)](?=\s)
 _TAIL = re.compile(r"(?:[\s»›→▾▸*_·|-]|\(\d{1,4}\))+$")
 _SEPARATORS = re.compile(r"\s*[|·•]\s*|\s{3,}")
 _CRUMB = re.compile(r"\s+(?:[›»→▸/]|>)\s+")
-_TABLE = re.compile(r"^\s*[|│].*[|│]\s*$")
-_STOP = re.compile(r"[.!?…。！？:;][\"'”’»)\]*_]*$")
 _FIRST_END = re.compile(r"[.!?](?=\s|$)")
+_TABLE = re.compile(r"^\s*[|│].*[|│]\s*$")
 _SENTENCES = re.compile(r"(?<=[.!?])\s+")
-_BYLINE = re.compile(r"(?:by|von|par|por|reviewed by|edited by|written by|medically reviewed by|geprüft von|relu par|revisado por)\s", re.I)
-_NAMES = re.compile(r"[^\W\d_]+(?:,? (?:and|und|et|y|e|&) |, )[^\W\d_]+")
-_FIELD = re.compile(r"[^\W\d_]+ ?: [\d≥≤<>~].*")
 _WORDS = re.compile(r"[^\W_]+")
+_STOP = re.compile(r"[.!?…。！？:;][\"'”’»)\]*_]*$")
+_ENDED = re.compile(r"[.!?…。！？][\"'”’»)\]*_ ]*$")
+_ITEM = re.compile(r"^[\s>]*(?:[*+•◦▪·–-]|\d{1,3}[.)])(?=\s)\s*")
+_HEADING = re.compile(r"^[\s>*_]*#{1,6}\s")
+_PARTS = re.compile(r"\s*[|·•»›→/>]\s+|\s{3,}")
+_BARS = re.compile(r"[|│\s:-]+")
+#: Elements whose text is never part of an article.
+_ASIDE = frozenset(("nav", "aside", "footer", "form", "button", "menu", "select", "script", "style", "noscript"))
 
-SENTENCE, SHORT, TABLE, HEADING, FURNITURE, BOX, LABEL, TITLE_ITEM, BLANK = range(9)
+PARAGRAPH, ITEM, HEADING, TABLE = "paragraph", "item", "heading", "table"
 
 
 class _Events(HTMLParser):
-    """Counts the characters of text and the tags of one line; entities count as the characters they stand for."""
+    """Counts the characters of text and the tags of the line that is fed; entities count as what they stand for."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.chars = self.tags = 0
+        self.open: list[str] = []
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         self.tags += 1
+        if tag in _ASIDE:
+            self.open.append(tag)
+
+    def handle_startendtag(self, tag: str, attrs: list) -> None:
+        self.tags += 1
 
     def handle_endtag(self, tag: str) -> None:
         self.tags += 1
+        if tag in self.open:
+            del self.open[self.open.index(tag) :]
 
     def handle_data(self, data: str) -> None:
-        self.chars += len(data.strip())
+        n = len(data.strip())
+        self.tags += n if self.open else 0
+        self.chars += n
 
+    def line(self, text: str) -> tuple[int, int]:
+        """(characters of text, tags) of the next line of the page; a tag that isn't closed on its line is text."""
+        self.chars = self.tags = 0
+        if "<" not in text and "&" not in text and not self.open:
+            return len(text), 0
+        self.feed(text + "\n")
+        if self.rawdata.strip():
+            self.handle_data(self.rawdata)
+        self.rawdata = ""
+        return self.chars, self.tags
 
-def text_to_tag_ratio(line: str) -> float:
-    """Characters of text over tags of a line: HTML tags, links, list marks, heading marks and separators are tags."""
-    links = len(_LINK.findall(line)) if "](" in line else 0
-    bare = _LINK.sub(r"\1", line) if links else line
-    tags = links + len(_SEPARATORS.findall(bare.strip())) + bool(_MARKS.match(bare))
-    if "<" in bare or "&" in bare:
-        p = _Events()
-        p.feed(bare)
-        p.close()
-        return p.chars / max(1, tags + p.tags)
-    return len(bare.strip()) / max(1, tags)
+
+class Block(NamedTuple):
+    """Lines (from 0) that stand together, and what was counted in them."""
+
+    lines: list[int]
+    kind: str
+    chars: int
+    tags: int
+    ended: bool
 
 
 def smoothed(ratios: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
-    """Gaussian smoothing along the lines, the kernel cut at three sigma and renormalised at the ends."""
+    """Gaussian smoothing along the blocks, the kernel cut at three sigma and renormalised at the ends."""
     reach = max(1, int(3 * sigma))
     kernel = np.exp(-0.5 * (np.arange(-reach, reach + 1) / sigma) ** 2)
     weight = np.convolve(np.ones(len(ratios)), kernel, "full")[reach : reach + len(ratios)]
@@ -152,174 +186,247 @@ def threshold(values: np.ndarray) -> float:
     return (lo + hi) / 2
 
 
+# ------------------------------------------------------------------------------------------------ wording
+def _plain_case(line: str) -> str:
+    return _TAIL.sub("", _MARKS.sub("", line.replace("**", "").replace("__", ""))).strip("*_[] \t")
+
+
 def _plain(line: str) -> str:
     """Wording of a line: links opened, marks and counters at both ends removed, case folded, blanks collapsed."""
     t = _LINK.sub(r"\1", line) if "](" in line else line
     t = _TAIL.sub("", _MARKS.sub("", t.replace("**", "").replace("__", "").strip()))
-    t = t.strip("*_[] \t ")
+    t = t.strip("*_[] \t ")
     return " ".join(unicodedata.normalize("NFKC", t).replace("’", "'").casefold().replace("ß", "ss").split())
 
 
+def _bones(text: str) -> str:
+    """Lower-case text without the characters beyond ASCII."""
+    return " ".join(re.sub("[^\x00-\x7f]", "", text).lower().split())
+
+
 def _is_label(part: str) -> bool:
     part = part.strip(" *_[]▾›»→")
     return part in _LABEL_SET or not part.isascii() and _bones(part) in _LABEL_BONES
 
 
-def _bones(text: str) -> str:
-    """Lower-case text without the characters beyond ASCII."""
-    return " ".join(re.sub("[^\x00-\x7f]", "", text).lower().split())
+def _listed(t: str) -> bool:
+    """Whether plain wording, all of it, is a notice or a button."""
+    bare = t.rstrip(".! ")
+    return bool(bare) and bool(_NOTICE.fullmatch(bare) or _BUTTON.fullmatch(bare) or _BUTTONS_ROW.fullmatch(bare + " "))
 
 
-def _furniture_text(t: str) -> bool:
-    """Whether wording of a line, all of it, is furniture by the closed lists."""
+def _look_up(text: str) -> bool:
+    raw = text.strip()
+    if len(raw) > 60 and raw[0] not in "|[#" and "](" not in raw and (end := _FIRST_END.search(raw)) and not _listed(_plain(raw[: end.start()])):
+        return False  # a notice made of several sentences begins with a listed one
+    t = _plain(raw)
     if not t:
         return False
-    bare = t.rstrip(".! ")
-    if len(bare) > 260:
-        return False
-    if _NOTICE.fullmatch(bare) or _BUTTON.fullmatch(bare) or _BUTTONS_ROW.fullmatch(bare + " "):
+    if _HEAD.fullmatch(t.rstrip(":")) or _listed(t) or _is_label(t):
         return True
-    return False
-
-
-@lru_cache(maxsize=200_000)
-def _kind(line: str) -> int:
-    """Kind of a single line, without its neighbours."""
-    raw = line.strip()
-    if not raw or not raw.strip("-=_*#|│ \t ​﻿"):
-        return BLANK if not raw else SHORT
-    if _TABLE.match(raw):
-        return TABLE
-    if len(raw) > 60 and raw[0] not in "|[#" and "](" not in raw and (end := _FIRST_END.search(raw)) and not _furniture_text(_plain(raw[: end.start()])):
-        return SENTENCE  # a notice made of several sentences begins with one of the lists
-    t = _plain(raw)
-    if not t:
-        return SHORT
-    if _HEAD.fullmatch(t.rstrip(":")):
-        return BOX
-    if len(t) < 400 and _furniture_text(t):
-        return FURNITURE
     opened = _LINK.sub(r"\1", raw) if "](" in raw else raw
     crumbs = [" ".join(c.casefold().replace("’", "'").split()) for c in _CRUMB.split(_plain_case(opened))]
     if len(crumbs) >= 2 and _is_label(crumbs[0]) and (_is_label(crumbs[1]) or not _STOP.search(raw)) and len(_WORDS.findall(crumbs[-1])) <= 16:
-        return FURNITURE
-    gap = r"\s*(?:Â·|¬∑|[|·•])\s*|\s{6,}" if "  " in opened.strip() and re.search(r"\w  \w", opened) and not re.search(r"\w \w", opened.strip()) else r"\s*(?:Â·|¬∑|[|·•])\s*|\s{3,}"
+        return True
+    wide = "  " in opened.strip() and re.search(r"\w  \w", opened) and not re.search(r"\w \w", opened.strip())
+    gap = r"\s*(?:Â·|¬∑|[|·•])\s*|\s{6,}" if wide else r"\s*(?:Â·|¬∑|[|·•])\s*|\s{3,}"
     parts = [" ".join(p.casefold().replace("’", "'").split()) for p in re.split(gap, _plain_case(opened)) if p.strip()]
     if len(parts) >= 2:
-        known = sum(_is_label(p) for p in parts)
+        known = sum(map(_is_label, parts))
         if known >= 0.6 * len(parts) or (len(parts) >= 3 and known and all(len(p.split()) <= 3 for p in parts)):
-            return FURNITURE
-    if _is_label(t):
-        return LABEL
-    if not raw.isascii() and len(raw) < 260:
+            return True
+    if not raw.isascii():
         bones = _bones(_plain_case(opened).replace("’", "'")).rstrip(".!: ")
-        if bones in _HEAD_BONES:
-            return BOX
-        if bones in _OTHER_BONES or _NOTICE_BONES.fullmatch(bones):
-            return FURNITURE
+        if bones in _HEAD_BONES or bones in _OTHER_BONES or _NOTICE_BONES.fullmatch(bones):
+            return True
     sentences = _SENTENCES.split(t)
-    if len(sentences) > 1:
-        known = sum(len(s) for s in sentences if _furniture_text(s))
-        if known > 0.5 * len(t):
-            return FURNITURE
-        if _OPENING.fullmatch(t) and known >= 0.3 * len(t):
-            return FURNITURE
-    words = len(_WORDS.findall(t))
-    if raw.lstrip("> *_").startswith("#"):
-        return HEADING
-    if _STOP.search(_LINK.sub(r"\1", raw).rstrip(" *_>»›→")) and words >= 4 or words > 16 or len(t) > 110:
-        return SENTENCE
-    if words <= 16 and not re.search(r"[。！？，、]", t):
-        return TITLE_ITEM
-    return SENTENCE if len(t) > 12 else SHORT
-
-
-def _opens_article(line: str) -> bool:
-    """Whether a short line without marks is a byline, a section head or a field of the article rather than a title."""
-    t = _plain(line).rstrip(":")
-    return bool(t in _SECTION or _BYLINE.match(line) or _NAMES.fullmatch(line) or _FIELD.fullmatch(line))
+    known = sum(len(s) for s in sentences if _listed(s)) if len(sentences) > 1 else 0
+    return known > 0.5 * len(t) or known >= 0.3 * len(t) and bool(known and _OPENING.fullmatch(t))
 
 
-def _plain_case(line: str) -> str:
-    return _TAIL.sub("", _MARKS.sub("", line.replace("**", "").replace("__", ""))).strip("*_[] \t")
+_look_up_kept = lru_cache(maxsize=100_000)(_look_up)
+
+
+def _worded(text: str) -> bool:
+    """Whether a line is furniture by its wording alone."""
+    return _look_up_kept(text) if len(text) <= KEPT_CHARS else _look_up(text)
+
+
+def _worded_block(block: Block, lines: list[str]) -> bool:
+    """Whether a block is listed wording: each of its lines, or the wrapped notice that they make up."""
+    if block.kind == TABLE:
+        return False
+    if all(_worded(lines[i]) for i in block.lines):
+        return True
+    whole = _plain(" ".join(lines[i].strip() for i in block.lines)) if len(block.lines) > 1 else ""
+    return bool(whole) and bool(_OPENING.fullmatch(whole) or _listed(whole))
+
+
+# ------------------------------------------------------------------------------------------------ regions
+def _goes_on(above: str, line: str, width: int) -> bool:
+    """Whether ``line`` continues the paragraph of the line above it, which was wrapped at ``width``."""
+    if _ENDED.search(above):
+        return False
+    return line[:1].islower() and len(above) >= 40 or 60 <= width <= 100 and len(above) + 1 + len(line.split(None, 1)[0]) > width
+
+
+def blocks(lines: list[str]) -> list[Block]:
+    """The non-blank lines of a page, wrapped paragraphs and tables joined, with their characters and tags.
+
+    HTML tags, links, marks of items and separators are tags, and so is the missing end of a line that is no sentence.
+    """
+    width = max(map(len, lines), default=0)
+    groups: list[tuple[list[int], str]] = []
+    above = ""
+    for i, line in enumerate(lines):
+        s = line.strip()
+        if not s:
+            above = ""
+            continue
+        kind = TABLE if _TABLE.match(s) else HEADING if _HEADING.match(line) else ITEM if _ITEM.match(line) else PARAGRAPH
+        if kind == TABLE and above == TABLE or kind == PARAGRAPH and above and above != TABLE and _goes_on(above, s, width):
+            groups[-1][0].append(i)
+        else:
+            groups.append(([i], kind))
+        above = TABLE if kind == TABLE else "" if kind == HEADING or len(_PARTS.findall(s)) > 2 else s
+    events = _Events()
+    out = []
+    for at, kind in groups:
+        text = " ".join(lines[i].strip() for i in at)
+        links = 0
+        if "](" in text:
+            links = len(_LINK.findall(text))
+            text = _LINK.sub(r"\1", text)
+        counted = [events.line(lines[i]) for i in at] if events.open or "<" in text or "&" in text else []
+        tags = sum(t for _, t in counted)
+        if kind == TABLE:
+            out.append(Block(at, kind, len(_BARS.sub("", text)), tags, True))
+            continue
+        core = _ITEM.sub("", text).strip(" #*_>»›→▾")
+        chars = sum(c for c, _ in counted) if tags else len(core)
+        ended = bool(_ENDED.search(core))
+        out.append(Block(at, kind, chars, tags + links + len(_PARTS.findall(core)) + (kind == ITEM) + (not ended), ended))
+    return out
 
 
-def furniture_lines(page: str) -> list[int]:
+def _density(b: Block, least: int = SENTENCE_CHARS) -> float:
+    """Logarithm of a block's text-to-tag ratio; the mark of an item that is a full sentence weighs nothing, links half."""
+    if b.kind == TABLE and not b.tags:
+        return math.log1p(TABLE_RATIO)
+    if b.ended and b.chars >= least:
+        return math.log1p(b.chars / (1 + max(0, b.tags - (b.kind == ITEM)) / 2))
+    return math.log1p(b.chars / (1 + b.tags))
+
+
+def text_to_tag_ratio(line: str) -> float:
+    """Characters of text for each tag of a line, 1 added to the tags; 0 for a blank line."""
+    return next((math.expm1(_density(b)) for b in blocks([line])), 0.0)
+
+
+def _dense_regions(found: list[Block], dense: list[bool], known: list[bool]) -> list[tuple[int, int, int]]:
+    """(first, last, characters) of the runs of dense blocks with fewer than GAP other blocks in a row between them."""
+    regions: list[list[int]] = []
+    gap = 0
+    for j, b in enumerate(found):
+        if dense[j]:
+            if regions and gap < GAP:
+                regions[-1][1] = j
+                regions[-1][2] += b.chars
+            else:
+                regions.append([j, j, b.chars])
+            gap = 0
+        elif not known[j] and b.kind != HEADING:
+            gap += 1
+    return [tuple(r) for r in regions]
+
+
+def _in_box(above: Block, block: Block, known: bool, lines: list[str]) -> bool:
+    """Whether a block stands without a blank line below the head of a link box or below an unlisted item of one."""
+    if block.lines[0] != above.lines[-1] + 1:
+        return False
+    return bool(_HEAD.fullmatch(_plain(lines[above.lines[0]]).rstrip(":"))) if known else above.kind == ITEM and not above.ended
+
+
+def _content(found: list[Block], lines: list[str], wording: bool) -> list[bool]:
+    """Which blocks are part of the main body."""
+    n = len(found)
+    known = [wording and _worded_block(b, lines) for b in found]
+    least, sure = (UNLISTED_CHARS, UNLISTED_SURE_CHARS) if wording else (SENTENCE_CHARS, SURE_CHARS)
+    own = np.array([_density(b, least) for b in found])
+    for j in range(n - 2, -1, -1):  # a head is as dense as what follows it
+        if found[j].kind == HEADING and not known[j]:
+            own[j] = own[j + 1]
+    ratio = smoothed(own)
+    cut = min(max(threshold(ratio), math.log1p(LEAST_RATIO)), math.log1p(MOST_RATIO))
+    sentence = [b.ended and b.chars >= least for b in found]
+    dense = [
+        not known[j] and (b.kind == TABLE and not b.tags or sentence[j] and own[j] >= cut and (ratio[j] >= cut or b.chars >= sure and b.tags <= 2))
+        for j, b in enumerate(found)
+    ]
+    if not any(dense):  # a page without a dense block: its sentences
+        dense = [b.ended and b.tags <= 2 and not known[j] for j, b in enumerate(found)]
+    keep = [False] * n
+    regions = _dense_regions(found, dense, known)
+    if not regions and n == 1:
+        return [found[0].tags <= 1 and not known[0]]
+    share = SHARE_WORDED if wording else SHARE
+    most = max((r[2] for r in regions), default=0)
+    inside = [False] * n
+    for first, last, chars in regions:
+        inside[first : last + 1] = [True] * (last + 1 - first)
+        if chars >= min(share * most, ENOUGH_CHARS):
+            keep[first : last + 1] = [not k for k in known[first : last + 1]]
+    boxed = [wording and j > 0 and _in_box(found[j - 1], b, known[j - 1], lines) for j, b in enumerate(found)]
+    for first, last, _ in regions:
+        if not keep[first]:
+            continue
+        j, short = first - 1, 0
+        while j >= 0 and not inside[j] and not keep[j]:
+            b = found[j]
+            if not known[j]:
+                if b.kind == HEADING:
+                    short = 0
+                elif b.kind == PARAGRAPH and not b.ended and b.tags <= 1 and short < HEADS and not boxed[j]:
+                    short += 1
+                elif not (sentence[j] and b.tags <= 2 and ratio[j] >= ABOVE * cut):
+                    break
+                keep[j] = True
+            j -= 1
+        j = last + 1
+        while j < n and not inside[j] and not known[j] and sentence[j] and found[j].tags <= 2 and (found[j].kind == ITEM or ratio[j] >= BELOW * cut):
+            keep[j] = True
+            j += 1
+    for j in range(n - 1, -1, -1):
+        if found[j].kind == TABLE and not found[j].tags:
+            keep[j] = True
+        elif found[j].kind == HEADING and not keep[j] and not known[j]:
+            below = next((x for x in range(j + 1, n) if not known[x]), None)
+            title = lines[found[j].lines[0]].lstrip("> *_").startswith("# ")
+            keep[j] = title or wording and bool(regions) or below is not None and keep[below] and (found[below].kind != ITEM or found[below].ended)
+    return keep
+
+
+def furniture_lines(page: str, wording: bool = True) -> list[int]:
     """Numbers (from 1) of the non-blank lines of a page that are not part of its main body."""
-    lines = page.split("\n")
-    kinds = [_kind(x.rstrip("\r")) for x in lines]
-    at = [i for i, k in enumerate(kinds) if k != BLANK]
-    if not at:
+    lines = [x.rstrip("\r") for x in page.split("\n")]
+    found = blocks(lines)
+    if not found:
         return []
-    ratios = smoothed(np.log1p(np.array([text_to_tag_ratio(lines[i]) for i in at])))
-    low = ratios <= threshold(ratios)
-    out = [False] * len(at)
-    k = [kinds[i] for i in at]
-    n = len(at)
-    for j in range(n):
-        out[j] = k[j] in (FURNITURE, BOX, LABEL)
-    # a wrapped notice goes on until its sentence ends
-    for j in range(n):
-        line = lines[at[j]].strip()
-        if len(line) >= 30 and not _STOP.search(line.rstrip(" *_>»›→)]")) and _OPENING.fullmatch(_plain(line)):
-            e = j
-            while e + 1 < n and e - j < 4 and at[e + 1] - at[e] == 1 and lines[at[e + 1]].lstrip("> ")[:1].islower():
-                e += 1
-                if _STOP.search(lines[at[e]].strip()):
-                    break
-            if e > j:
-                for x in range(j, e + 1):
-                    out[x] = True
-    # below the head of a box: its titles, up to the first line that is none
-    titled = False
-    j = 0
-    while j < n:
-        if k[j] == BOX:
-            e = j + 1
-            while e < n and (k[e] == TITLE_ITEM or (k[e] == SHORT and "](" in lines[at[e]]) or out[e] and k[e] != BOX):
-                marked = "](" in lines[at[e]] or _MARKS.match(lines[at[e]].strip()) is not None
-                if k[e] == TITLE_ITEM:
-                    if not marked and _opens_article(lines[at[e]].strip()):
-                        break
-                    nxt = k[e + 1] if e + 1 < n else FURNITURE
-                    if not marked and not titled and nxt in (SENTENCE, HEADING, TABLE) and not any(x == SENTENCE for x in k[:e]):
-                        break
-                    out[e] = True
-                e += 1
-            j = e
-            continue
-        if k[j] == HEADING or (k[j] == TITLE_ITEM and not out[j]):
-            titled = True
-        j += 1
-    # runs of short links in a region of furniture
-    j = 0
-    while j < n:
-        e = j
-        while e < n and (out[e] or (k[e] in (TITLE_ITEM, SHORT) and "](" in lines[at[e]] and low[e])):
-            e += 1
-        run = [x for x in range(j, e) if not out[x]]
-        if run and e - j >= 3 and len(run) >= 1:
-            for x in run:
-                out[x] = True
-        j = max(e, j + 1)
-    # single short words among menu entries
-    for j in range(1, n - 1):
-        if not out[j] and low[j] and k[j] in (TITLE_ITEM, SHORT) and out[j - 1] and out[j + 1] and k[j - 1] == k[j + 1] == LABEL:
-            out[j] = True
-    return [at[j] + 1 for j in range(n) if out[j]]
-
-
-def furniture(df: DataFrame, id_col: str, text_col: str, where: Column | None = None) -> DataFrame:
+    keep = _content(found, lines, wording)
+    return sorted(i + 1 for b, kept in zip(found, keep) if not kept for i in b.lines)
+
+
+def furniture(df: DataFrame, id_col: str, text_col: str, where: Column | None = None, wording: bool = True) -> DataFrame:
     """(item_id, line_no): the non-blank lines of each page that are not part of its main body, numbered from 1.
 
     NULL, empty and blank pages give no row, as do pages without furniture; rows that stand twice come out twice; an
     empty table gives no rows. Whole pages are read, whatever their length. Nothing is shuffled, and other columns are
-    never read. ``where`` restricts the rows to web pages.
+    never read. ``where`` restricts the rows to web pages, ``wording=False`` leaves the lists of wording out.
     """
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [furniture_lines(t) for t in batch.column(1).to_pylist()]
+            found = [furniture_lines(t, wording) for t in batch.column(1).to_pylist()]
             ids = batch.column(0).take(pa.array(np.repeat(np.arange(len(found)), [len(x) for x in found]), pa.int64()))
             yield pa.RecordBatch.from_arrays([ids, pa.array([n for x in found for n in x], pa.int32())], names=["item_id", "line_no"])
 
@@ -328,7 +435,7 @@ def furniture(df: DataFrame, id_col: str, text_col: str, where: Column | None =
     return rows.where("length(body) > 0").mapInArrow(scan, "item_id bigint, line_no int")
 
 
-def main_body(df: DataFrame, id_col: str, text_col: str, where: Column | None = None) -> DataFrame:
+def main_body(df: DataFrame, id_col: str, text_col: str, where: Column | None = None, wording: bool = True) -> DataFrame:
     """(item_id, body): each page without the lines of its furniture; other lines and their order stay as they are.
 
     NULL pages give NULL, pages of nothing but furniture an empty text. All else as in :func:`furniture`.
@@ -337,7 +444,7 @@ def main_body(df: DataFrame, id_col: str, text_col: str, where: Column | None =
     def clean(page: str | None) -> str | None:
         if page is None:
             return None
-        drop = set(furniture_lines(page))
+        drop = set(furniture_lines(page, wording))
         return "\n".join(x for i, x in enumerate(page.split("\n"), 1) if i not in drop)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -59,3 +59,58 @@ def test_operator(spark):
     body = {r.item_id: r.body for r in main_body(df, "page_id", "markdown").collect()}
     assert body[2] is None and body[4] == "" and body[3] == "" and "Menu choices" in body[1] and "Advertisement" not in body[1]
     assert furniture(df.limit(0), "page_id", "markdown").count() == 0
+
+
+DANISH = """- [Forside](/)
+- [Nyheder](/nyheder)
+- [Sygdomme](/sygdomme)
+- [Kontakt](/kontakt)
+Log ind | Opret bruger | Hjælp
+# Ny behandling mod gigt
+Forskere fra to hospitaler har fulgt 412 patienter med gigt i fire år og målt, hvor ofte de måtte indlægges på ny.
+Bivirkningerne var få, og de fleste deltagere fortsatte behandlingen i hele perioden uden at ændre deres dosis.
+- Patienter over 70 år fik den halve dosis i de første seks uger.
+- Kvinder og mænd havde lige stor gavn af behandlingen.
+## Resultater
+Antallet af indlæggelser faldt med en tredjedel, og forskellen var den samme på begge hospitaler i hele forløbet.
+- [Om os](/om)
+- [Privatliv](/privatliv)
+- [Presse](/presse)
+Til toppen
+Annoncer
+"""
+DUTCH = """Hoofdmenu · Zoeken · Inloggen
+<nav>Thuis
+Ziekten</nav>
+# Minder pijn na een heupoperatie
+Onderzoekers volgden 230 mensen die een nieuwe heup kregen en vroegen hen elke week naar hun pijn en naar hun slaap.
+De groep die vroeg begon te lopen had minder pijn, en dat verschil bleef na een half jaar nog even groot.
+Meer lezen
+* [Lopen na een operatie](/a/1)
+* [Slapen met pijn](/a/2)
+* [Vragen aan de arts](/a/3)
+Disclaimer | Privacy | Colofon
+"""
+
+
+def test_languages_and_wording_of_no_list():
+    for wording in (True, False):
+        assert furniture_lines(DANISH, wording) == [1, 2, 3, 4, 5, 13, 14, 15, 16, 17]
+        assert furniture_lines(DUTCH, wording) == [1, 2, 3, 7, 8, 9, 10, 11]
+
+
+def test_ratio_decides_where_no_wording_is_listed():
+    body = "The trial followed 412 patients for four years and counted how often they had to return to the hospital.\n" * 3
+    menu = "\n".join(f"- [Entry {k}](/e/{k})" for k in range(6))
+    assert furniture_lines(f"{menu}\n# A trial\n{body}", wording=False) == [1, 2, 3, 4, 5, 6]
+    assert furniture_lines(body + menu, wording=False) == [4, 5, 6, 7, 8, 9]
+
+
+def test_tags_of_open_elements_and_unclosed_tags():
+    page = "<footer>\nA long line of text about the owners of this site, their address and their many other pages.\n</footer>\n# Title\nA sentence of the article, which is long enough to stand by itself on any page, p <0.05 and a<b in it."
+    assert furniture_lines(page, wording=False) == [1, 2, 3]
+
+
+def test_long_lines_are_read_whole():
+    page = "Menu\n" + "word " * 100_000 + "end.\nNach oben"
+    assert furniture_lines(page) == [1, 3]
