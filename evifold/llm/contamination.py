@@ -1,23 +1,25 @@
 """Held-out passages in a corpus, found by latent semantic retrieval.
 
-Passages are windows of 16 words, one every 4 words, of which at least 13, for paraphrases 12, are words of the held-out
+Passages are windows of 16 words, one every 4 words, of which at least 13, for paraphrases 10, are words of the held-out
 pool; 13 shared words in a row always lie in one of them. Over the damped TF-IDF matrix of all passages of the corpus and the pool a
 randomised SVD is computed in a distributed way: each task multiplies its rows with a random matrix and back, and
-the products, whose size depends on the pool's vocabulary only, are summed in a tree. In the latent space, every
-passage of the corpus is compared with all passages of the pool by cosine. For the candidates follow
-the longest run of equal words, the longest common subsequence, and a check of the question's rarest words.
+the products, whose size depends on the pool's vocabulary only, are summed block by block in a shuffle. In the latent
+space, every passage of the corpus is compared with all passages of the pool by cosine. For the candidates follow the
+longest common subsequence, the longest run of equal words, and the answer check: whether the document also holds
+the rarest words of the other side of the question (the accepted answer of a problem, the problem of an answer).
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from evifold.plans.checkpoints import cut_lineage
@@ -27,20 +29,28 @@ RANK, OVERSAMPLING, ROUNDS, SEED = 128, 16, 3, 20_261_126
 #: Exponent of the inverse document frequency; under 1 so that a rare word beside a shared run doesn't hide it.
 DAMPING = 0.5
 COSINE = 0.62
-LCS_LEAST, NEAR_LEAST, KEYS, KEYS_LEAST = 12, 2, 16, 8
+#: Of a paraphrased passage: pool words in it, words of the common subsequence, passages, rarest words, share of them.
+NEAR_WORDS, LCS_LEAST, NEAR_LEAST, KEYS, KEYS_SHARE = 10, 10, 2, 16, 0.5
+#: Share of the rarest words of the question's other side with which one passage is enough.
+OTHER_SHARE = 0.5
+#: Fewest words of a problem or answer under RUN words that is looked for word by word; below, any text may hold it by chance.
+SHORT_LEAST = 4
 #: Character of words that the pool doesn't have; numbers of words begin at 1.
 UNKNOWN = "\0"
 #: Most passages of the pool that are broadcast at a time (about 512 bytes each); more are taken in blocks.
 BLOCK = 40_000
-#: Most rows of the pool; it is a benchmark, read to the driver.
-MAX_POOL = 200_000
+#: Most rows and words of the pool that are read to the driver at a time; a larger pool is taken in blocks of it.
+POOL_ROWS, POOL_WORDS = 100_000, 1_000_000
+#: Blocks of rows of a matrix that are summed by themselves.
+MATRIX_BLOCKS = 8
 
 _WORD = re.compile(r"[^\W_]+")
+_UNSPACED = re.compile("[\u0e00-\u0e7f\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff]|[^\\W_\u0e00-\u0e7f\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff]+")
 
 
-def words(text: str) -> list[str]:
-    """Words of a text: runs of letters and digits, case folded in full."""
-    return _WORD.findall(text.casefold())
+def words(text: str, unspaced: bool = False) -> list[str]:
+    """Words of a text: runs of letters and digits, case folded in full; with ``unspaced`` each Thai, kana or Han character is one."""
+    return (_UNSPACED if unspaced else _WORD).findall(text.casefold())
 
 
 @dataclass
@@ -53,6 +63,8 @@ class Pool:
     fields: list[str]
     windows: np.ndarray
     passage_of: np.ndarray
+    short: list[tuple[list[int], str, str]] = field(default_factory=list)
+    sides: dict[tuple[str, str], set[int]] = field(default_factory=dict)
 
 
 def _char(number: int) -> str:
@@ -60,18 +72,22 @@ def _char(number: int) -> str:
     return chr(number if number < 0xD800 else number + 0x800)
 
 
-def read_pool(pool: DataFrame, id_col: str = "question_id", problem_col: str = "problem", answer_col: str = "accepted_answer") -> Pool:
-    """The pool on the driver; rows that stand twice are taken once, NULL texts and ids and texts under RUN words not at all."""
-    rows = pool.select(F.col(id_col).alias("q"), F.col(problem_col).alias("p"), F.col(answer_col).alias("a")).distinct().limit(MAX_POOL + 1).collect()
-    if len(rows) > MAX_POOL:
-        raise ValueError(f"the pool has more than {MAX_POOL} rows")
+def _number(char: str) -> int:
+    return ord(char) if ord(char) < 0xD800 else ord(char) - 0x800
+
+
+def _pool(rows: list[Row], unspaced: bool) -> list[Pool]:
+    """Rows of the pool in one block or, where their words don't fit, in several."""
     vocabulary: dict[str, int] = {}
     out = Pool(vocabulary, [], [], [], np.zeros((0, WIDTH), np.uint32), np.zeros(0, np.int32))
     windows, owner = [], []
     for q, p, a in sorted((str(r.q), r.p or "", r.a or "") for r in rows if r.q is not None):
-        for field, text in (("problem", p), ("accepted_answer", a)):
-            ids = [vocabulary.setdefault(w, len(vocabulary) + 1) for w in words(text)]
+        for name, text in (("problem", p), ("accepted_answer", a)):
+            ids = [vocabulary.setdefault(w, len(vocabulary) + 1) for w in words(text, unspaced)]
+            out.sides.setdefault((q, name), set()).update(ids)
             if len(ids) < RUN:
+                if len(ids) >= SHORT_LEAST:
+                    out.short.append((ids, q, name))
                 continue
             for s in range(0, len(ids) - RUN + 1, STRIDE):
                 x = ids[s : s + WIDTH]
@@ -79,22 +95,39 @@ def read_pool(pool: DataFrame, id_col: str = "question_id", problem_col: str = "
                 owner.append(len(out.passages))
             out.passages.append("".join(map(_char, ids)))
             out.questions.append(q)
-            out.fields.append(field)
+            out.fields.append(name)
+        if len(vocabulary) > POOL_WORDS and len(rows) > 1:
+            return [x for half in (rows[::2], rows[1::2]) for x in _pool(half, unspaced)]
     if windows:
         out.windows, out.passage_of = np.array(windows, np.uint32), np.array(owner, np.int32)
-    return out
+    return [out]
+
+
+def read_pools(pool: DataFrame, id_col: str = "question_id", problem_col: str = "problem", answer_col: str = "accepted_answer", unspaced: bool = False) -> Iterator[Pool]:
+    """The pool, brought to the driver block by block; rows that stand twice are taken once, NULL ids not at all.
+
+    Passages are made of texts of RUN words or more, shorter ones are kept as ``short``.
+    """
+    rows = pool.select(F.col(id_col).alias("q"), F.col(problem_col).alias("p"), F.col(answer_col).alias("a")).distinct()
+    blocks = max(1, -(-rows.count() // POOL_ROWS))
+    for k in range(blocks):
+        part = rows if blocks == 1 else rows.where(F.pmod(F.xxhash64("q"), F.lit(blocks)) == k)
+        yield from _pool(part.collect(), unspaced)
 
 
-def corpus_windows(df: DataFrame, vocabulary: dict[str, int], id_col: str, text_col: str, least: int = RUN) -> DataFrame:
-    """(item_id, ids): the passages of each text with at least ``least`` pool words, as little-endian 32-bit word numbers."""
+def corpus_windows(df: DataFrame, vocabulary: dict[str, int], id_col: str, text_col: str, least: int = RUN, unspaced: bool = False) -> DataFrame:
+    """(item_id, ids, held): the passages of each text with at least ``least`` pool words, as little-endian 32-bit word numbers.
+
+    ``held`` are all pool words of the text, in the first of its passages only; the passages of a text follow each other.
+    """
     shared = df.sparkSession.sparkContext.broadcast(vocabulary)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = shared.value.get
         for batch in batches:
-            at, blobs = [], []
+            at, blobs, held = [], [], []
             for row, text in enumerate(batch.column(1).to_pylist()):
-                found = words(text)
+                found = words(text, unspaced)
                 n = len(found)
                 if n < least:
                     continue
@@ -103,13 +136,47 @@ def corpus_windows(df: DataFrame, vocabulary: dict[str, int], id_col: str, text_
                 starts = np.arange(0, n - least + 1, STRIDE)
                 starts = starts[known[np.minimum(starts + WIDTH, n)] - known[starts] >= least]
                 if len(starts):
-                    ids = np.concatenate((ids, np.zeros(WIDTH, np.uint32)))
                     at += [row] * len(starts)
+                    held += [np.unique(ids[ids > 0]).tobytes()] + [None] * (len(starts) - 1)
+                    ids = np.concatenate((ids, np.zeros(WIDTH, np.uint32)))
                     blobs += [ids[s : s + WIDTH].tobytes() for s in starts.tolist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(blobs, pa.binary())], names=["item_id", "ids"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(pa.array(at, pa.int64())), pa.array(blobs, pa.binary()), pa.array(held, pa.binary())], names=["item_id", "ids", "held"]
+            )
 
     rows = df.select(F.col(id_col).cast("bigint").alias("item_id"), F.col(text_col).cast("string").alias("body"))
-    return rows.where(f"length(body) >= {2 * least - 1} and item_id is not null").mapInArrow(scan, "item_id bigint, ids binary")
+    shortest = least if unspaced else 2 * least - 1
+    return rows.where(f"length(body) >= {shortest} and item_id is not null").mapInArrow(scan, "item_id bigint, ids binary, held binary")
+
+
+def short_matches(df: DataFrame, pool: Pool, id_col: str, text_col: str, unspaced: bool = False) -> DataFrame:
+    """(item_id, question_id, field, run_words): texts that hold a problem or answer of SHORT_LEAST up to RUN words, word by word."""
+    by_rarest: dict[str, list[tuple[int, list[str], str, str]]] = {}
+    names = {n: w for w, n in pool.vocabulary.items()}
+    count: dict[int, int] = {}
+    for ids, _, _ in pool.short:
+        for i in ids:
+            count[i] = count.get(i, 0) + 1
+    for ids, q, name in pool.short:
+        at = min(range(len(ids)), key=lambda k: (count[ids[k]], -len(names[ids[k]]), k))
+        by_rarest.setdefault(names[ids[at]], []).append((at, [names[i] for i in ids], q, name))
+    shared = df.sparkSession.sparkContext.broadcast(by_rarest)
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        looked = shared.value
+        for batch in batches:
+            out: set[tuple] = set()
+            for item, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                found = words(text, unspaced)
+                for k, w in enumerate(found):
+                    for at, whole, q, name in looked.get(w, ()):
+                        if k >= at and found[k - at : k - at + len(whole)] == whole:
+                            out.add((item, q, name, len(whole)))
+            yield pa.RecordBatch.from_pylist([dict(zip(arrow.names, r)) for r in sorted(out)], schema=arrow)
+
+    arrow = pa.schema([("item_id", pa.int64()), ("question_id", pa.string()), ("field", pa.string()), ("run_words", pa.int32())])
+    rows = df.select(F.col(id_col).cast("bigint").alias("item_id"), F.col(text_col).cast("string").alias("body")).where("length(body) > 0 and item_id is not null")
+    return rows.mapInArrow(scan, "item_id bigint, question_id string, field string, run_words int")
 
 
 def _matrix(blobs: list[bytes]) -> np.ndarray:
@@ -117,17 +184,29 @@ def _matrix(blobs: list[bytes]) -> np.ndarray:
 
 
 def tree_sum(windows: DataFrame, partial: Callable[[np.ndarray], np.ndarray], shape: tuple[int, ...]) -> np.ndarray:
-    """Sum over all batches of ``partial(ids)``: first in each task, then in a tree of tasks; ``shape`` bounds what moves."""
+    """Sum over all batches of ``partial(ids)``, an array of ``shape``: in each task, then by blocks of rows in two shuffles.
+
+    A reducer holds one block at a time, and the driver gets each block once, so what moves to it is one array of
+    ``shape``, however many tasks there are.
+    """
+    ends = np.linspace(0, shape[0], MATRIX_BLOCKS + 1).astype(int)
+    tasks = windows.rdd.getNumPartitions()
+    lanes = int(np.ceil(np.sqrt(tasks)))
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(shape)
         for batch in batches:
             if batch.num_rows:
                 total += partial(_matrix(batch.column(0).to_pylist()))
-        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["part"])
+        lane = TaskContext.get().partitionId() % lanes
+        parts = [total[lo:hi].tobytes() for lo, hi in zip(ends, ends[1:])]
+        yield pa.RecordBatch.from_arrays([pa.array(range(MATRIX_BLOCKS), pa.int32()), pa.array([lane] * MATRIX_BLOCKS, pa.int32()), pa.array(parts, pa.binary())], names=["block", "lane", "part"])
 
-    parts = windows.select("ids").mapInArrow(fold, "part binary").rdd.map(lambda r: np.frombuffer(r[0]).reshape(shape))
-    return parts.treeAggregate(np.zeros(shape), np.add, np.add, depth=3)
+    parts = windows.select("ids").mapInArrow(fold, "block int, lane int, part binary").rdd.map(lambda r: ((r[0], r[1]), np.frombuffer(r[2])))
+    if lanes > 8:
+        parts = parts.reduceByKey(np.add, min(tasks, MATRIX_BLOCKS * lanes))
+    blocks = dict(parts.map(lambda x: (x[0][0], x[1])).reduceByKey(np.add, MATRIX_BLOCKS).collect())
+    return np.concatenate([blocks.get(k, np.zeros(0)) for k in range(MATRIX_BLOCKS)]).reshape(shape) if blocks else np.zeros(shape)
 
 
 def _times(ids: np.ndarray, weights: np.ndarray, basis: np.ndarray) -> np.ndarray:
@@ -215,92 +294,107 @@ def _places(text: str) -> dict[str, int]:
     return out
 
 
+FOUND = "item_id bigint, question_id string, field string, run_words int, lcs_words int, keys int, least_keys int, other_share double, cosine double"
+
+
 def find_leaks(
     df: DataFrame, pool_df: DataFrame, id_col: str = "doc_id", text_col: str = "text", paraphrases: bool = True, rank: int = RANK, cosine: float = COSINE
 ) -> DataFrame:
-    """(item_id, question_id, field, kind, run_words, lcs_words, passages, cosine): held-out passages in the texts.
-
-    ``kind`` is 'verbatim' where a text and the problem or accepted answer share at least 13 words in a row, else, with
-    ``paraphrases``, 'paraphrase' where at least two passages share a subsequence of 12 of their 16 words with it
-    and at least half of its 16 rarest words stand in them. ``run_words`` counts at most the 16 words of a passage.
-    NULL and empty texts, texts under 13 words and an empty pool or corpus give no rows; rows that stand twice give
-    one. Names of other columns don't matter. The pool is read to the driver, up to MAX_POOL rows.
+    """(item_id, question_id, field, kind, run_words, lcs_words, passages, other_share, cosine): held-out passages in the texts.
+
+    ``kind`` is 'verbatim' where a text and the problem or accepted answer share at least 13 words in a row. With
+    ``paraphrases`` it is 'short' where a problem or answer of 4 to 12 words stands in the text as it is, and
+    'paraphrase' where passages share a subsequence of 10 of their 16 words with it and half of its 16 rarest words
+    stand in them: at least two such passages, or one if the answer check holds, that is if the text has half of
+    the rarest words of the question's other side (``other_share``). Paraphrases are also looked for in scripts without
+    blanks, each character being a word there, and so is 'verbatim' then. ``run_words`` counts at most the 16 words of
+    a passage. NULL and empty texts and an empty pool or corpus give no rows; rows that stand twice give one. Names of
+    other columns don't matter. The pool comes to the driver in blocks of POOL_ROWS rows.
     """
-    pool = read_pool(pool_df)
-    schema = "item_id bigint, question_id string, field string, run_words int, lcs_words int, keys int, cosine double"
-    spark = df.sparkSession
-    if not len(pool.windows):
-        found = spark.createDataFrame([], schema)
-    else:
-        windows = cut_lineage(corpus_windows(df, pool.vocabulary, id_col, text_col, LCS_LEAST if paraphrases else RUN))
-        weights, basis = latent_space(windows, pool, rank)
-        found = None
-        for lo in range(0, len(pool.windows), BLOCK):
-            part = _candidates(windows, pool, slice(lo, lo + BLOCK), weights, basis, paraphrases, cosine, schema)
-            found = part if found is None else found.unionByName(part)
+    found = df.sparkSession.createDataFrame([], FOUND)
+    for pool in read_pools(pool_df, unspaced=paraphrases):
+        if len(pool.windows):
+            windows = cut_lineage(corpus_windows(df, pool.vocabulary, id_col, text_col, NEAR_WORDS if paraphrases else RUN, paraphrases))
+            weights, basis = latent_space(windows, pool, rank)
+            for lo in range(0, len(pool.windows), BLOCK):
+                found = found.unionByName(_candidates(windows, pool, slice(lo, lo + BLOCK), weights, basis, paraphrases, cosine))
+        if pool.short and paraphrases:
+            found = found.unionByName(short_matches(df, pool, id_col, text_col, paraphrases), allowMissingColumns=True)
     pairs = found.groupBy("item_id", "question_id", "field").agg(
-        F.max("run_words").alias("run_words"), F.max("lcs_words").alias("lcs_words"), F.bit_or("keys").alias("keys"),
-        F.sum(F.when(F.col("lcs_words") >= LCS_LEAST, 1).otherwise(0)).alias("passages"), F.round(F.max("cosine"), 3).alias("cosine"),
+        F.max("run_words").alias("run_words"), F.max("lcs_words").alias("lcs_words"), F.bit_or("keys").alias("keys"), F.max("least_keys").alias("least_keys"),
+        F.sum(F.when(F.col("lcs_words") >= LCS_LEAST, 1).otherwise(0)).alias("passages"), F.max("other_share").alias("other_share"), F.round(F.max("cosine"), 3).alias("cosine"),
     )
-    kind = F.when(F.col("run_words") >= RUN, "verbatim").when((F.col("passages") >= NEAR_LEAST) & (F.bit_count("keys") >= KEYS_LEAST), "paraphrase")
-    return pairs.withColumn("kind", kind).where("kind is not null").select("item_id", "question_id", "field", "kind", "run_words", "lcs_words", "passages", "cosine")
+    own = F.bit_count("keys") >= F.col("least_keys")
+    near = own & ((F.col("passages") >= NEAR_LEAST) | (F.col("passages") >= 1) & (F.col("other_share") >= OTHER_SHARE))
+    kind = F.when(F.col("run_words") >= RUN, "verbatim").when(F.col("cosine").isNull(), "short").when(near, "paraphrase")
+    return pairs.withColumn("kind", kind).where("kind is not null").select("item_id", "question_id", "field", "kind", "run_words", "lcs_words", "passages", "other_share", "cosine")
 
 
-def _candidates(windows: DataFrame, pool: Pool, block: slice, weights: np.ndarray, basis: np.ndarray, paraphrases: bool, cosine: float, schema: str) -> DataFrame:
+def _rarest(ids: set[int], weights: np.ndarray) -> list[int]:
+    return sorted(ids, key=lambda t: (-weights[t], t))[:KEYS]
+
+
+def _longest_run(window: str, held: str) -> int:
+    """Longest stretch of at least RUN words of a window that stands in ``held``; 0 if there is none."""
+    for n in range(WIDTH, RUN - 1, -1):
+        if any(UNKNOWN not in (g := window[k : k + n]) and g in held for k in range(WIDTH - n + 1)):
+            return n
+    return 0
+
+
+def _candidates(windows: DataFrame, pool: Pool, block: slice, weights: np.ndarray, basis: np.ndarray, paraphrases: bool, cosine: float) -> DataFrame:
     """Passages of the corpus with the passages of one block of the pool near them, after the checks."""
-    rare: list[list[str]] = []
-    for text in pool.passages:
-        ids = sorted({ord(c) if ord(c) < 0xD800 else ord(c) - 0x800 for c in text}, key=lambda t: (-weights[t], t))
-        rare.append([_char(t) for t in ids[:KEYS]])
-    shared = windows.sparkSession.sparkContext.broadcast(
-        (weights, basis, np.ascontiguousarray(_latent(pool.windows[block], weights, basis).T), pool.passage_of[block], pool.passages, pool.questions, pool.fields, rare)
-    )
+    rare = [_rarest({_number(c) for c in text}, weights) for text in pool.passages]
+    opposite = {"problem": "accepted_answer", "accepted_answer": "problem"}
+    other = [np.array(_rarest(pool.sides[q, opposite[name]], weights), np.uint32) for q, name in zip(pool.questions, pool.fields)]
+    targets = np.ascontiguousarray(_latent(pool.windows[block], weights, basis).T)
+    shared = windows.sparkSession.sparkContext.broadcast((weights, basis, targets, pool.passage_of[block], pool.passages, pool.questions, pool.fields, rare, other))
+    least = LCS_LEAST if paraphrases else RUN
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights, basis, targets, owner, passages, questions, fields, rare = shared.value
+        weights, basis, targets, owner, passages, questions, fields, rare, other = shared.value
         places: dict[int, dict[str, int]] = {}
+        document = np.zeros(0, np.uint32)
         for batch in batches:
             out: list[tuple] = []
             matrix = _matrix(batch.column(1).to_pylist())
-            items = batch.column(0).to_pylist()
+            items, held_words = batch.column(0).to_pylist(), batch.column(2).to_pylist()
+            shares: dict[int, float] = {}
+            seen = -1
             for lo in range(0, len(matrix), 256):
                 ids = matrix[lo : lo + 256]
                 near = _latent(ids, weights, basis) @ targets
                 rows, columns = np.nonzero(near >= cosine)
-                if not len(rows):
-                    continue
                 keys, where = np.unique(rows.astype(np.int64) * len(passages) + owner[columns], return_inverse=True)
                 best = np.zeros(len(keys))
                 np.maximum.at(best, where, near[rows, columns])
-                text = ["".join(map(_char, row)) for row in ids.tolist()]
-                grams = [[g for k in range(WIDTH - RUN + 1) if UNKNOWN not in (g := t[k : k + RUN])] for t in text]
+                text: dict[int, str] = {}
                 for key, c in zip(keys.tolist(), best.tolist()):
                     row, p = divmod(key, len(passages))
-                    t, held = text[row], passages[p]
-                    run = 0
-                    for g in grams[row]:
-                        if g in held:
-                            run = max(run, RUN)
-                            break
-                    if run:
-                        for n in range(WIDTH, RUN, -1):
-                            if any(UNKNOWN not in (g := t[k : k + n]) and g in held for k in range(WIDTH - n + 1)):
-                                run = n
-                                break
-                    elif not paraphrases:
+                    if row not in text:
+                        text[row] = "".join(map(_char, ids[row].tolist()))
+                    if p not in places:
+                        places[p] = _places(passages[p])
+                    lcs = lcs_length(text[row], places[p])
+                    if lcs < least:
+                        continue
+                    run = _longest_run(text[row], passages[p]) if lcs >= RUN else 0
+                    if not run and not paraphrases:
                         continue
-                    lcs, bits = run, 0
-                    if paraphrases:
-                        if p not in places:
-                            places[p] = _places(held)
-                        lcs = lcs_length(t, places[p])
-                        if lcs < LCS_LEAST and not run:
-                            continue
-                        for k, r in enumerate(rare[p]):
-                            bits |= (r in t) << k
-                    out.append((items[lo + row], questions[p], fields[p], run, lcs, bits, float(c)))
-            yield pa.RecordBatch.from_pandas(pd.DataFrame(out, columns=[f.name for f in arrow]), schema=arrow, preserve_index=False)
+                    for k in range(seen + 1, lo + row + 1):
+                        if held_words[k] is not None:
+                            document, shares = np.frombuffer(held_words[k], np.uint32), {}
+                    seen = lo + row
+                    if p not in shares:
+                        shares[p] = float(np.isin(other[p], document).mean()) if len(other[p]) else 0.0
+                    here = set(ids[row].tolist())
+                    bits = sum((r in here) << k for k, r in enumerate(rare[p]))
+                    out.append((items[lo + row], questions[p], fields[p], run, lcs, bits, int(np.ceil(KEYS_SHARE * len(rare[p]))), shares[p], float(c)))
+            for k in range(seen + 1, len(held_words)):
+                if held_words[k] is not None:
+                    document = np.frombuffer(held_words[k], np.uint32)
+            yield pa.RecordBatch.from_pandas(pd.DataFrame(out, columns=arrow.names), schema=arrow, preserve_index=False)
 
     kinds = {"bigint": pa.int64(), "string": pa.string(), "int": pa.int32(), "double": pa.float64()}
-    arrow = pa.schema([(name, kinds[kind]) for name, kind in (x.split() for x in schema.split(", "))])
-    return windows.mapInArrow(scan, schema)
+    arrow = pa.schema([(name, kinds[kind]) for name, kind in (x.split() for x in FOUND.split(", "))])
+    return windows.mapInArrow(scan, FOUND)

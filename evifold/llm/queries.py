@@ -47,7 +47,7 @@ def p5_sequences(spark: SparkSession, d: str) -> DataFrame:
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     leaks = contamination.find_leaks(table(spark, d, "documents"), table(spark, d, "exclusion_pool"), paraphrases=False)
-    return leaks.select(F.col("item_id").alias("doc_id"), "question_id").distinct()
+    return leaks.where("kind = 'verbatim'").select(F.col("item_id").alias("doc_id"), "question_id").distinct()
 
 
 def p6_leaks(spark: SparkSession, d: str) -> DataFrame:

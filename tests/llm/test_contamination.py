@@ -3,6 +3,7 @@ import re
 
 import numpy as np
 
+from evifold.llm import contamination
 from evifold.llm.contamination import _back, _places, _times, find_leaks, lcs_length
 
 FILLER = [f"w{k}" for k in range(400)]
@@ -88,3 +89,28 @@ def test_lcs_against_table():
             for j, y in enumerate(b):
                 t[i + 1][j + 1] = t[i][j] + 1 if x == y else max(t[i][j + 1], t[i + 1][j])
         assert lcs_length(a, _places(b)) == t[-1][-1]
+
+
+def test_answer_check_short_fields_and_scripts_without_blanks(spark):
+    rng = random.Random(9)
+    held = [(f"q{k}", " ".join(f"t{k}y{rng.randrange(30)}" for _ in range(16)), " ".join(f"a{k}z{rng.randrange(30)}" for _ in range(20))) for k in range(6)]
+    held += [("brief", "which dose of aspirin helps", "two tablets"), ("han", "患者服用该药物后出现头痛应当如何处理并且何时复诊", None)]
+    one = held[1][1].split()
+    one[5] = one[11] = "other"
+    docs = [
+        (1, " ".join(one) + " . " + held[1][2]), (2, " ".join(one)), (3, "So: WHICH dose of Aspirin helps?"), (4, "which dose of it helps"),
+        (5, "前言。" + held[7][1] + "。结束"), (6, " ".join(FILLER)),
+    ]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string")
+    got = {(r.item_id, r.question_id, r.field): r for r in find_leaks(df, spark.createDataFrame(held, "question_id string, problem string, accepted_answer string")).collect()}
+    assert got[1, "q1", "problem"].kind == "paraphrase" and got[1, "q1", "problem"].other_share == 1.0 and got[1, "q1", "accepted_answer"].kind == "verbatim"
+    assert (2, "q1", "problem") not in got
+    assert got[3, "brief", "problem"].kind == "short" and got[5, "han", "problem"].kind == "verbatim" and {k[0] for k in got} == {1, 3, 5}
+
+
+def test_pool_in_blocks(spark, monkeypatch):
+    docs, pool = _corpus(5)
+    df, held = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(pool, "question_id string, problem string, accepted_answer string")
+    monkeypatch.setattr(contamination, "POOL_ROWS", 15)
+    monkeypatch.setattr(contamination, "POOL_WORDS", 150)
+    assert {(r.item_id, r.question_id) for r in find_leaks(df, held, paraphrases=False).where("kind = 'verbatim'").collect()} == _brute(docs, pool)
