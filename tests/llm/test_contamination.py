@@ -104,8 +104,8 @@ def test_answer_check_short_fields_and_scripts_without_blanks(spark):
     df = spark.createDataFrame(docs, "doc_id bigint, text string")
     got = {(r.item_id, r.question_id, r.field): r for r in find_leaks(df, spark.createDataFrame(held, "question_id string, problem string, accepted_answer string")).collect()}
     assert got[1, "q1", "problem"].kind == "paraphrase" and got[1, "q1", "problem"].other_share == 1.0 and got[1, "q1", "accepted_answer"].kind == "verbatim"
-    assert (2, "q1", "problem") not in got
-    assert got[3, "brief", "problem"].kind == "short" and got[5, "han", "problem"].kind == "verbatim" and {k[0] for k in got} == {1, 3, 5}
+    assert got[2, "q1", "problem"].other_share == 0.0 and (2, "q1", "accepted_answer") not in got
+    assert got[3, "brief", "problem"].kind == "short" and got[5, "han", "problem"].kind == "verbatim" and {k[0] for k in got} == {1, 2, 3, 5}
 
 
 def test_pool_in_blocks(spark, monkeypatch):
