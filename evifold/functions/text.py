@@ -8,6 +8,7 @@ from functools import lru_cache
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Characters that NFKC leaves as they are, of the scripts in common use; texts of these alone need no normalising.
 _NORMAL = r"\x00-\x7f\xa0\xab\xb7\xbb\xbf-\u0131\u0134-\u013e\u0141-\u0148\u014a-\u017e\u0400-\u0482\u048a-\u052f\u2010-\u2023\u2030-\u2032\u2039\u203a\u3000-\u3002\u3005-\u3029\u3041-\u3096\u30a1-\u30fe\u3400-\u4dbf\u4e00-\u9fff"
@@ -34,7 +35,7 @@ def fold_case(c: Column) -> Column:
     return F.when(F.octet_length(c) == F.length(c), F.lower(c)).when(low.rlike("[" + "".join(one) + "".join(rare) + "]"), spelled).otherwise(low)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _nfkc(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: unicodedata.normalize("NFKC", t), na_action="ignore")
 
