@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from evifold.functions.text import NOT_WORD, computed_once, fold_case
+from evifold.functions.text import computed_once, fold_case, nfkc
 from evifold.plans.checkpoints import cut_lineage
 
 ACTION = T.StructType(
@@ -31,22 +31,33 @@ _STRICT = {
     "allowNonNumericNumbers": "false",
 }
 FIELD, ITEM = "\x1e", "\x1f"
-#: A group is hot when it holds more than one in HOT_SHARE rows, so there are never more than HOT_SHARE hot groups.
-HOT_SHARE = 200
+#: What parts words: all but letters with their marks, and digits. With signs kept, those of comparison and arithmetic
+#: stay, and points and commas between digits.
+BREAK = r"[^\p{L}\p{M}\p{N}]+"
+BREAK_BUT_SIGNS = r"(?:(?!(?<=\p{N})[.,](?=\p{N})|[-\u2212](?=\p{N}))[^\p{L}\p{M}\p{N}<>=+±≤≥≠%])+"
+#: Rows of a group that are joined by key; groups of more are hot. A hot group has at least so many rows, so that the
+#: number of hot groups is at most the rows over it; it is counted before they are broadcast.
+HOT_ROWS, MOST_HOT = 100_000, 200_000
 
 
-def canonical_searches(df: DataFrame, id_col: str = "log_id", action_col: str = "executed_action") -> DataFrame:
+def canonical_searches(df: DataFrame, id_col: str = "log_id", action_col: str = "executed_action", signs: bool = False) -> DataFrame:
     """(item_id, canon): canonical text of each logged search action; all other rows give none.
 
+    Characters are brought to NFKC, so that composed and decomposed letters and full and half width are equal. Words are
+    letters with their marks and digits, as TESTDATA.md has it; with ``signs`` the signs of comparison and arithmetic, a
+    minus and a decimal point count too, so that "p < 0.05" and "p > 0.05" stay apart.
+
     NULL ids, NULL, cut-off or otherwise broken JSON, other actions and queries without a word give no row. A missing
     field counts as an empty one; the order of the fields never matters, the order of ``requirement_ids`` does.
     """
-    spaced = lambda c: F.coalesce(F.trim(F.regexp_replace(c, NOT_WORD, " ")), F.lit(""))
+    breaks = BREAK_BUT_SIGNS if signs else BREAK
+    spaced = lambda c: F.coalesce(F.trim(F.regexp_replace(c, breaks, " ")), F.lit(""))
     rows = df.select(F.col(id_col).cast("bigint").alias("item_id"), F.col(action_col).cast("string").alias("logged")).where("item_id is not null and logged is not null")
     parsed = computed_once(rows, "j", F.from_json("logged", ACTION, _STRICT)).where("j._broken is null").select("item_id", "j")
     ids = F.transform(F.coalesce(F.col("j.requirement_ids"), F.array()), spaced)
     text = F.concat(spaced(F.col("j.action")), F.lit(FIELD), spaced(F.col("j.channel")), F.lit(FIELD), F.concat_ws(ITEM, ids), F.lit(FIELD), F.col("query"))
-    worded = computed_once(parsed, "query", spaced(F.col("j.query"))).where("query != ''").select("item_id", text.alias("text"))
+    normal = parsed.select("item_id", "j", nfkc(F.col("j.query")).alias("asked"))
+    worded = computed_once(normal, "query", spaced(F.col("asked"))).where(F.col("query").rlike(r"[\p{L}\p{N}]")).select("item_id", text.alias("text"))
     return computed_once(worded, "canon", fold_case(F.col("text"))).where(F.col("canon").startswith("search" + FIELD)).select("item_id", "canon")
 
 
@@ -86,13 +97,15 @@ def distinct_records(texts: DataFrame) -> DataFrame:
 def duplicate_pairs(texts: DataFrame) -> DataFrame:
     """(keep_id, dup_id): one row for each record but the one with the smallest id of its group.
 
-    Groups that hold more than one row in ``HOT_SHARE`` are at most ``HOT_SHARE`` in number and go to the rows by
-    broadcast, so no task gathers a hot group; all others are joined by key. Nulls and empty tables: as in
-    :func:`distinct_records`.
+    Groups of more than HOT_ROWS rows, whose number is at most the rows over HOT_ROWS, go to the rows by broadcast as long as there
+    are no more than MOST_HOT of them, so no task gathers a hot group; all others are joined by key. Beyond MOST_HOT the
+    bound of a group that is joined by key doubles until they fit. Nulls and empty tables: as in :func:`distinct_records`.
     """
     keys, groups = _checked(texts)
-    least = max(10_000, keys.count() // HOT_SHARE)
     groups = groups.where("n_copies > 1").select("h", "keep_id", "n_copies")
+    least = HOT_ROWS
+    while groups.where(F.col("n_copies") > least).limit(MOST_HOT + 1).count() > MOST_HOT:
+        least *= 2
     hot = F.broadcast(groups.where(F.col("n_copies") > least))
     rows = keys.select("h", "item_id")
     from_hot = rows.join(hot, "h")

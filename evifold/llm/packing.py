@@ -1,8 +1,10 @@
 """Putting texts, sized in tokens, into sequences of fixed capacity.
 
-Texts are dealt to shards by a hash, each shard small enough for one task and large enough to pack well.
-In a shard, the longest item left opens a sequence, and its gap is filled with the longest items that fit. The
-tier of an item (more than a half of the capacity, more than a quarter, ...) only says how long it is. Sequences are then dealt to step groups of equal
+Texts are dealt to shards by a hash, each shard small enough for one task and large enough to pack well. In a shard
+they are packed hierarchically over several context sizes, the capacity and its halves: each item is routed to the
+smallest context size that holds it, the windows of each size are packed from the longest size to the shortest, and
+the gap of a window is filled with the longest items of the shorter tiers that fit. Windows, from the longest on, are
+joined to sequences of the capacity and follow each other without a gap. Sequences are dealt to step groups of equal
 size in snake order of their attention cost, so that steps take equal time.
 """
 
@@ -21,7 +23,7 @@ from pyspark.sql import functions as F
 
 from evifold.plans.checkpoints import cut_lineage
 
-CAPACITY, TIERS, STEP_SIZE = 2_048, 5, 32
+CAPACITY, TIERS, STEP_SIZE = 2_048, 3, 32
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Tokens that a shard holds on average: a bound on the memory of a task and on the room lost at the shards' ends.
 SHARD_TOKENS = 16_000_000
@@ -65,12 +67,21 @@ def sized(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabul
     return rows.where("length(body) > 0").mapInArrow(count, "item_id bigint, n_tokens bigint")
 
 
+def context_sizes(capacity: int, tiers: int) -> list[int]:
+    """The capacity and its halves, at most ``tiers`` sizes; an odd size is not halved, as its halves would not fill it."""
+    sizes = [capacity]
+    while len(sizes) < tiers and sizes[-1] % 2 == 0:
+        sizes.append(sizes[-1] // 2)
+    return sizes
+
+
 def pack_shard(sizes: np.ndarray, capacity: int, tiers: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For items of 1..capacity tokens in a fixed order: the sequence, the place in it, and the tier of each.
+    """For items of 1..capacity tokens in a fixed order: the sequence, the place in it, and the tier of the window of each.
 
-    From the longest: an item opens a sequence, and its gap is filled at once with the longest items that fit; the
-    tier follows from the size and changes no placement. The lists of equal sizes are stacks; which sizes are left is read from
-    one integer as a set of bits, so that finding the longest item that fits takes one step.
+    Tier k has windows of ``context_sizes(capacity, tiers)[k]`` tokens. From the longest tier on, the longest item left
+    that needs this tier opens a window, and its gap is filled with the longest items left that fit, which all come from
+    shorter tiers or the same one. The lists of equal sizes are stacks; which sizes are left is read from one integer as a
+    set of bits, so that finding the longest item that fits takes one step.
     """
     n = len(sizes)
     order = np.argsort(sizes, kind="stable")
@@ -81,25 +92,26 @@ def pack_shard(sizes: np.ndarray, capacity: int, tiers: int) -> tuple[np.ndarray
     for size in np.flatnonzero(np.asarray(left)).tolist():
         have |= 1 << size
     order = order.tolist()
-    seq, place = np.zeros(n, np.int64), np.zeros(n, np.int64)
-    number = 0
-    while have:
-        room, at = capacity, 0
-        while room:
-            fitting = have & ((1 << (room + 1)) - 1)
-            if not fitting:
-                break
-            size = fitting.bit_length() - 1
-            top[size] -= 1
-            item = order[top[size]]
-            left[size] -= 1
-            if not left[size]:
-                have ^= 1 << size
-            seq[item], place[item] = number, at
-            room -= size
-            at += size
-        number += 1
-    tier = np.minimum(np.floor(np.log2(capacity / np.maximum(sizes, 1))).astype(np.int64), tiers - 1)
+    seq, place, tier = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, np.int64)
+    windows = context_sizes(capacity, tiers)
+    start = filled = 0  # of the window, over all sequences end to end, and tokens in its sequence so far
+    for k, window in enumerate(windows):
+        least = windows[k + 1] if k + 1 < len(windows) else 0
+        while have >> (least + 1):
+            room = window
+            while room and (fitting := have & ((1 << (room + 1)) - 1)):
+                size = fitting.bit_length() - 1
+                top[size] -= 1
+                item = order[top[size]]
+                left[size] -= 1
+                if not left[size]:
+                    have ^= 1 << size
+                seq[item], place[item], tier[item] = start // capacity, filled, k
+                room -= size
+                filled += size
+            start += window
+            if start % capacity == 0:
+                filled = 0
     return seq, place, tier
 
 
@@ -116,6 +128,7 @@ def balanced_steps(cost: np.ndarray, step_size: int) -> np.ndarray:
 def pack(df: DataFrame, id_col: str = "item_id", size_col: str = "n_tokens", capacity: int = CAPACITY, tiers: int = TIERS, step_size: int = STEP_SIZE) -> DataFrame:
     """(shard, seq_no, step_group, tier, item_id, part_no, first_token, n_tokens, seq_start): every token of every item once.
 
+    ``tier`` is that of the window an item lies in, whose context size is the capacity halved ``tier`` times.
     An item of more than ``capacity`` tokens alone is divided: full sequences of it first, its rest is packed as an
     item of its own. All others stay whole. NULL ids or sizes and sizes under 1 give no row; rows that are equal are
     packed as often as they stand there; an empty table gives no rows. Ties are broken by id, part and copy, so a

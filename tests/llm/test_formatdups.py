@@ -66,3 +66,21 @@ def test_hot_group_and_collision_path(spark, monkeypatch):
 def test_empty_table(spark):
     df = spark.createDataFrame([], "log_id bigint, executed_action string")
     assert D.duplicate_pairs(D.canonical_searches(df)).count() == 0 and D.distinct_records(D.canonical_searches(df)).count() == 0
+
+
+def _canon(spark, queries, signs):
+    rows = [(i, json.dumps({"action": "search", "query": q})) for i, q in enumerate(queries)]
+    got = {r.item_id: r.canon for r in D.canonical_searches(spark.createDataFrame(rows, "log_id bigint, executed_action string"), signs=signs).collect()}
+    return [got.get(i) for i in range(len(queries))]
+
+
+def test_characters_are_canonical(spark):
+    a = _canon(spark, ["कि", "की", "café", "café", "ａｓｐｉｒｉｎ", "Aspirin", "ﬁbrosis", "fibrosis", "ｱｽﾋﾟﾘﾝ", "アスピリン"], False)
+    assert a[0] != a[1] and all(a[k] == a[k + 1] for k in (2, 4, 6, 8)) and len(set(a)) == 6
+
+
+def test_signs(spark):
+    asked = ["p < 0.05", "p > 0.05", "p 0 05", "dose -5", "dose 5", "dose - 5", "0.5 mg, daily.", "5 mg daily"]
+    kept, plain = _canon(spark, asked, True), _canon(spark, asked, False)
+    assert len(set(kept[:3])) == 3 and kept[3] != kept[4] == kept[5] and kept[6].endswith("0.5 mg daily")
+    assert len(set(plain[:3])) == 1 and plain[3] == plain[4]

@@ -2,7 +2,7 @@ import random
 
 import numpy as np
 
-from evifold.llm.packing import balanced_steps, count_tokens, pack, pack_shard, sized, vocabulary_path
+from evifold.llm.packing import balanced_steps, context_sizes, count_tokens, pack, pack_shard, sized, vocabulary_path
 
 
 def test_pack_shard_is_sound_and_tight():
@@ -43,3 +43,17 @@ def test_operator(spark):
     assert sum(r.item_id == 1 for r in got) == 1 and sorted(r.part_no for r in got if r.item_id == 4) == list(range(-(-sizes[4][0] // 512)))
     assert sorted(map(tuple, got)) == sorted(map(tuple, pack(sized(df.repartition(3)), capacity=512).collect()))
     assert pack(sized(df.limit(0))).count() == 0
+
+
+def test_tiers_decide_where_items_go():
+    rng = random.Random(8)
+    sizes = np.array([rng.randrange(1, 2_049) if rng.random() < 0.3 else rng.randrange(1, 400) for _ in range(3_000)], np.int64)
+    one, five = pack_shard(sizes, 2_048, 1), pack_shard(sizes, 2_048, 5)
+    assert (one[2] == 0).all() and set(five[2].tolist()) == {0, 1, 2, 3, 4} and not np.array_equal(one[0], five[0])
+    routed = np.searchsorted(-np.array([1_024, 512, 256, 128]), -sizes, side="right")  # smallest window that holds each
+    assert (five[2] <= routed).all() and (five[2] < routed).any()  # none in a window too small, gaps filled from shorter tiers
+    for k in range(4):  # each window was opened by an item that needs its size
+        assert (five[2][routed == k] == k).any()
+    for seq in (one[0], five[0]):
+        assert seq.max() + 1 <= 1.01 * sizes.sum() / 2_048 + 2
+    assert context_sizes(2_048, 3) == [2_048, 1_024, 512] and context_sizes(10, 5) == [10, 5]
