@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-ROUNDS = 3
+ROUNDS = 8
 
 # fixed values: encodings that text was taken for, and encodings that it may have been in
 TAKEN_FOR = ["cp1252", "cp1250", "cp1251", "iso8859_2", "iso8859_15", "cp437", "cp850", "mac_roman", "koi8_r", "cp866", "cp1254"]
@@ -76,30 +76,38 @@ _LOW = "a-zß-öø-ÿœąćęłńśźż"
 _UP = "À-ÖØ-ÞŒŸĄĆĘŁŃŚŹŻ"
 _BOX = "─-▟⌐⌠⌡"
 _ODD = "¡¢£¤¥¦¨©ª¬®¯°±²³´¶¸¹º»¼½¾¿×÷‚„†‡‰ˆ˜¯˘˙˚¸˝˛ˇƒ√∑∏∂∫≈≠≤≥∞◊ΓΘΣΦΩτδφεπⁿ₧"
+_BOXES = re.compile("[А-яёЁ][─-▟]|[─-▟][А-яёЁ]|[─-▟]{2}")
 _HAN = "㐀-䶿一-鿿豈-﫿㈠-㉿"
 #: Places where no language of a text puts such characters, each alone enough.
 PLACES = {
     "lost": re.compile("�"),
     "control": re.compile("[\x80-\x9f]"),
     "capital inside": re.compile(f"[{_LOW}][{_UP}](?=[{_LOW}'’.,;:]|$|\\s)"),
-    "symbol inside": re.compile(f"[A-Za-z{_UP}{_LOW}][{_ODD}·§][a-z]|(?<![^\\s(\\[*_#>-])[³²¹¬┐√∂ⁿ±÷][{_LOW}]{{2}}|[a-z]{{2}}[¾¼½¹³]+[a-z]|[A-Z]«?[√∂∑∏∫ƒ≈∆◊][A-Z]|(?<![^\\s])∑(?!\\S)|(?<![A-Za-z])ð[a-z]"),
-    "box": re.compile(f"[A-Za-z{_LOW}][{_BOX}]|[{_BOX}][A-Za-z{_LOW}]|[├┬─ΓÔ][⌐çéÇôöª║®{_BOX}]"),
+    "symbol inside": re.compile(f"[a-z][þð][a-z]|[A-Za-z{_UP}{_LOW}][{_ODD}·§][a-z]|(?<![^\\s(\\[*_#>-])[³²¹¬┐√∂ⁿ±÷][{_LOW}]{{2}}|[a-z]{{2}}[¾¼½¹³]+[a-z]|[A-Z]«?[√∂∑∏∫ƒ≈∆◊][A-Z]|(?<![^\\s])∑(?!\\S)|(?<![A-Za-z])ð[a-z]"),
+    "small before capital": re.compile("(?<!\\w)[ß-öø-ÿ](?:[A-Z][a-z]|[A-Z]{2})|(?m:^)[òïëûõþðñçøù](?:$|\\s)"),
+    "box": re.compile(f"[A-Za-zА-яёЁ{_LOW}][{_BOX}]|[{_BOX}][A-Za-zА-яёЁ{_LOW}]|[▒░▓]\\d|[├┬─ΓÔ][⌐çéÇôöª║®{_BOX}]"),
     "mixed scripts": re.compile("[A-Za-z][Ѐ-џ]|[Ѐ-џ][A-Za-z]"),
     "mac": re.compile("√[†-⁰©®ß∂-≥ºª±¥µÄÅÇÉÑÖÜáàâäãåçéèêëíìîïñóòôöõúùûü¢£§•¶™´¨ÆØ∏∫Ωæø¿¡¬«…]|¬[µ©∞±∑∑∏ªº∫ßÆø¿¡]|‚[ÄÇÅ][ôìî¶úù¢†°]|[≈ƒ][ÇÑÖÜáàâäãåçéèêëíìîïñóòôöõúùûü†°ôö]|∞C\\b|Œ[±≤îîº]"),
     "wide in cyrillic": re.compile("[Ѐ-ӿ][¤¦§©¬®±¶µ·†‡‰][Ѐ-ӿ]|[Ѐ-ӿ]\xad[Ѐ-ӿ]"),
     "high run": re.compile("[¡-ÿ]*[À-ÿ][¡-¿×÷]+[À-ÿ][¡-ÿ]*|[¡-ÿ]{5,}|(?:[‚ƒŠŽ][!-~¡-ÿŒœŠšŽžŸˆ˜–—‘’“”•…‰™]){3,}"),
     "half kana": re.compile("[縺繧繝邨郢隴][｡-ﾟ]|[｡-ﾟ][縺繧繝]|[A-Za-z][｡-ﾟ]{2}|[ﾃﾂ][｡-ﾟ]"),
 }
+#: The micro sign of a unit, read as another letter.
+_UNIT = re.compile("\\d ?[^\\W\\d_\x00-\x7fµμкмнКМ]g(?![^\\W_])")
 #: Places that count from the second on.
 WEAK = re.compile("[ЂЃѓЉЊЌЋЏђљњќћџЎЈҐЅѕ]|[а-яё][А-Я]{2,}[а-я]?|[А-Я][а-я]?[°±µ‚ѓ„…†‡€‰‹‘’“”•–—™›¤¦§©«¬®·№»](?=[РСГВ])|(?:[ÐÑ][^\\s]){3}")
 _RARE_SERBIAN = 3
+#: Small Russian letters from the most to the least frequent; fixed values.
+_FREQUENT = {c: k for k, c in enumerate("оеаинтсрвлкмдпуяыьгзбчйхжшюцщэфъё")}
+_CAPITAL_WORD = re.compile("[А-Я]{4,}")
 _INVERTED, _CAPITALS, _SMALLS = re.compile("(?<![А-Яа-яё])[а-яё][А-Я]{3,}"), re.compile("[А-Я]"), re.compile("[а-яё]")
+_WIDE = re.compile("[⺀-\U0010ffff]")
 _HAN_RUN = re.compile(f"[{_HAN}]+[a-z]?")
 _SYMBOL_RUN = re.compile("[À-ÿ]{4,}")
 _BEYOND = re.compile("[^\x00-\x7f]+(?=([!-~]{0,2}))")
 _UNICODE_LETTERS = re.compile("[A-Za-z]")
-#: The automata that are run on every text with characters beyond ASCII; the others only follow other evidence.
-_ALWAYS = ["cp1252", "cp437", "cp1250", "iso8859_2", "cp1251"]
+#: The automata that are run on every text with characters beyond ASCII.
+_ALWAYS = ["cp1252", "cp437", "cp850", "cp1250", "iso8859_2", "iso8859_15", "cp1251", "koi8_r", "cp866", "mac_roman", "cp1254"]
 _QUOTES = "»”’“‘›–—…°«‚„\xa0·"
 _UPPER_WORD = re.compile(f"[A-Z{_UP}]$")
 
@@ -117,6 +125,8 @@ def _distinct(text: str) -> str:
 def _sound_span(text: str, m: re.Match[str], codec: str) -> bool:
     """Whether a well-formed span is damage, not a capital that happens to stand before a closing mark."""
     span = m.group()
+    if codec in ("koi8_r", "cp866"):  # letters alone are well-formed there too
+        return bool(_BOXES.search(span)) and not span.isspace()
     if len(span) > 3:
         return not (codec == "cp1251" and all(c in _QUOTES for c in span[1::2]))
     if len(span) == 3:
@@ -144,15 +154,16 @@ def evidence(text: str) -> str | None:
     for name, place in PLACES.items():
         if place.search(t):
             return name
+    if _UNIT.search(text):
+        return "unit"
     for codec in _ALWAYS:
         for m in utf8_automaton(codec).finditer(t):
             if _sound_span(t, m, codec):
                 return codec
-    if len(WEAK.findall(t)) >= _RARE_SERBIAN or _inverted_case(t):
+    if len(WEAK.findall(t)) >= _RARE_SERBIAN or _inverted_case(t) or _koi8_capitals(text):
         return "weak"
     for m in _HAN_RUN.finditer(t):
-        run = m.group()
-        if _wide_damage(run, t, m):
+        if _wide_damage(m.group(), t, m, text):
             return "wide"
     if any("가" <= c <= "힣" for c in t) and _decoded_wide(t, "cp949"):
         return "cp949"
@@ -167,11 +178,26 @@ def _inverted_case(t: str) -> bool:
     return bool(_INVERTED.search(t)) and len(_CAPITALS.findall(t)) > 2 * len(_SMALLS.findall(t))
 
 
-def _wide_damage(run: str, t: str, m: re.Match[str]) -> bool:
+def _koi8_capitals(text: str) -> bool:
+    """Whether the words in Cyrillic capitals are small Russian in cp1251 or KOI8-R that was read as the other: they are likelier words then."""
+    words = _CAPITAL_WORD.findall(text)
+    if sum(map(len, words)) < 6:
+        return False
+    rank = lambda x: sum(_FREQUENT.get(c, 2 * len(_FREQUENT)) for c in x)
+    capitals = "".join(words)
+    gain = max(rank(capitals.lower()) - rank(capitals.encode(taken).decode(true)) for taken, true in (("koi8_r", "cp1251"), ("cp1251", "koi8_r")))
+    return gain > 2 * len(capitals)
+
+
+def _wide_damage(run: str, t: str, m: re.Match[str], text: str) -> bool:
     """Whether a run of Han characters is UTF-8 that was read as a double-byte encoding."""
+    return any(_wide_by(codec, run, t, m, text) for codec in ("gbk", "big5", "euc_jp", "cp949"))
+
+
+def _wide_by(codec: str, run: str, t: str, m: re.Match[str], text: str) -> bool:
     han = run.rstrip("abcdefghijklmnopqrstuvwxyz")
     try:
-        raw = run.encode("gbk")
+        raw = run.encode(codec)
     except UnicodeEncodeError:
         return False
     spans = [s for s in UTF8_BYTES.finditer(raw) if _USUAL.fullmatch(s.group().decode())]
@@ -184,7 +210,7 @@ def _wide_damage(run: str, t: str, m: re.Match[str]) -> bool:
     if "a" <= before <= "z" and run != han and len(han) <= 2 and all("\xc0" <= c <= "\xff" for c in raw[: -1].decode("utf-8", "replace")):
         return True  # a letter with an accent inside a Latin word, in a text of any language
     latin = ("a" <= before <= "z" or "A" <= before <= "Z") and (run != han or after.isalpha() and after.isascii()) or run != han and before in ("", " ") or ("a" <= before <= "z" and not after.isalpha())
-    few = sum(c > "⺀" for c in t) < 0.25 * len(t)
+    few = len(_WIDE.findall(text)) < 0.25 * len(text)
     return bool(latin and few)
 
 
@@ -267,10 +293,11 @@ def damage(text: str) -> int:
     n = sum(len(p.findall(t)) for p in PLACES.values())
     for codec in _ALWAYS:
         n += sum(_sound_span(t, m, codec) for m in utf8_automaton(codec).finditer(t))
-    n += len(_UNUSUAL.findall(t))
+    n += len(_UNUSUAL.findall(t)) + len(_UNIT.findall(text))
     weak = len(WEAK.findall(t))
     n += weak if weak >= _RARE_SERBIAN else 0
-    n += sum(_wide_damage(m.group(), t, m) for m in _HAN_RUN.finditer(t))
+    n += sum(_wide_damage(m.group(), t, m, text) for m in _HAN_RUN.finditer(t))
+    n += sum(map(len, _CAPITAL_WORD.findall(text))) if _koi8_capitals(text) else 0
     n += len(_CAPITALS.findall(t)) if _inverted_case(t) else 0
     return n + sum(len(r) for r in _SYMBOL_RUN.findall(t))
 

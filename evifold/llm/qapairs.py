@@ -1,14 +1,15 @@
 """Defective pairs of a prompt and a response: empty, copied, refusal, language, truncated.
 
 A suffix automaton of the prompt's words measures how much of the response is copied from it; an Aho-Corasick
-automaton finds refusals; a stack of delimiters and the last line show a response that breaks off; votes of
+automaton finds refusals, by whole phrases or composed of a speaker who can't, may not or will not, and an act of
+answering or helping; a stack of delimiters and the last line show a response that breaks off; votes of
 function words and scripts give the languages of both sides.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from functools import lru_cache
 
 import pyarrow as pa
@@ -43,6 +44,40 @@ COURTESY = [
     "bitte wenden sie sich", "bitte sprechen sie", "es tut mir leid", "vielen dank für ihre frage", "haben sie noch", "veuillez consulter", "merci pour votre question", "je suis désolé", "consulte a", "consulte con", "consulte um", "gracias por su pregunta", "lo siento", "desculpe",
     "obrigado pela", "извините", "обратитесь к", "спасибо за вопрос", "请咨询", "抱歉", "感谢您的", "申し訳", "医師に相談してください", "przepraszam", "skonsultuj", "dziękuję za",
 ]
+#: Parts of refusals by language: a speaker who can't, may not or will not; an act of answering or helping; and what declines by itself.
+UNWILLING = {
+    "en": "can't|cannot|can not|couldn't|could not|won't|will not|wouldn't|not able|unable|not allowed|not permitted|not authorised|not authorized|prefer not|rather not|not going to|not comfortable|not in a position|not willing|unwilling|not qualified|not prepared|not free to|not at liberty|hesitant|not supposed to|not meant to|not designed to",
+    "de": "lieber nicht|kann nicht|kann leider nicht|können nicht|kann dazu nicht|kann dazu nichts|kann ich nicht|kann ich nichts|kann ich leider|kann ich dazu|darf nicht|darf ich nicht|darf dazu|darf ich dazu|darf ich keine|darf keine|möchte nicht|möchte ich nicht|möchte ich lieber nicht|möchte mich nicht|werde nicht|werde ich nicht|nicht in der lage|nicht befugt|nicht berechtigt|steht mir nicht zu",
+    "fr": "ne peux pas|ne peux rien|ne puis|ne pouvons pas|ne suis pas en mesure|ne suis pas autorisé|ne suis pas habilité|ne saurais|ne veux pas|ne souhaite pas|préfère ne pas|préfère ne rien|ne vais pas|m'est impossible",
+    "es": "no puedo|no podemos|no voy a|no me es posible|no estoy autorizado|no estoy en condiciones|no se me permite|prefiero no|no quiero|no debo|no me corresponde|me es imposible",
+    "pt": "não posso|não podemos|não vou|não me é possível|não estou autorizado|não estou em condições|não me é permitido|prefiro não|não quero|não devo|não me cabe",
+    "it": "non posso|non possiamo|non sono in grado|non sono autorizzato|non mi è possibile|non mi è permesso|preferisco non|non voglio|non intendo|non me la sento|non devo|non saprei",
+    "nl": "kan ik geen|kan niet|kan u niet|kan je niet|kan ik niet|kan daar niet|kan daar geen|kan hier geen|mag niet|mag ik niet|mag geen|mag ik geen|wil niet|wil ik niet|niet in staat|niet bevoegd|liever niet|liever geen|ga ik niet",
+    "pl": "wolałbym|wolałabym|nie mogę|nie możemy|nie jestem w stanie|nie wolno mi|nie chcę|nie będę|wolę nie|wolałbym nie|wolałabym nie|nie mam prawa|nie jestem upoważniony",
+    "ru": "не могу|не можем|не буду|не стану|не вправе|не имею права|не хочу|предпочитаю не|не в состоянии|не уполномочен",
+    "sv": "kan inte|kan tyvärr inte|får inte|vill inte|vill helst inte|tänker inte", "da": "kan ikke|kan desværre ikke|må ikke|vil ikke|vil helst ikke|ønsker ikke", "cs": "nemohu|nemůžu|nesmím|nechci|nebudu|raději ne",
+    "tr": "edemem|veremem|cevaplayamam|yardımcı olamam|yanıtlayamam",
+}
+ANSWERING = {
+    "en": "answer|help|assist|respond|reply|comment|discuss|provide|give|offer|advise|advice|talk about|talk to you about|speak about|speak to|speculate|say|share|engage|get into|go into|go there|address|weigh in|comply|fulfil|opine|support|say more|take this|take that|take a position|guide you",
+    "de": "antwort|beantwort|helfen|hilfe|auskunft|sagen|äussern|rat geben|raten|beraten|empfehl|eingehen|stellung nehmen|weiterhelfen|besprechen|unterstützen|geben",
+    "fr": "répondre|aider|dire|conseil|donner|fournir|commenter|discuter|parler|aborder|assister|me prononcer|renseigner|entrer dans",
+    "es": "responder|contestar|ayudar|decir|aconsejar|consejo|dar|ofrecer|comentar|hablar|proporcionar|opinar|tratar|entrar en|pronunciarme",
+    "pt": "responder|ajudar|dizer|aconselhar|conselho|dar|oferecer|comentar|falar|fornecer|opinar|tratar|entrar em|pronunciar",
+    "it": "risponder|aiutar|dire|consigli|dare|fornir|comment|parlar|discuter|pronunciar|assister|entrare nel",
+    "nl": "antwoord|beantwoord|helpen|hulp|zeggen|advies|advis|geven|bespreken|ingaan|uitspraak|praten over",
+    "pl": "odpowiedzieć|odpowiadać|pomóc|powiedzieć|udzielić|udzielać|doradz|porad|komentować|rozmawiać|wypowiadać|podać|zabierać głosu",
+    "ru": "отвечать|ответить|помочь|помогать|сказать|говорить|совет|дать|давать|комментировать|обсуждать|рекоменд|консультировать|высказываться",
+    "sv": "svara|hjälpa|säga|råd|ge|diskutera|kommentera", "da": "svare|besvare|hjælpe|sige|råd|give|diskutere|kommentere", "cs": "odpovědět|odpovídat|pomoci|pomoct|říci|říct|poradit|radit|poskytnout|komentovat",
+    "tr": "edemem|veremem|cevaplayamam|yardımcı olamam|yanıtlayamam",
+}
+DECLINING = [
+    "i decline", "i must decline", "i'll have to decline", "i respectfully decline", "i pass on", "i'll pass", "i will pass", "have to pass", "need to pass", "going to pass on", "steer clear of", "stay away from that", "stay away from this", "stay out of", "sit this one out", "off limits for me", "off-limits for me",
+    "not something i can", "not something i'm", "not something i discuss", "not something i answer", "not something i do", "not something i will", "not a topic i", "isn't a topic i", "not a question i", "isn't a question i", "no comment", "i refuse", "i abstain", "not for me to say", "not my place to", "i'm out of my depth", "sorry, no.", "sorry, but no.",
+    "i keep out of", "i don't do medical", "i don't give", "i do not give", "i don't answer", "i do not answer", "i don't discuss", "i do not discuss", "i don't comment", "i do not comment", "i have nothing to say", "leave this one unanswered", "leave that unanswered", "best left to a",
+    "lehne ich ab", "lehne die antwort", "dazu sage ich nichts", "kein kommentar", "tut mir leid, nein.", "dazu schweige ich", "je décline", "je refuse", "pas de commentaire", "désolé, non.", "declino", "me niego a", "sin comentarios", "lo siento, no.", "me abstengo", "recuso", "sem comentários", "desculpe, não.",
+    "mi rifiuto", "rifiuto di", "devo declinare", "devo rifiutare", "nessun commento", "mi dispiace, no.", "mi astengo", "ik weiger", "ik moet weigeren", "ik pas hiervoor", "geen commentaar", "sorry, nee.", "odmawiam", "muszę odmówić", "bez komentarza", "niestety nie.", "отказываюсь", "вынужден отказать", "без комментариев", "извините, нет.", "jag avböjer", "jag måste avböja", "jeg må afvise", "jeg afviser", "odmítám",
+]
 STOPWORDS = {
     "en": "the of and to in is was with for that this on by from are were be or an as at it not have has had but which their than when after before can what how should would does do your you my",
     "de": "der die das und ist war mit für von den dem des ein eine einen einer nicht auf im bei nach zu zur zum werden wurde wird oder auch sich als noch unter über ich kann wie wann welche sollte wer",
@@ -51,7 +86,15 @@ STOPWORDS = {
     "pt": "o a os as do da dos das de e é foi para que em uma um com por não mais ou ao sua seu se no na nos nas como após também muito qual pode à às são em tomar entre tenho",
     "pl": "i w na z do nie się że jest po o od przez za oraz lub dla był była były które który ponieważ dopiero czy jak między u",
     "ru": "и в на с не что по о от для за из к у при после это как или был была было но до их между можно ли",
-}
+    "nl": "de het een en van is was met voor niet dat die zijn werd worden ook nog wel naar bij uit aan door maar over dan als deze hun geen heeft hebben kan moet",
+    "it": "il lo gli della dello delle degli dei nel nella sono era è con per che non più anche alla dal dalla come questo questa gli una uno ha hanno può si tra",
+    "sv": "och att det som är var för med inte av till på om ett den har kan ska från efter eller också men vid",
+    "da": "og at det som er var for med ikke af til på om et den har kan skal fra efter eller også men ved blev",
+    "cs": "a je se na že do si jako pro ale po při nebo byl byla bylo jsou který která také již podle ze",
+    "tr": "ve bir bu için ile olarak da de daha çok gibi olan sonra kadar en değil ancak veya olduğu göre",
+}
+#: Scripts that stand for one language here, with the characters that tell it.
+SCRIPTS = {"ko": "\uac00-\ud7a3", "ar": "\u0600-\u06ff", "he": "\u0590-\u05ff", "el": "\u0370-\u03ff", "th": "\u0e00-\u0e7f", "hi": "\u0900-\u097f"}
 #: Names of languages as a problem may ask for them, and how it asks.
 LANGUAGE_NAMES = {
     "en": "english englisch anglais inglés ingles inglês английском английски 英语 英文 英語 angielsku angielski",
@@ -63,24 +106,39 @@ LANGUAGE_NAMES = {
     "ru": "russian russisch russe ruso russo русском русски 俄语 俄文 ロシア語 rosyjsku rosyjski",
     "zh": "chinese chinesisch chinois chino chinês китайском китайски 中文 汉语 中国語 chińsku chiński",
     "ja": "japanese japanisch japonais japonés japonês японском японски 日语 日文 日本語 japońsku japoński",
+    "nl": "dutch niederländisch holländisch néerlandais neerlandés holandés holandês нидерландском голландском 荷兰语 オランダ語 niderlandzku nederlands",
+    "it": "italian italienisch italien italiano итальянском 意大利语 イタリア語 włosku",
+    "sv": "swedish schwedisch suédois sueco шведском 瑞典语 スウェーデン語 szwedzku svenska",
+    "da": "danish dänisch danois danés dinamarquês датском 丹麦语 デンマーク語 duńsku dansk",
+    "cs": "czech tschechisch tchèque checo tcheco чешском 捷克语 チェコ語 czesku česky",
+    "tr": "turkish türkisch turc turco турецком 土耳其语 トルコ語 turecku türkçe",
+    "ko": "korean koreanisch coréen coreano корейском 韩语 韓国語 koreańsku 한국어", "ar": "arabic arabisch arabe árabe арабском 阿拉伯语 アラビア語 arabsku العربية", "he": "hebrew hebräisch hébreu hebreo иврите 希伯来语 ヘブライ語 hebrajsku עברית",
+    "el": "greek griechisch grec griego grego греческом 希腊语 ギリシャ語 grecku ελληνικά", "th": "thai thailändisch thaï tailandés тайском 泰语 タイ語 tajsku ไทย", "hi": "hindi хинди 印地语 ヒンディー語 हिन्दी",
 }
 
 _WORD = re.compile(r"[぀-ヿ㐀-鿿]|[^\W_]+")
 _THINK = re.compile(r"<think>.*?(?:</think>|$)", re.S | re.I)
+_HAN, _KANA, _CYRILLIC = re.compile("[\u4e00-\u9fff]"), re.compile("[\u3040-\u30ff]"), re.compile("[\u0400-\u04ff]")
+_LATIN = re.compile(r"(?:(?![\d_])[\x00-\u024f])(?<=\w)")
 _TAG = re.compile(r"</?[A-Za-z][^<>]{0,80}>")
 _SENTENCE = re.compile(r"(?<=[.!?。？！])\s*(?=\S)|\n+")
 _END = re.compile(r"[.!?。！？…|`\])}”\"'’»›>*_]$")
 _HARD_OPEN = re.compile(r"(?:[,;:–—-]|[(\[{“„«]|\b(?:and|or|but|the|of|with|to|by|und|oder|der|die|et|ou|le|la|de|y|o|el|и|в|na|i)|\*\*)$", re.I)
+#: More characters than any of these ends has, with the one before it.
+_OPEN_CHARS = 8
 _LIST_LINE = re.compile(r"^\s*(?:[-*+•]|\d{1,3}[.)])\s+")
-_CITE_END = re.compile(r"(?:\[\d{1,3}(?:[,–-]\s*\d{1,3})*\]|https?://\S+)\s*$")
+_CITE_END = re.compile(r"\[\d{1,3}(?:[,–-]\s*\d{1,3})*\]\s*$")
+_LINK_END = re.compile(r"https?://\S+")
 _POLITE = re.compile(r"\s*(?:please|kindly|bitte|veuillez|merci de|por favor|consulte|consultez|пожалуйста|обратитесь|请|ご相談|proszę)", re.I)
+_FIRST_PERSON = re.compile(r"\b(?:i|we|me|us|my|i'm|i'd|i'll|we're|we'd)\b")
+_DIGIT = re.compile(r"\d")
 _ASK = re.compile(r"\b(?:respond|answer|reply|write|translate|antworte\w*|répond\w*|respond\w*|responda|ответ\w*|odpowied\w*)\b|回答|答え|翻译|用", re.I)
 
 
 class SuffixAutomaton:
     """Suffix automaton of a sequence of words."""
 
-    def __init__(self, words: list[str]) -> None:
+    def __init__(self, words: Sequence[str]) -> None:
         self.next: list[dict[str, int]] = [{}]
         self.link, self.length = [-1], [0]
         last = 0
@@ -111,7 +169,7 @@ class SuffixAutomaton:
         self.length.append(length)
         return len(self.length) - 1
 
-    def covered(self, words: list[str], least: int) -> list[bool]:
+    def covered(self, words: Sequence[str], least: int) -> list[bool]:
         """Which of ``words`` lie in a stretch of at least ``least`` words that stands in the automaton's text."""
         out, state, length = [False] * len(words), 0, 0
         for k, w in enumerate(words):
@@ -126,9 +184,10 @@ class SuffixAutomaton:
         return out
 
 
-def words(text: str) -> list[str]:
-    """Case-folded words; each Han or kana character is one."""
-    return _WORD.findall(text.casefold())
+@lru_cache(maxsize=8)
+def words(text: str) -> tuple[str, ...]:
+    """Case-folded words; each Han or kana character is one. The last few texts are kept, as several checks ask for them."""
+    return tuple(_WORD.findall(text.casefold()))
 
 
 def _content(response: str | None) -> str:
@@ -151,32 +210,64 @@ def is_copied(problem: str | None, response: str) -> bool:
     said = words(text)
     if not asked or not said or len(said) < min(3, len(asked)):
         return False
-    covered = SuffixAutomaton(asked).covered(said, min(LEAST_MATCH, len(said)))
-    if sum(covered) < COPIED * len(said) or len(said) - sum(covered) > 6:
+    known = set(asked)
+    if sum(w in known for w in said) < COPIED * len(said):
+        return False  # fewer words than that can't be covered
+    if sum(SuffixAutomaton(asked).covered(said, min(LEAST_MATCH, len(said)))) < COPIED * len(said):
         return False
     return len(said) >= 0.4 * len(asked) or len(said) >= 12
 
 
 @lru_cache(maxsize=1)
 def _phrases():
+    """Automaton of all phrases; the value of one is its kind, and the languages of a part."""
     import ahocorasick
 
-    a = ahocorasick.Automaton()
-    for kind, phrases in (("refusal", REFUSALS), ("courtesy", COURTESY)):
+    kinds: dict[str, list[tuple[str, str]]] = {}
+    for kind, phrases in (("refusal", [*REFUSALS, *DECLINING]), ("courtesy", COURTESY)):
         for p in phrases:
-            a.add_word(p, kind if kind == "refusal" or p not in a else "refusal")
+            kinds.setdefault(p, []).append((kind, ""))
+    for kind, parts in (("unwilling", UNWILLING), ("answering", ANSWERING)):
+        for lang, listed in parts.items():
+            for p in listed.split("|"):
+                kinds.setdefault(p, []).append((kind, lang))
+    a = ahocorasick.Automaton()
+    for p, values in kinds.items():
+        a.add_word(p, (len(p), values))
     a.make_automaton()
     return a
 
 
+def _found(sentence: str) -> set[str]:
+    """Kinds of phrases in a sentence; a composed refusal has an act of answering after the unwillingness, no figure and, in English, a first person."""
+    out: set[str] = set()
+    unwilling: dict[str, int] = {}
+    for end, (length, values) in _phrases().iter(sentence):
+        for kind, lang in values:
+            if not lang:
+                out.add(kind)
+                continue
+            start = end - length + 1
+            if sentence[start - 1 : start].isalpha() and start:
+                continue
+            if kind == "unwilling":
+                unwilling.setdefault(lang, start)
+            elif unwilling.get(lang, start + 1) <= start and not _DIGIT.search(sentence) and (lang != "en" or _FIRST_PERSON.search(sentence)):
+                out.add("refusal")
+    return out
+
+
 def is_refusal(response: str) -> bool:
     """Whether the response declines and holds nothing else but courtesy; a caution before an answer is none."""
+    text = _content(response)
+    if "refusal" not in _found(_quotes(text)):
+        return False
     refused = False
-    for sentence in _SENTENCE.split(_content(response)):
-        found = {kind for _, kind in _phrases().iter(_quotes(sentence))}
+    for sentence in _SENTENCE.split(text):
+        found = _found(_quotes(sentence))
         if "refusal" in found:
             refused = True
-        elif not found and len(words(sentence)) > 2 and not (_POLITE.match(sentence) and len(words(sentence)) <= 14 and not re.search(r"\d", sentence)):
+        elif "courtesy" not in found and len(words(sentence)) > 2 and not (_POLITE.match(sentence) and not re.search(r"\d", sentence)):
             return False
     return refused
 
@@ -194,24 +285,25 @@ def _votes() -> dict[str, list[str]]:
     return out
 
 
+@lru_cache(maxsize=1)
+def _scripts() -> dict[str, re.Pattern[str]]:
+    return {lang: re.compile(f"[{chars}]") for lang, chars in SCRIPTS.items()}
+
+
 def language(text: str) -> str | None:
     """Language by script and by votes of function words; None where there are too few of them."""
-    han = kana = cyrillic = latin = 0
-    for c in text:
-        if c < "ɐ":
-            latin += c.isalpha()
-        elif "一" <= c <= "鿿":
-            han += 1
-        elif "぀" <= c <= "ヿ":
-            kana += 1
-        elif "Ѐ" <= c <= "ӿ":
-            cyrillic += 1
-    if kana > 0.1 * (han + kana) and 3 * (han + kana) > latin and kana + han >= 4:
-        return "ja"
-    if han >= 4 and 3 * han > latin:
-        return "zh"
-    if cyrillic >= 4 and cyrillic > 0.4 * latin:
-        return "ru"
+    if not text.isascii():
+        han, kana, cyrillic = len(_HAN.findall(text)), len(_KANA.findall(text)), len(_CYRILLIC.findall(text))
+        latin = len(_LATIN.findall(text))
+        if kana > 0.1 * (han + kana) and 3 * (han + kana) > latin and kana + han >= 4:
+            return "ja"
+        if han >= 4 and 3 * han > latin:
+            return "zh"
+        if cyrillic >= 4 and cyrillic > 0.4 * latin:
+            return "ru"
+        for lang, script in _scripts().items():
+            if (n := len(script.findall(text))) >= 4 and n > 0.4 * latin:
+                return lang
     score: dict[str, float] = {}
     for w in words(text):
         for lang in (langs := _votes().get(w, ())):
@@ -231,7 +323,7 @@ def wrong_language(problem: str | None, response: str) -> bool:
     if asked is None or said is None or asked == said:
         return False
     requested = _quotes(problem or "")
-    if _ASK.search(requested) and any(name in requested for name in LANGUAGE_NAMES[said].split()):
+    if _ASK.search(requested) and any(name in requested for name in LANGUAGE_NAMES.get(said, "").split()):
         return False
     # mostly: sentences in the problem's own language outweigh a foreign quotation
     own = other = 0
@@ -277,14 +369,15 @@ def is_truncated(response: str) -> bool:
         return not last.endswith("|") or cells[-1] < max(cells) or re.fullmatch(r"[|\s:-]+", last) is not None
     if re.fullmatch(r"(?:[-*+•]|\d{1,3}[.)])(?:\s+\**)?", last) or re.search(r"(?<!\*)\*\*$", last) and last.count("**") % 2:
         return True
-    if _CITE_END.search(last):
+    tail = last[-1:] and last.split()[-1]
+    if last.endswith("]") and _CITE_END.search(last, last.rindex("[") if "[" in last else 0) or _LINK_END.search(tail):
         return False
     n = len(words(last))
-    if _HARD_OPEN.search(last) and n > 3:
+    if _HARD_OPEN.search(last, max(0, len(last) - _OPEN_CHARS)) and n > 3:
         return True
     if len(_open_delimiters(text)) and n > 3:
         return True
-    if _END.search(last):
+    if _END.search(last, len(last) - 1):
         return False
     if _LIST_LINE.match(lines[-1]) and len(lines) > 1 and n <= 8:
         return False

@@ -56,3 +56,33 @@ def test_operator(spark):
     got = find_wrong_decoding(df, with_text=True).orderBy("item_id").collect()
     assert [r.item_id for r in got] == [1, 1, 5] and got[0].restored == "Größe" and got[0].complete
     assert find_wrong_decoding(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("text", ["a dose of 40 Ág daily", "took 50 碌g.", "No se observ贸 ninguna diferencia", "reviewed by Feþntoric in 2020", "ôNo part of it was read.ö", "imputed (▒7 %) again", "\nò Text size: A A A", "у 64 ОЮЖХЕМРНБ Я ЮМЕЛХЕИ", "Veldanvir: ЮМЕЛХЕИ (2015)"])
+def test_short_damage_is_found(text):
+    assert evidence(text) is not None
+
+
+@pytest.mark.parametrize("true,taken", [("utf-8", "koi8_r"), ("utf-8", "cp866"), ("utf-8", "cp850"), ("utf-8", "iso8859_15"), ("utf-8", "cp1254"), ("utf-8", "big5"), ("utf-8", "gbk")])
+def test_more_encodings_are_found(true, taken):
+    found = 0
+    for word in " ".join(TEXTS).split():
+        try:
+            damaged = word.encode(true).decode(taken)
+        except UnicodeDecodeError:
+            continue
+        if damaged != word:
+            found += evidence(" ".join([damaged] * 3)) is not None
+    assert found >= 5
+
+
+@pytest.mark.parametrize("text", ["МЕТОДЫ И РЕЗУЛЬТАТЫ", "ПРОТИВОПОКАЗАНИЯ", "Les malades âgés ont reçu 5 µg.", "Доза 5 мкг и 7 мг.", "患者25人にrador を投与", "│ Arm │ n │\n│ a │ 5 │"])
+def test_more_sound_texts(text):
+    assert evidence(text) is None
+
+
+def test_damage_made_six_times():
+    text = six = "Größe — naïve"
+    for _ in range(6):
+        six = six.encode().decode("latin1")
+    assert restore(six) == text

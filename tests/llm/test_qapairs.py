@@ -45,3 +45,30 @@ def test_operator(spark):
     got = sorted((r.item_id, r.defect) for r in defective_pairs(df).collect())
     assert got == sorted([(i, k) for i, (_, _, k) in enumerate(CASES) if k] + [(1, "empty")])
     assert defective_pairs(df.limit(0)).count() == 0
+
+
+REFUSED = [
+    "I'd prefer not to get into that here.", "I have to pass on this one; a clinician would be better placed.", "That's a topic I steer clear of.", "Sorry, no.", "Wolałbym się na ten temat nie wypowiadać.", "Mi dispiace, non posso rispondere a questa domanda.",
+    "We are not going to discuss this.", "Daar kan ik geen advies over geven.", "Jeg kan desværre ikke svare på det.", "Je préfère ne pas me prononcer.", "Prefiero no opinar sobre eso. Consulte con su médico.",
+]
+
+
+@pytest.mark.parametrize("said", REFUSED)
+def test_refusals_are_composed(said):
+    assert defect(ASKED, said) == "refusal"
+
+
+@pytest.mark.parametrize("said", ["Patients can't answer the questionnaire after surgery, so proxies help.", "We cannot give a firm estimate, but the risk fell by 3%.", "I can't recommend it more: take it with food. The most common adverse event was nausea."])
+def test_sentences_like_refusals(said):
+    assert defect(ASKED, said) is None
+
+
+def test_share_alone_decides_on_copies():
+    asked = " ".join(f"w{k}" for k in range(200)) + "?"
+    said = [f"w{k}" for k in range(200)]
+    assert defect(asked, " ".join(said[:171] + ["x"] * 29)) == "copied" and defect(asked, " ".join(said[:168] + ["x"] * 32) + ".") is None
+
+
+@pytest.mark.parametrize("said", ["De dosis werd niet verhoogd en het risico is voor de meeste mensen nog niet bekend, maar dat wordt nu door ons onderzocht.", "Dosen blev ikke øget, og risikoen er ikke kendt for de fleste, men det skal nu undersøges efter et år.", "이 약은 두 번째 방문 이후에 용량을 늘렸으며 부작용은 드물었습니다."])
+def test_more_languages(said):
+    assert defect(ASKED, said) == "language"
