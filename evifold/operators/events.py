@@ -47,19 +47,25 @@ def failures_since_success(df: DataFrame, run: list[str], order: list[str], ok:
     return inside.withColumn("failures", F.col("failures") + F.col("_bad")).drop("_ok", "_bad", "_island")
 
 
-def charge_budget(df: DataFrame, run: list[str], order: list[str], failed: Column, exempt_limit: int = 5, charged_limit: int = 6, actual_limit: int = 11) -> DataFrame:
-    """``df`` with (actual, exempt, charged, stopped): failures of the environment are free up to a limit."""
+def charge_budget(df: DataFrame, run: list[str], order: list[str], failed: Column, exempt_limit: int = 5, charged_limit: int = 6, actual_limit: int = 11, turn: Column | None = None, turn_limit: int = 16) -> DataFrame:
+    """``df`` with (actual, exempt, charged, stopped): failures of the environment are free up to a limit, and a turn past its own limit stops too."""
     w = Window.partitionBy(*run).orderBy(*order).rowsBetween(*SO_FAR)
     actual = F.row_number().over(Window.partitionBy(*run).orderBy(*order)).cast("bigint")
     exempt = F.least(F.sum(F.when(failed, 1).otherwise(0)).over(w), F.lit(exempt_limit)).cast("bigint")
     counted = df.withColumn("actual", actual).withColumn("exempt", exempt).withColumn("charged", F.col("actual") - F.col("exempt"))
-    return counted.withColumn("stopped", (F.col("charged") >= charged_limit) | (F.col("actual") >= actual_limit))
+    late = F.lit(False) if turn is None else F.coalesce(turn >= turn_limit, F.lit(False))
+    return counted.withColumn("stopped", (F.col("charged") >= charged_limit) | (F.col("actual") >= actual_limit) | late)
 
 
 def previous_of(df: DataFrame, run: list[str], order: list[str], value: Column, is_call: Column, is_output: Column) -> DataFrame:
-    """``df`` with ``paired``: for outputs, the value of the call directly before them; an output uses its call up."""
-    w = Window.partitionBy(*run).orderBy(*order)
-    return df.withColumn("paired", F.when(is_output, F.lag(F.when(is_call, value)).over(w)))
+    """``df`` with ``paired``: for outputs, the value of the last call or output before them if that is a call.
+
+    Rows that are neither call nor output lie between the two without effect; an output uses its call up. NULL flags count
+    as neither.
+    """
+    either = F.coalesce(is_call, F.lit(False)) | F.coalesce(is_output, F.lit(False))
+    last = F.last(F.when(either, F.struct(is_call.alias("call"), value.alias("value"))), ignorenulls=True).over(Window.partitionBy(*run).orderBy(*order).rowsBetween(*BEFORE))
+    return df.withColumn("_l", last).withColumn("paired", F.when(is_output & F.col("_l.call"), F.col("_l.value"))).drop("_l")
 
 
 def no_progress(df: DataFrame, signature: list[str], order: list[str], gained: Column) -> DataFrame:

@@ -48,7 +48,7 @@ def call_output_pairing(spark: SparkSession, d: str) -> DataFrame:
 
 
 def budget_charge(spark: SparkSession, d: str) -> DataFrame:
-    charged = E.charge_budget(table(spark, d, "case_steps"), RUN, ORDER, F.coalesce(F.col("feedback_status") == "environment_failure", F.lit(False)))
+    charged = E.charge_budget(table(spark, d, "case_steps"), RUN, ORDER, F.coalesce(F.col("feedback_status") == "timeout", F.lit(False)), turn=F.col("turn"))
     return charged.select("log_id", "actual", "exempt", "charged", "stopped")
 
 
@@ -118,8 +118,8 @@ SQL = {
     "latest_state_fold": "SELECT run_id, feedback_status FROM (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY turn DESC, log_id DESC) AS r FROM case_steps WHERE run_id IS NOT NULL) WHERE r = 1",
     "repeat_actions": f"WITH {_STEPS}, r AS (SELECT arm, row_number() OVER (PARTITION BY run_id, coalesce(channel, ''), trim(regexp_replace(lower(query), '\\s+', ' ', 'g')) ORDER BY turn, log_id) AS o FROM s WHERE action = 'search' AND run_id IS NOT NULL AND query IS NOT NULL) SELECT arm, count(*) AS searches, count(*) FILTER (o > 1) AS repeated FROM r GROUP BY arm",
     "attempts_and_success": f"WITH {_STEPS} SELECT run_id, trim(string_split(source, '#')[1]) AS source, count(*) AS attempts, count(*) FILTER (feedback_status = 'ok') AS successes FROM s WHERE action = 'browse' AND source IS NOT NULL GROUP BY ALL",
-    "call_output_pairing": "WITH l AS (SELECT *, lag(CASE WHEN event_type = 'click' THEN event_id END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS paired FROM events) SELECT user_id, event_id, paired FROM l WHERE event_type IN ('view', 'purchase') AND paired IS NOT NULL",
-    "budget_charge": f"WITH c AS (SELECT log_id, row_number() OVER (PARTITION BY run_id ORDER BY turn, log_id) AS actual, CAST(least(sum(CASE WHEN feedback_status = 'environment_failure' THEN 1 ELSE 0 END) OVER (PARTITION BY run_id ORDER BY turn, log_id {_SOFAR}), 5) AS BIGINT) AS exempt FROM case_steps) SELECT log_id, actual, exempt, actual - exempt AS charged, (actual - exempt >= 6 OR actual >= 11) AS stopped FROM c",
+    "call_output_pairing": "WITH l AS (SELECT *, last_value(CASE WHEN event_type IN ('click', 'view', 'purchase') THEN {'c': event_type = 'click', 'v': event_id} END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS l FROM events) SELECT user_id, event_id, l.v AS paired FROM l WHERE event_type IN ('view', 'purchase') AND l.c",
+    "budget_charge": f"WITH c AS (SELECT log_id, row_number() OVER (PARTITION BY run_id ORDER BY turn, log_id) AS actual, CAST(least(sum(CASE WHEN feedback_status = 'timeout' THEN 1 ELSE 0 END) OVER (PARTITION BY run_id ORDER BY turn, log_id {_SOFAR}), 5) AS BIGINT) AS exempt, turn FROM case_steps) SELECT log_id, actual, exempt, actual - exempt AS charged, (actual - exempt >= 6 OR actual >= 11 OR coalesce(turn >= 16, false)) AS stopped FROM c",
     "failures_since_ok": f"WITH i AS (SELECT *, sum(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id {_SOFAR}) AS isl FROM events) SELECT event_id, user_id, CAST(sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id, isl ORDER BY ts, event_id {_SOFAR}) AS BIGINT) AS failures FROM i",
     "no_progress_browse": f"WITH {_STEPS}, f AS (SELECT log_id, run_id, turn, source, trim(regexp_replace(lower(focus), '\\s+', ' ', 'g')) AS focus, coalesce(len(new_evidence_ids), 0) > 0 AS g FROM s WHERE action = 'browse'), w AS (SELECT log_id, run_id, count(*) OVER x AS earlier, max(CAST(g AS INT)) OVER x AS gain FROM f WINDOW x AS (PARTITION BY run_id, source, focus ORDER BY turn, log_id {_BEFORE})) SELECT log_id, run_id, earlier FROM w WHERE earlier > 0 AND gain = 0",
     "exposure_stats": "WITH r AS (SELECT arm, run_id, count(*) AS n, count(*) FILTER (feedback_status <> 'ok') AS bad FROM case_steps WHERE run_id IS NOT NULL GROUP BY arm, run_id) SELECT arm, count(*) AS runs, round(avg(n), 6) AS mean_steps, median(n) AS median_steps, count(*) FILTER (bad > 0) AS runs_with_bad FROM r GROUP BY arm",
