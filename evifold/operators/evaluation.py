@@ -5,11 +5,12 @@ from __future__ import annotations
 from functools import reduce
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Most questions or arms whose product is built as a grid with one side broadcast.
+from evifold.functions.ordered import numbered, running
+
+#: Most arms that go to all tasks to build a grid; more are joined by the engine as it sees fit.
 MAX_ARMS = 1_000
 
 
@@ -19,12 +20,11 @@ def latest_cells(cells: DataFrame, keys: list[str], order: list[Column]) -> Data
 
 
 def full_grid(cells: DataFrame, question: list[str], arm: str, keep: list[str]) -> DataFrame:
-    """Every question with every arm, missing cells with NULLs; the arms, which are counted, go to all tasks."""
+    """Every question with every arm, missing cells with NULLs; the arms go to all tasks where a count shows them to be few."""
     arms = cells.select(arm).where(F.col(arm).isNotNull()).distinct()
-    if arms.limit(MAX_ARMS + 1).count() > MAX_ARMS:
-        raise ValueError(f"more than {MAX_ARMS} arms")
+    few = arms.limit(MAX_ARMS + 1).count() <= MAX_ARMS
     questions = cells.select(*question).distinct()
-    grid = questions.crossJoin(F.broadcast(arms))
+    grid = questions.crossJoin(F.broadcast(arms) if few else arms)
     return grid.join(cells.select(*question, arm, *keep), [*question, arm], "left")
 
 
@@ -52,36 +52,28 @@ def rubric_score(points: Column, met: Column) -> Column:
     return F.sum(F.when(met, points).otherwise(0.0)) / F.nullif(F.sum(F.when(points > 0, points).otherwise(0.0)), F.lit(0.0))
 
 
-def bootstrap_interval(deltas: DataFrame, group: list[str], question: str, delta: str, resamples: int = 2_000, seed: int = 20_261_026, chunk: int = 4_096) -> DataFrame:
+def bootstrap_interval(deltas: DataFrame, group: list[str], question: str, delta: str, resamples: int = 2_000, seed: int = 20_261_026) -> DataFrame:
     """(group, n, mean, low, high): percentile interval of the mean delta over ``resamples`` resamples of the questions.
 
-    Each question enters a resample a Poisson(1) number of times, drawn from a hash of the question, so resampled sums
-    are built in parallel by partial aggregation and no group is gathered in one task. NULL deltas are left out.
+    Each resample draws as many questions as the group has, with replacement. Draw k of resample r is the question at the
+    place that the MD5 digest of 'seed|r|k/4' gives, 8 hex digits for each of four draws, so a run repeats on any cluster
+    and in any engine; places follow the question. Draws are summed before they are shuffled. The bounds are the sorted
+    means at 2.5 and 97.5 per cent, the 50th and the 1,950th of 2,000. NULL deltas are left out.
     """
-    rows = deltas.where(F.col(delta).isNotNull()).select(*group, F.xxhash64(F.col(question).cast("string"), F.lit(seed)).alias("_h"), F.col(delta).cast("double").alias("_d"))
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema if f.name in group)
-
-    def partial(batches):
-        for pdf in batches:
-            out = []
-            keys = pdf.groupby(group, dropna=False, sort=False) if group else [((), pdf)]
-            for key, part in keys:
-                sums, counts = np.zeros(resamples), np.zeros(resamples)
-                for lo in range(0, len(part), chunk):
-                    h, d = part["_h"].to_numpy()[lo : lo + chunk], part["_d"].to_numpy()[lo : lo + chunk]
-                    for hash_, x in zip(h, d):
-                        times = np.random.RandomState(np.uint32(hash_ & 0xFFFFFFFF)).poisson(1.0, resamples)
-                        sums += times * x
-                        counts += times
-                out.append((*(key if isinstance(key, tuple) else (key,)), len(part), float(part["_d"].sum()), sums, counts))
-            yield pd.DataFrame(out, columns=[*group, "n", "s", "sums", "counts"])
-
-    parts = rows.mapInPandas(partial, f"{schema}, n bigint, s double, sums array<double>, counts array<double>")
-    flat = parts.select(*group, "n", "s", F.posexplode(F.arrays_zip("sums", "counts")).alias("b", "z"))
-    summed = flat.groupBy(*group, "b").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("z.sums").alias("x"), F.sum("z.counts").alias("c"))
-    lists = summed.groupBy(*group).agg(F.max("n").alias("n"), F.max(F.col("s") / F.col("n")).alias("mean"), F.array_sort(F.collect_list(F.col("x") / F.nullif("c", F.lit(0.0)))).alias("m"))
-    at = lambda q: F.element_at("m", F.greatest(F.lit(1), F.least(F.size("m"), F.ceil(F.size("m") * q).cast("int"))))
-    return lists.select(*group, "n", "mean", at(0.025).alias("low"), at(0.975).alias("high"))
+    rows = deltas.where(F.col(delta).isNotNull()).select(*group, F.col(question).alias("_q"), F.col(delta).cast("double").alias("_d"))
+    placed = running(rows, group, [F.col("_q"), F.col("_d")], "_at")
+    sizes = rows.groupBy(*group).agg(F.count(F.lit(1)).alias("n"), F.avg("_d").alias("mean"))
+    repeats = sizes.select(*group, "n", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("r"))
+    quads = repeats.select(*group, "n", "r", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / 4))).alias("j"))
+    digest = quads.withColumn("_h", F.md5(F.concat_ws("|", F.lit(str(seed)), "r", "j")))
+    draw = [F.conv(F.substring("_h", 8 * i + 1, 8), 16, 10).cast("bigint") for i in range(4)]
+    kept = F.filter(F.array(*(F.struct(F.lit(i).alias("i"), x.alias("x")) for i, x in enumerate(draw))), lambda z: 4 * F.col("j") + z["i"] < F.col("n"))
+    drawn = digest.select(*group, "n", "r", F.explode(kept).alias("z")).select(*group, "r", (F.pmod(F.col("z.x"), F.col("n")) + 1).alias("_at"))
+    means = drawn.join(placed, [*group, "_at"]).groupBy(*group, "r").agg(F.avg("_d").alias("m"))
+    at = lambda q: max(1, min(resamples, int(np.ceil(resamples * q))))
+    ranked = means.withColumn("_k", F.row_number().over(Window.partitionBy(*group).orderBy("m", "r")))
+    bounds = ranked.groupBy(*group).agg(F.max(F.when(F.col("_k") == at(0.025), F.col("m"))).alias("low"), F.max(F.when(F.col("_k") == at(0.975), F.col("m"))).alias("high"))
+    return sizes.join(bounds, group) if group else sizes.crossJoin(bounds)
 
 
 def complete_questions(cells: DataFrame, question: list[str], arm: str, score: str, arms: int) -> DataFrame:
@@ -91,11 +83,62 @@ def complete_questions(cells: DataFrame, question: list[str], arm: str, score: s
 
 def rotated_order(cells: DataFrame, question: str, arm: str, block: int = 5) -> DataFrame:
     """``cells`` with (block_no, slot): work order in blocks of questions, the arms rotated left by the number of the block."""
-    q = F.dense_rank().over(Window.orderBy(question)) - 1
-    indexed = cells.join(cells.select(question).distinct().withColumn("_q", q), question).withColumn("block_no", F.floor(F.col("_q") / block))
-    arms = cells.select(arm).distinct().withColumn("_a", F.row_number().over(Window.orderBy(arm)) - 1)
+    asked = numbered(cells.select(question).where(F.col(question).isNotNull()).distinct(), [F.col(question)], "_q")
+    indexed = cells.join(asked, question).withColumn("block_no", F.floor(F.col("_q") / block))
+    arms = numbered(cells.select(arm).where(F.col(arm).isNotNull()).distinct(), [F.col(arm)], "_a")
     n = arms.agg(F.count(F.lit(1)).alias("_n"))
-    return indexed.join(F.broadcast(arms), arm).crossJoin(F.broadcast(n)).withColumn("slot", F.pmod(F.col("_a") - F.col("block_no"), F.col("_n"))).drop("_q", "_a", "_n")
+    return indexed.join(arms, arm).crossJoin(F.broadcast(n)).withColumn("slot", F.pmod(F.col("_a") - F.col("block_no"), F.col("_n"))).drop("_q", "_a", "_n")
+
+
+def length_adjusted(score: Column, length: Column, penalty: float, centre: float) -> Column:
+    """Score less ``penalty`` for each 500 characters beyond ``centre``, more for fewer; NULL where one is unobserved."""
+    return score - penalty * (length - centre) / 500
+
+
+def fully_covered(points: Column, most: int = 2) -> Column:
+    """Whether all points of a group have the highest score; NULL scores don't."""
+    return F.bool_and(F.coalesce(points == most, F.lit(False)))
+
+
+def graded(answer: Column) -> Column:
+    """Verdict of a grader's JSON answer {"criteria_met": true, "explanation": "..."}, fenced or not; NULL for anything else."""
+    bare = F.regexp_replace(F.trim(answer), r"^```(?:json)?\s*|\s*```$", "")
+    parsed = F.from_json(bare, "criteria_met boolean, explanation string, _broken string", {"columnNameOfCorruptRecord": "_broken", "mode": "PERMISSIVE"})
+    return F.when(parsed["_broken"].isNull(), parsed["criteria_met"])
+
+
+def retained_process(status: Column, score: Column) -> Column:
+    """Process score that keeps a failure of the process as 0 and is NULL on an engineering hold."""
+    return F.when(status == "held", F.lit(None).cast("double")).when(status == "failed", 0.0).otherwise(score)
+
+
+def recomputed(stated: DataFrame, computed: DataFrame, keys: list[str], metrics: list[str], tolerance: float = 1e-8) -> DataFrame:
+    """(keys, metric, stated, computed): every published figure that recomputing doesn't give, to ``tolerance``; a missing side is NULL.
+
+    Two NULLs agree. Figures that agree give no row.
+    """
+    def long(df: DataFrame, name: str) -> DataFrame:
+        return df.select(*keys, F.explode(F.array(*(F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias(name)) for m in metrics))).alias("z")).select(*keys, "z.*")
+
+    both = long(stated, "stated").join(long(computed, "computed"), [*keys, "metric"], "full")
+    return both.where(~((F.abs(F.col("stated") - F.col("computed")) <= tolerance) | F.col("stated").isNull() & F.col("computed").isNull()).eqNullSafe(True))
+
+
+def expanded_examples(df: DataFrame, id_col: str, completions: str, size: int, repeats: int, seed: str, exactly: int | None = None) -> DataFrame:
+    """(id, copy, completion_no, completion): a sample of ``size`` examples, one row for each reference completion and copy.
+
+    With ``exactly`` only examples with that many completions take part. The sample takes the smallest SHA-256 digests
+    of 'seed|id', which any number of tasks can find together.
+    """
+    fit = df if exactly is None else df.where(F.size(completions) == exactly)
+    ranked = fit.select(id_col, completions, F.sha2(F.concat_ws("|", F.lit(seed), F.col(id_col).cast("string")), 256).alias("_h")).orderBy("_h", id_col).limit(size)
+    copies = ranked.select(id_col, completions, F.explode(F.sequence(F.lit(1), F.lit(repeats))).alias("copy"))
+    return copies.select(id_col, "copy", F.posexplode(completions).alias("completion_no", "completion"))
+
+
+def completion_id(prompt: Column, text: Column) -> Column:
+    """SHA-256 of prompt and completion; NULLs count as empty."""
+    return F.sha2(F.concat(F.coalesce(prompt, F.lit("")), F.coalesce(text, F.lit(""))), 256)
 
 
 def any_of(*conditions: Column) -> Column:

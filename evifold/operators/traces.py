@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 from evifold.functions.ordered import numbered
 from evifold.operators.curation import hash_order, sequence_ratio
 from evifold.operators.ranking import jaccard, tokens
+from evifold.plans.checkpoints import cut_lineage
 
 # fixed values: words that frame a search question and words that name study designs
 FRAMING = "what which how when where who does do is are can should the a an of in for to and with on about".split()
@@ -164,27 +165,27 @@ def prefix_chains(df: DataFrame, run: list[str], order: list[str], text: str) ->
 def greedy_two_way(df: DataFrame, stratum: str, cluster: str, order: str, cap: int) -> DataFrame:
     """Rows taken in order, at most ``cap`` per stratum and one per cluster; a row that is skipped uses nothing up.
 
-    The choice depends on all rows before it, so it runs in one task: meant for the selection of a benchmark, whose
-    size is checked.
+    Done in rounds over all open rows at once. A row is taken when it is the first open one of its cluster and its stratum
+    would have room even if all open rows before it were taken; rows of a taken cluster or a full stratum are dropped. The
+    first open row is always decided, and the result is that of the loop. Ties of ``order`` go by cluster and stratum;
+    NULLs are a stratum and a cluster.
     """
-    n = df.limit(1_000_001).count()
-    if n > 1_000_000:
-        raise ValueError("more than a million candidates")
-
-    def take(pdf: pd.DataFrame) -> pd.DataFrame:
-        counts: dict = {}
-        seen: set = set()
-        keep = []
-        pdf = pdf.sort_values(order, kind="stable")
-        for s, c in zip(pdf[stratum], pdf[cluster]):
-            ok = counts.get(s, 0) < cap and c not in seen
-            if ok:
-                counts[s] = counts.get(s, 0) + 1
-                seen.add(c)
-            keep.append(ok)
-        return pdf[keep].drop(columns="_one")
-
-    return df.withColumn("_one", F.lit(0)).groupBy("_one").applyInPandas(take, df.schema)
+    ordered = [F.col(order), F.col(cluster), F.col(stratum)]
+    still = cut_lineage(df.withColumn("_id", F.monotonically_increasing_id()))
+    taken = still.limit(0)
+    while still.limit(1).count():
+        used = taken.groupBy(F.col(stratum).alias("_us")).agg(F.count(F.lit(1)).alias("_used"))
+        left = still.join(used, F.col(stratum).eqNullSafe(F.col("_us")), "left").withColumn("_used", F.coalesce("_used", F.lit(0)))
+        ranked = left.withColumn("_c", F.row_number().over(Window.partitionBy(cluster).orderBy(*ordered, "_id"))).withColumn("_s", F.row_number().over(Window.partitionBy(stratum).orderBy(*ordered, "_id")))
+        marked = cut_lineage(ranked.withColumn("_take", (F.col("_c") == 1) & (F.col("_used") + F.col("_s") <= cap)))
+        new = marked.where("_take").select(*still.columns)
+        taken = cut_lineage(taken.unionByName(new))
+        clusters = new.select(F.col(cluster).alias("_cl"), F.lit(True).alias("_hit")).distinct()
+        full = taken.groupBy(F.col(stratum).alias("_st")).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= cap)
+        rest = marked.where("not _take").select(*still.columns)
+        rest = rest.join(clusters, F.col(cluster).eqNullSafe(F.col("_cl")), "left_anti").join(full, F.col(stratum).eqNullSafe(F.col("_st")), "left_anti")
+        still = cut_lineage(rest)
+    return taken.drop("_id")
 
 
 def record_faults(spans: Column, size: Column) -> Column:

@@ -61,7 +61,8 @@ def bootstrap_ci(spark: SparkSession, d: str) -> DataFrame:
     rows = cells(spark, d)
     base = rows.groupBy("round_no", "question_id").agg(F.min_by("benchmark_score", F.when(F.col("benchmark_score").isNotNull(), F.col("arm"))).alias("base"))
     deltas = rows.join(base, ["round_no", "question_id"]).select("arm", F.concat_ws("/", "round_no", "question_id").alias("q"), (F.col("benchmark_score") - F.col("base")).alias("delta"))
-    return V.bootstrap_interval(deltas, ["arm"], "q", "delta")
+    out = V.bootstrap_interval(deltas, ["arm"], "q", "delta")
+    return out.select("arm", "n", *(F.round(c, 6).alias(c) for c in ("mean", "low", "high")))
 
 
 def leave_one_question(spark: SparkSession, d: str) -> DataFrame:
@@ -150,7 +151,14 @@ QUERIES = {f.__name__: f for f in (grid_summary, paired_wins, common_valid, clip
 
 _VALUE = "CASE WHEN feedback_status = 'ok' THEN 1.0 WHEN feedback_status = 'empty' THEN 0.5 WHEN feedback_status IN ('environment_failure', 'source_unreadable') THEN 0.0 END"
 _GRP = f"WITH {_CELLS}, a AS (SELECT *, CASE WHEN count(process_reward) OVER w = 4 AND count(*) OVER w = 4 THEN process_reward - avg(process_reward) OVER w END AS adv FROM cells WINDOW w AS (PARTITION BY round_no, question_id))"
+_DRAWS = ", ".join(f"{{'i': {i}, 'x': CAST('0x' || substring(h, {8 * i + 1}, 8) AS BIGINT)}}" for i in range(4))
 SQL = {
+    "bootstrap_ci": f"""WITH {_CELLS}, b AS (SELECT round_no, question_id, arg_min(benchmark_score, arm) FILTER (benchmark_score IS NOT NULL) AS base FROM cells GROUP BY 1, 2),
+d AS (SELECT arm, round_no || '/' || question_id AS q, benchmark_score - base AS x FROM cells JOIN b USING (round_no, question_id)), p AS (SELECT arm, x, row_number() OVER (PARTITION BY arm ORDER BY q, x) AS pos FROM d WHERE x IS NOT NULL),
+n AS (SELECT arm, count(*) AS n, avg(x) AS mean FROM p GROUP BY 1), j AS (SELECT arm, n, r, unnest(range((n - 1) // 4 + 1)) AS j FROM (SELECT arm, n, unnest(range(2000)) AS r FROM n)),
+h AS (SELECT *, md5('20261026|' || r || '|' || j) AS h FROM j), z AS (SELECT arm, n, r, j, unnest([{_DRAWS}]) AS z FROM h), k AS (SELECT arm, r, z.x % n + 1 AS pos FROM z WHERE 4 * j + z.i < n),
+m AS (SELECT arm, r, avg(x) AS m FROM k JOIN p USING (arm, pos) GROUP BY 1, 2), o AS (SELECT *, row_number() OVER (PARTITION BY arm ORDER BY m, r) AS i FROM m)
+SELECT arm, n.n, round(n.mean, 6) AS mean, round(max(m) FILTER (i = 50), 6) AS low, round(max(m) FILTER (i = 1950), 6) AS high FROM o JOIN n USING (arm) GROUP BY 1, 2, n.mean""",
     "grid_summary": f"WITH {_CELLS}, g AS (SELECT * FROM (SELECT DISTINCT round_no, question_id FROM cells), (SELECT DISTINCT arm FROM cells)), x AS (SELECT g.arm, status, benchmark_score, process_score FROM g LEFT JOIN cells c ON c.round_no IS NOT DISTINCT FROM g.round_no AND c.question_id = g.question_id AND c.arm = g.arm) SELECT arm, count(*) AS planned, count(status) AS present, count(benchmark_score) AS scored, count(*) FILTER (status = 'complete') AS complete, round(count(*) FILTER (status = 'complete') / count(*), 6) AS completion_rate, round(avg(benchmark_score), 6) AS raw_mean, round(greatest(0.0, avg(benchmark_score)), 6) AS clipped_mean, round(coalesce(sum(benchmark_score), 0.0) / count(*), 6) AS yield, round(avg(process_score), 6) AS process_mean FROM x GROUP BY arm",
     "paired_wins": f"WITH {_CELLS} SELECT a.arm AS arm_a, b.arm AS arm_b, count(*) AS common, round(avg(a.benchmark_score), 6) AS mean_a, round(avg(b.benchmark_score), 6) AS mean_b, round(avg(b.benchmark_score - a.benchmark_score), 6) AS delta, count(*) FILTER (b.benchmark_score < a.benchmark_score) AS a_wins, count(*) FILTER (b.benchmark_score > a.benchmark_score) AS b_wins, count(*) FILTER (b.benchmark_score = a.benchmark_score) AS ties FROM cells a JOIN cells b ON a.round_no = b.round_no AND a.question_id = b.question_id AND a.arm < b.arm WHERE a.benchmark_score IS NOT NULL AND b.benchmark_score IS NOT NULL GROUP BY ALL",
     "common_valid": f"WITH {_CELLS} SELECT round_no, question_id FROM cells WHERE benchmark_score IS NOT NULL GROUP BY round_no, question_id HAVING count(DISTINCT arm) >= 4",
