@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+import hashlib
 from functools import reduce
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from evifold.functions.ordered import numbered, running
 
 #: Most arms that go to all tasks to build a grid; more are joined by the engine as it sees fit.
 MAX_ARMS = 1_000
+#: Most values, counted first, that go to all tasks to be resampled (16 bytes each); draws from more are joined to them.
+RESAMPLED_AT_ONCE = 2_000_000
 
 
 def latest_cells(cells: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
@@ -52,24 +57,53 @@ def rubric_score(points: Column, met: Column) -> Column:
     return F.sum(F.when(met, points).otherwise(0.0)) / F.nullif(F.sum(F.when(points > 0, points).otherwise(0.0)), F.lit(0.0))
 
 
+def _means_by_task(rows: DataFrame, group: list[str], resamples: int, seed: int) -> DataFrame:
+    """(group, r, m): means of the resamples, each task drawing some of them from all values, which are few."""
+    held = rows.orderBy(*group, "_q", "_d").toPandas()
+    keys = rows.select(*group)
+    listed = [(key if isinstance(key, tuple) else (key,), part["_d"].to_numpy()) for key, part in (held.groupby(group, dropna=False, sort=False) if group else [((), held)])]
+    shared = rows.sparkSession.sparkContext.broadcast(listed)
+    most = max((len(x) for _, x in listed), default=0)
+    schema = T.StructType([*keys.schema.fields, T.StructField("r", T.LongType()), T.StructField("m", T.DoubleType())])
+
+    def draw(batches):
+        for pdf in batches:
+            out = []
+            for r in pdf["r"]:
+                digests = b"".join(hashlib.md5(f"{seed}|{r}|{j}".encode()).digest() for j in range(-(-most // 4)))
+                x = np.frombuffer(digests, ">u4").astype(np.int64)
+                out += [(*key, r, values[x[: len(values)] % len(values)].mean()) for key, values in shared.value if len(values)]
+            yield pd.DataFrame(out, columns=schema.names)
+
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.sparkSession.range(0, resamples, 1, min(resamples, 4 * cores)).withColumnRenamed("id", "r").mapInPandas(draw, schema)
+
+
+def _means_by_join(rows: DataFrame, sizes: DataFrame, group: list[str], resamples: int, seed: int) -> DataFrame:
+    """(group, r, m): means of the resamples, each draw joined to the value at its place."""
+    placed = running(rows, group, [F.col("_q"), F.col("_d")], "_at")
+    repeats = sizes.select(*group, "n", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("r"))
+    quads = repeats.select(*group, "n", "r", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / 4))).alias("j"))
+    digest = quads.withColumn("_h", F.md5(F.concat_ws("|", F.lit(str(seed)), "r", "j")))
+    draw = [F.conv(F.substring("_h", 8 * i + 1, 8), 16, 10).cast("bigint") for i in range(4)]
+    kept = F.filter(F.array(*(F.struct(F.lit(i).alias("i"), x.alias("x")) for i, x in enumerate(draw))), lambda z: 4 * F.col("j") + z["i"] < F.col("n"))
+    drawn = digest.select(*group, "n", "r", F.explode(kept).alias("z")).select(*group, "r", (F.pmod(F.col("z.x"), F.col("n")) + 1).alias("_at"))
+    return drawn.join(placed, [*group, "_at"]).groupBy(*group, "r").agg(F.avg("_d").alias("m"))
+
+
 def bootstrap_interval(deltas: DataFrame, group: list[str], question: str, delta: str, resamples: int = 2_000, seed: int = 20_261_026) -> DataFrame:
     """(group, n, mean, low, high): percentile interval of the mean delta over ``resamples`` resamples of the questions.
 
     Each resample draws as many questions as the group has, with replacement. Draw k of resample r is the question at the
     place that the MD5 digest of 'seed|r|k/4' gives, 8 hex digits for each of four draws, so a run repeats on any cluster
-    and in any engine; places follow the question. Draws are summed before they are shuffled. The bounds are the sorted
+    and in any engine; places follow the question. Up to RESAMPLED_AT_ONCE values go to all tasks, of which each draws whole
+    resamples; beyond that the draws are joined to the values. The bounds are the sorted
     means at 2.5 and 97.5 per cent, the 50th and the 1,950th of 2,000. NULL deltas are left out.
     """
     rows = deltas.where(F.col(delta).isNotNull()).select(*group, F.col(question).alias("_q"), F.col(delta).cast("double").alias("_d"))
-    placed = running(rows, group, [F.col("_q"), F.col("_d")], "_at")
     sizes = rows.groupBy(*group).agg(F.count(F.lit(1)).alias("n"), F.avg("_d").alias("mean"))
-    repeats = sizes.select(*group, "n", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("r"))
-    quads = repeats.select(*group, "n", "r", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / 4))).alias("j"))
-    digest = quads.withColumn("_h", F.md5(F.concat_ws("|", F.lit(str(seed)), "r", "j")))
-    draw = [F.conv(F.substring("_h", 8 * i + 1, 8), 16, 10).cast("bigint") for i in range(4)]
-    kept = F.filter(F.array(*(F.struct(F.lit(i).alias("i"), x.alias("x")) for i, x in enumerate(draw))), lambda z: 4 * F.col("j") + z["i"] < F.col("n"))
-    drawn = digest.select(*group, "n", "r", F.explode(kept).alias("z")).select(*group, "r", (F.pmod(F.col("z.x"), F.col("n")) + 1).alias("_at"))
-    means = drawn.join(placed, [*group, "_at"]).groupBy(*group, "r").agg(F.avg("_d").alias("m"))
+    few = rows.limit(RESAMPLED_AT_ONCE + 1).count() <= RESAMPLED_AT_ONCE
+    means = _means_by_task(rows, group, resamples, seed) if few else _means_by_join(rows, sizes, group, resamples, seed)
     at = lambda q: max(1, min(resamples, int(np.ceil(resamples * q))))
     ranked = means.withColumn("_k", F.row_number().over(Window.partitionBy(*group).orderBy("m", "r")))
     bounds = ranked.groupBy(*group).agg(F.max(F.when(F.col("_k") == at(0.025), F.col("m"))).alias("low"), F.max(F.when(F.col("_k") == at(0.975), F.col("m"))).alias("high"))

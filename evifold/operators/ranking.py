@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -63,6 +66,102 @@ def bm25(docs: DataFrame, queries: DataFrame, id_col: str, text: Column, query_i
     return scored.groupBy("query_id", id_col).agg(F.round(F.sum("part"), 6).alias("score"))
 
 
+def _best(found: list[tuple[np.ndarray, np.ndarray, np.ndarray]], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The ``k`` entries of highest score of each query among parts of (query, id, score); ties go to the smaller id."""
+    q, i, s = (np.concatenate(x) for x in zip(*found))
+    order = np.lexsort((i, -s, q))
+    q, i, s = q[order], i[order], s[order]
+    first = np.flatnonzero(np.concatenate(([True], q[1:] != q[:-1]))) if len(q) else np.zeros(0, int)
+    keep = np.arange(len(q)) - np.repeat(first, np.diff(np.append(first, len(q)))) < k
+    return q[keep], i[keep], s[keep]
+
+
+def bm25_top_k(
+    docs: DataFrame, queries: DataFrame, id_col: str, text: Column, query_id: str, query_text: Column, k: int, k1: float = 1.5, b: float = 0.75, distinct_query: bool = False, rank: str = "rank"
+) -> DataFrame:
+    """(query_id, id, score, rank): the ``k`` documents of highest BM25 for each query; as :func:`bm25` and :func:`top_k` give them.
+
+    No pair of query and document is shuffled: a task scores its documents against the queries and passes on its best
+    ``k`` per query, so what moves grows with tasks x queries. The queries are taken in blocks of about BROADCAST_TERMS
+    (query, term) rows; for each block the documents are read once for the statistics of its terms and once for the scores.
+    Ids must be whole numbers; rows with a NULL id give none.
+    """
+    asked = queries.select(F.col(query_id).cast("bigint").alias("q"), F.explode(tokens(query_text)).alias("term")).where("q is not null")
+    asked = cut_lineage(asked.groupBy("q", "term").agg(F.lit(1).cast("bigint").alias("qtf") if distinct_query else F.count(F.lit(1)).alias("qtf")))
+    blocks = max(1, -(-asked.count() // BROADCAST_TERMS))
+    rows = spread(docs.select(F.col(id_col).cast("bigint").alias("item_id"), text.cast("string").alias("body")))
+    out = docs.sparkSession.createDataFrame([], "query_id bigint, item_id bigint, score double")
+    for n in range(blocks):
+        part = (asked if blocks == 1 else asked.where(F.pmod(F.xxhash64("q"), F.lit(blocks)) == n)).toPandas()
+        if len(part):
+            out = out.unionByName(_bm25_block(rows, part, k, k1, b))
+    return top_k(out, ["query_id"], [F.desc("score"), F.asc("item_id")], k, rank).withColumnRenamed("item_id", id_col)
+
+
+def _bm25_block(rows: DataFrame, asked: pd.DataFrame, k: int, k1: float, b: float) -> DataFrame:
+    """(query_id, item_id, score): the best ``k`` documents of each task for a block of queries (q, term, qtf)."""
+    sc = rows.sparkSession.sparkContext
+    terms = {t: n for n, t in enumerate(sorted(set(asked["term"])))}
+    held = sc.broadcast(terms)
+    find = re.compile(TOKEN).findall
+
+    def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = held.value
+        df, docs, length = np.zeros(len(number), np.int64), 0, 0
+        for batch in batches:
+            for t in batch.column(0).to_pylist():
+                found = find((t or "").lower())
+                docs, length = docs + 1, length + len(found)
+                df[[number[w] for w in set(found) if w in number]] += 1
+        at = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(at, [-1, -2])), pa.array(np.append(df[at], [docs, length]))], names=["t", "n"])
+
+    counted = {r.t: r.n for r in rows.select("body").mapInArrow(frequencies, "t bigint, n bigint").groupBy("t").agg(F.sum("n").alias("n")).collect()}
+    n_docs, average = counted.get(-1, 0), max(1.0, counted.get(-2, 0) / max(1, counted.get(-1, 0)))
+    t = asked["term"].map(terms).to_numpy(np.int64)
+    df = np.array([counted.get(x, 0) for x in range(len(terms))], float)[t]
+    names, q = np.unique(asked["q"].to_numpy(np.int64), return_inverse=True)
+    weight = asked["qtf"].to_numpy(float) * np.log(1 + (n_docs - df + 0.5) / (df + 0.5)) * (k1 + 1)
+    order = np.argsort(t, kind="stable")
+    ends = np.searchsorted(t[order], np.arange(len(terms) + 1))
+    shared = sc.broadcast((names, q[order].astype(np.int32), weight[order], ends))
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = held.value
+        names, q, weight, ends = shared.value
+        least = np.full(len(names), -np.inf)
+        best = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        step = max(1, min(256, 4_000_000 // len(names)))
+        for batch in batches:
+            items, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            for lo in range(0, len(items), step):
+                ids, scores = [], []
+                for item, text in zip(items[lo : lo + step], texts[lo : lo + step]):
+                    found = find((text or "").lower())
+                    counts = Counter(w for w in found if w in number)
+                    if item is None or not counts:
+                        continue
+                    at = [number[w] for w in counts]
+                    tf = np.fromiter(counts.values(), float, len(counts))
+                    part = tf / (tf + k1 * (1 - b + b * len(found) / average))
+                    spans = [slice(ends[x], ends[x + 1]) for x in at]
+                    sizes = [x.stop - x.start for x in spans]
+                    scores.append(np.bincount(np.concatenate([q[x] for x in spans]), np.concatenate([weight[x] for x in spans]) * np.repeat(part, sizes), len(names)))
+                    ids.append(item)
+                if ids:
+                    table = np.round(np.array(scores), 6)
+                    r, c = np.nonzero((table > 0) & (table >= least))
+                    best = _best([best, (c.astype(np.int64), np.array(ids, np.int64)[r], table[r, c])], k)
+                    full = np.bincount(best[0], minlength=len(names)) >= k
+                    least = np.full(len(names), -np.inf)
+                    np.minimum.at(low := np.full(len(names), np.inf), best[0], best[2])
+                    least[full] = low[full]
+        if len(best[0]):
+            yield pa.RecordBatch.from_arrays([pa.array(names[best[0]]), pa.array(best[1]), pa.array(best[2])], names=["query_id", "item_id", "score"])
+
+    return rows.mapInArrow(score, "query_id bigint, item_id bigint, score double")
+
+
 def top_k(scored: DataFrame, partition: list[str], order: list[Column], k: int, rank: str = "rank") -> DataFrame:
     """Rows of rank 1..k per group, ranked by ``order``; Spark prunes groups before the shuffle (WindowGroupLimit)."""
     ranked = scored.withColumn(rank, F.row_number().over(Window.partitionBy(*partition).orderBy(*order)))
@@ -98,14 +197,6 @@ def dense_top_k(vectors: DataFrame, queries: DataFrame, id_col: str, vector_col:
     def search(ids: list[int], matrix: np.ndarray) -> DataFrame:
         held = vectors.sparkSession.sparkContext.broadcast((np.array(ids), np.ascontiguousarray(matrix.T)))
 
-        def best(found: list[tuple[np.ndarray, np.ndarray, np.ndarray]], n: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-            q, i, s = (np.concatenate(x) for x in zip(*found))
-            order = np.lexsort((i, -s, q))
-            q, i, s = q[order], i[order], s[order]
-            first = np.flatnonzero(np.concatenate(([True], q[1:] != q[:-1])))
-            keep = np.arange(len(q)) - np.repeat(first, np.diff(np.append(first, len(q)))) < n
-            return [(q[keep], i[keep], s[keep])]
-
         def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             names, targets = held.value
             found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
@@ -118,7 +209,7 @@ def dense_top_k(vectors: DataFrame, queries: DataFrame, id_col: str, vector_col:
                     scores = np.round(flat[lo : lo + 2_048] @ targets, 6)
                     least = np.partition(scores, max(0, len(scores) - k), axis=0)[max(0, len(scores) - k)]
                     r, c = np.nonzero(scores >= least)
-                    found = best([*found, (names[c], items[lo : lo + 2_048][r], scores[r, c])], k)
+                    found = [_best([*found, (names[c], items[lo : lo + 2_048][r], scores[r, c])], k)]
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in found[0]], names=["query_id", "item_id", "score"])
 

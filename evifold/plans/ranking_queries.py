@@ -36,8 +36,13 @@ def _title_scores(spark: SparkSession, d: str, **kw) -> DataFrame:
 _FIELDED = "repeat(coalesce(title, '') || ' ', 4) || ' ' || coalesce(text, '')"
 
 
+def _title_top(spark: SparkSession, d: str, k: int, rank: str = "rank") -> DataFrame:
+    docs = table(spark, d, "documents")
+    return R.bm25_top_k(docs, docs.where(TITLES), "doc_id", F.concat_ws(" ", F.repeat(F.concat(F.coalesce("title", F.lit("")), F.lit(" ")), 4), F.col("text")), "doc_id", F.col("title"), k, rank=rank)
+
+
 def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
-    return R.top_k(_title_scores(spark, d), ["query_id"], [F.desc("score"), F.asc("doc_id")], 10).select("query_id", "doc_id", "score", "rank")
+    return _title_top(spark, d, 10).select("query_id", "doc_id", "score", "rank")
 
 
 def bm25_anchor_blend(spark: SparkSession, d: str) -> DataFrame:
@@ -51,8 +56,8 @@ def bm25_anchor_blend(spark: SparkSession, d: str) -> DataFrame:
 
 def history_window(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").where("title is not null")
-    scored = R.bm25(docs, docs.where("doc_id % 20 = 0"), "doc_id", F.concat_ws(" ", "title", "title", "snippet"), "doc_id", F.col("title"), k1=1.2, distinct_query=True)
-    return R.top_k(scored, ["query_id"], [F.desc("score"), F.asc("doc_id")], 8).select("query_id", "doc_id", "score", "rank")
+    best = R.bm25_top_k(docs, docs.where("doc_id % 20 = 0"), "doc_id", F.concat_ws(" ", "title", "title", "snippet"), "doc_id", F.col("title"), 8, k1=1.2, distinct_query=True)
+    return best.select("query_id", "doc_id", "score", "rank")
 
 
 def dense_topk(spark: SparkSession, d: str) -> DataFrame:
@@ -61,11 +66,10 @@ def dense_topk(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _two_lists(spark: SparkSession, d: str) -> DataFrame:
-    order = [F.desc("score"), F.asc("doc_id")]
-    lexical = R.top_k(_title_scores(spark, d), ["query_id"], order, 8, "r1").select("query_id", "doc_id", "r1")
+    lexical = _title_top(spark, d, 8, "r1").select("query_id", "doc_id", "r1")
     docs = table(spark, d, "documents")
-    plain = R.bm25(docs, docs.where("snippet is not null and doc_id % 20 = 0"), "doc_id", F.col("text"), "doc_id", F.col("snippet"))
-    return lexical.join(R.top_k(plain, ["query_id"], order, 8, "r2").select("query_id", "doc_id", "r2"), ["query_id", "doc_id"], "full")
+    plain = R.bm25_top_k(docs, docs.where("snippet is not null and doc_id % 20 = 0"), "doc_id", F.col("text"), "doc_id", F.col("snippet"), 8, rank="r2")
+    return lexical.join(plain.select("query_id", "doc_id", "r2"), ["query_id", "doc_id"], "full")
 
 
 def rrf_fusion(spark: SparkSession, d: str) -> DataFrame:
@@ -74,7 +78,7 @@ def rrf_fusion(spark: SparkSession, d: str) -> DataFrame:
 
 
 def section_diverse_topk(spark: SparkSession, d: str) -> DataFrame:
-    best = R.top_k(_title_scores(spark, d), ["query_id"], [F.desc("score"), F.asc("doc_id")], 40)
+    best = _title_top(spark, d, 40)
     named = best.join(table(spark, d, "documents").select("doc_id", "source"), "doc_id")
     return R.group_diverse(named, ["query_id"], "source", [F.asc("rank")], 8).select("query_id", "doc_id", "source", "rank", "selected")
 
