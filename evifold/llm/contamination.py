@@ -375,7 +375,10 @@ def _candidates(windows: DataFrame, pool: Pool, block: slice, weights: np.ndarra
                         text[row] = "".join(map(_char, ids[row].tolist()))
                     if p not in places:
                         places[p] = _places(passages[p])
-                    lcs = lcs_length(text[row], places[p])
+                    known = places[p]
+                    if len([1 for w in text[row] if w in known]) < least:
+                        continue  # no longer subsequence than words in common
+                    lcs = lcs_length(text[row], known)
                     if lcs < least:
                         continue
                     run = _longest_run(text[row], passages[p]) if lcs >= RUN else 0
