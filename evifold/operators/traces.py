@@ -27,7 +27,7 @@ def tool_call(text: Column) -> Column:
     """First ``<tool name="x" k="v">body</tool>`` of a text as (tool, attributes, body); NULL if there is none."""
     name, rest = F.regexp_extract(text, _CALL, 1), F.regexp_extract(text, _CALL, 2)
     pairs = F.map_from_entries(F.array_distinct(F.arrays_zip(F.regexp_extract_all(rest, F.lit(_ATTRIBUTE), F.lit(1)).alias("k"), F.regexp_extract_all(rest, F.lit(_ATTRIBUTE), F.lit(2)).alias("v"))))
-    return F.when(name != "", F.struct(name.alias("tool"), pairs.alias("attributes"), F.trim(F.regexp_extract(text, _CALL, 3)).alias("body")))
+    return F.when(name != "", F.struct(name.alias("tool"), pairs.alias("attributes"), F.regexp_replace(F.regexp_extract(text, _CALL, 3), r"^\s+|\s+$", "").alias("body")))
 
 
 @F.pandas_udf(T.StringType())

@@ -7,7 +7,7 @@ import re
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 LOOK_AHEAD, EXTENSION = 128, 600
@@ -189,3 +189,28 @@ def pack_ranked(ranked: DataFrame, group: str, tokens: int = 1_000, chars: int =
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(ranks, pa.int32()), pa.array(kept, pa.string())], names=[group, "rank", "kept"])
 
     return lists.mapInArrow(scan, f"{group} {kind}, rank int, kept string")
+
+
+def aligned_windows(df: DataFrame, id_col: str, text: Column, start: Column, end: Column) -> DataFrame:
+    """(id, start, end, is_open): each window of a text moved to ends of sentences by :func:`align`; NULL texts and empty windows give no row."""
+    names = [id_col, "start", "end", "is_open"]
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [(i, *span) for i, t, s, e in zip(*(b.column(k).to_pylist() for k in range(4))) if t and (span := align(t, s, min(e, len(t))))]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in found], kind) for k, kind in enumerate((pa.int64(), pa.int32(), pa.int32(), pa.bool_()))], names=names)
+
+    rows = df.select(F.col(id_col).cast("bigint").alias(id_col), text.cast("string").alias("_t"), start.cast("int").alias("_s"), end.cast("int").alias("_e"))
+    return rows.mapInArrow(scan, f"`{id_col}` bigint, start int, end int, is_open boolean")
+
+
+def clipped_texts(df: DataFrame, id_col: str, text: Column, tokens: int, chars: int) -> DataFrame:
+    """(id, clipped): the longest safe prefix of each text under both budgets, by :func:`clip` with estimated tokens; NULL stays NULL."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            cut = [None if t is None else clip(t, tokens, chars, estimate) for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(cut, pa.string())], names=[id_col, "clipped"])
+
+    rows = df.select(F.col(id_col).cast("bigint").alias(id_col), text.cast("string").alias("_t"))
+    return rows.mapInArrow(scan, f"`{id_col}` bigint, clipped string")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("ranking_queries", "event_queries", "evaluation_queries", "text_queries", "passage_queries", "trace_queries", "selection_queries", "judging_queries", "ledger_queries", "cleaning_queries", "span_queries", "preparation_queries")
+MODULES = ("ranking_queries", "event_queries", "evaluation_queries", "text_queries", "passage_queries", "trace_queries", "selection_queries", "judging_queries", "ledger_queries", "cleaning_queries", "span_queries", "preparation_queries", "source_queries")
 
 
 def _all(name: str) -> dict:

@@ -73,6 +73,16 @@ def passage_dependencies(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (markdown_sections, html_sections, fixed_chunks, interval_merge, char_budget, fair_share_cap, preview_share, dict_factor, evidence_pack, sentence_overlap_excerpt, passage_dependencies)}
 
 SQL = {
+    "fair_share_cap": """WITH RECURSIVE r AS (SELECT run_id, list(coalesce(length(executed_action), 0) ORDER BY turn, log_id) AS z FROM case_steps WHERE run_id IS NOT NULL GROUP BY 1),
+f AS (SELECT run_id, z, 0 AS pos, 700 AS rest, least(z[1], greatest(1, 700 // len(z))) AS share FROM r
+  UNION ALL SELECT run_id, z, pos + 1, rest - share, least(z[pos + 2], CASE WHEN rest - share <= 0 THEN 0 ELSE greatest(1, (rest - share) // (len(z) - pos - 1)) END) FROM f WHERE pos + 1 < len(z))
+SELECT run_id, pos, share FROM f""",
+    "evidence_pack": rf"""WITH RECURSIVE {_STEPS}, x AS (SELECT run_id, turn, log_id, source, repeat(focus, 9) AS t FROM s WHERE run_id IS NOT NULL AND feedback_status = 'ok' AND source IS NOT NULL),
+o AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY run_id, source, md5(trim(regexp_replace(t, '\s+', ' ', 'g'))) ORDER BY turn, log_id) AS k FROM x WHERE length(t) > 0) WHERE k = 1),
+g AS (SELECT run_id, source, list(length(t) ORDER BY turn, log_id) AS z, min((turn, log_id)) AS f FROM o GROUP BY 1, 2), p AS (SELECT *, dense_rank() OVER (PARTITION BY run_id ORDER BY f, source) AS q FROM g),
+w AS (SELECT run_id, source, z, 0 AS i, 0 AS taken, 0 AS used FROM p WHERE q <= 6
+  UNION ALL SELECT run_id, source, z, i + 1, CASE WHEN taken < 3 AND used + z[i + 1] <= 2400 THEN taken + 1 ELSE taken END, CASE WHEN taken < 3 AND used + z[i + 1] <= 2400 THEN used + z[i + 1] ELSE used END FROM w WHERE i < len(z))
+SELECT run_id, source, taken, used FROM w WHERE i = len(z)""",
     "fixed_chunks": "WITH n AS (SELECT doc_id, text, unnest(range(0, greatest(1, CAST(ceil((length(text) - 1800) / 1600) AS BIGINT) + 1))) AS chunk_no FROM documents WHERE length(text) > 0) SELECT doc_id, chunk_no, sha256(substr(text, chunk_no * 1600 + 1, 1800)) AS digest FROM n",
     "interval_merge": "WITH e AS (SELECT user_id, CAST(floor(epoch(ts)) AS BIGINT) AS s, CAST(floor(epoch(ts)) AS BIGINT) + CAST(floor(value * 600) AS BIGINT) AS e FROM events), m AS (SELECT *, CASE WHEN s <= max(e) OVER (PARTITION BY user_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS n FROM e WHERE s <= e), i AS (SELECT *, sum(n) OVER (PARTITION BY user_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS island FROM m) SELECT user_id, min(s) AS island_start, max(e) AS island_end, count(*) AS n FROM i GROUP BY user_id, island",
     "char_budget": "WITH b AS (SELECT doc_id, source, coalesce(length(text), 0) AS n, coalesce(sum(coalesce(length(text), 0)) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS used FROM documents) SELECT doc_id, source, CAST(greatest(0, least(n, 12000 - used)) AS BIGINT) AS kept FROM b WHERE greatest(0, least(n, 12000 - used)) > 0",

@@ -133,4 +133,6 @@ l AS (SELECT *, coalesce(lag(bad) OVER w AND lag(sig) OVER w = sig, false) AS li
 u AS (SELECT *, sum(CASE WHEN linked THEN 0 ELSE 1 END) OVER (PARTITION BY run_id ORDER BY turn, log_id ROWS UNBOUNDED PRECEDING) AS unit FROM l),
 p AS (SELECT *, CASE WHEN bool_or(bad) OVER v THEN 0 WHEN bool_or(st) OVER v THEN 1 ELSE 2 END AS p FROM u WINDOW v AS (PARTITION BY run_id, unit)),
 r AS (SELECT *, dense_rank() OVER (PARTITION BY run_id ORDER BY p, unit DESC) AS rank FROM p) SELECT log_id, CAST(unit AS BIGINT) AS unit, rank, rank <= 3 AS kept FROM r""",
+    "evidence_projection": """WITH j AS (SELECT output_id, original_data->>'arm' AS a, original_data->>'id' AS i FROM eval_outputs WHERE original_data IS NOT NULL)
+SELECT output_id, '{' || concat_ws(',', '"arm":"' || a || '"', '"id":"' || i || '"') || '}' AS projection FROM j UNION ALL SELECT output_id, NULL FROM eval_outputs WHERE original_data IS NULL""",
 }

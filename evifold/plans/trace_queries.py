@@ -151,6 +151,12 @@ _TOK = r"regexp_extract_all(lower(coalesce({}, '')), '[a-z0-9]+|[\x{{4e00}}-\x{{
 _NUM = r"regexp_extract_all(coalesce({}, ''), '[0-9]+(?:\.[0-9]+)?')"
 _IDS = "array_to_string(list_sort(list_distinct(flatten(list(coalesce(new_evidence_ids, []))))), ',')"
 SQL = {
+    "normalised_problems": r"SELECT array_to_string(regexp_extract_all(lower(problem), '[\p{L}\p{N}_]+'), ' ') AS text, count(*) AS n FROM exclusion_pool GROUP BY 1",
+    "greedy_selection": """WITH RECURSIVE c AS (SELECT question_id, bench, md5(accepted_answer) AS cl, row_number() OVER (ORDER BY sha256(concat_ws('/', question_id, problem)), md5(accepted_answer), bench) AS i FROM exclusion_pool),
+g AS (SELECT 0 AS i, CAST([] AS VARCHAR[]) AS strata, CAST([] AS VARCHAR[]) AS clusters, false AS ok, CAST(NULL AS VARCHAR) AS question_id, CAST(NULL AS VARCHAR) AS bench
+  UNION ALL SELECT c.i, CASE WHEN t.ok THEN list_append(strata, coalesce(c.bench, '')) ELSE strata END, CASE WHEN t.ok THEN list_append(clusters, coalesce(c.cl, '')) ELSE clusters END, t.ok, c.question_id, c.bench
+  FROM g JOIN c ON c.i = g.i + 1, LATERAL (SELECT NOT list_contains(clusters, coalesce(c.cl, '')) AND len(list_filter(strata, lambda x: x = coalesce(c.bench, ''))) < 10 AS ok) t)
+SELECT question_id, bench FROM g WHERE ok""",
     "repeated_query_words": f"WITH {_STEPS}, q AS (SELECT log_id, run_id, row_number() OVER (PARTITION BY run_id ORDER BY turn, log_id) AS o, list_distinct({_TOK.format('query')}) AS w FROM s WHERE action = 'search' AND run_id IS NOT NULL AND query IS NOT NULL), j AS (SELECT a.log_id, CASE WHEN len(a.w) + len(b.w) = 0 THEN 1.0 ELSE len(list_intersect(a.w, b.w)) / (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w))) END AS j FROM q a JOIN q b ON a.run_id = b.run_id AND b.o < a.o AND b.o >= a.o - 64) SELECT log_id, round(max(j), 6) AS best FROM j GROUP BY log_id HAVING max(j) >= 0.85",
     "evidence_transitions": "WITH e AS (SELECT run_id, turn, log_id, coalesce(new_evidence_ids, []) AS l FROM case_steps WHERE run_id IS NOT NULL), c AS (SELECT run_id, turn, log_id, list_distinct(flatten(list(l) OVER (PARTITION BY run_id ORDER BY turn, log_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))) AS ids FROM e), p AS (SELECT *, len(ids) - coalesce(lag(len(ids)) OVER w, 0) AS added, lag(len(ids)) OVER w IS NULL AS f FROM c WINDOW w AS (PARTITION BY run_id ORDER BY turn, log_id)) SELECT log_id, added, CASE WHEN f THEN 'first' WHEN added > 0 THEN 'append' ELSE 'no_change' END AS change FROM p",
     "coverage_merge": f"WITH {_STEPS}, r AS (SELECT question_id, turn, feedback_status, new_evidence_ids, unnest(CAST(j->'requirement_ids' AS VARCHAR[])) AS requirement FROM s WHERE question_id IS NOT NULL) SELECT question_id, requirement, CASE WHEN count(*) FILTER (turn > 3 AND feedback_status = 'ok') >= 3 THEN 'direct' WHEN count(*) FILTER (turn <= 3 AND feedback_status = 'ok') > 0 OR count(*) FILTER (turn > 3 AND feedback_status = 'ok') > 0 THEN 'partial' ELSE 'missing' END AS status, coalesce({_IDS}, '') AS evidence FROM r WHERE turn IS NOT NULL GROUP BY 1, 2",
