@@ -215,7 +215,8 @@ SELECT doc_id, CAST(header AS BIGINT) AS header_cues, cells, pipes, ends AS sent
     "split_disjointness": f"SELECT DISTINCT {_KEY} AS k FROM documents WHERE text IS NOT NULL AND doc_id % 5 = 0 INTERSECT SELECT {_KEY} FROM documents WHERE text IS NOT NULL AND doc_id % 5 <> 0",
     "conflict_detect": "SELECT round_no, question_id, arm, count(DISTINCT concat_ws('/', status, CAST(benchmark_score IS NULL AS VARCHAR))) AS versions, count(*) AS n FROM eval_cells GROUP BY ALL HAVING count(DISTINCT concat_ws('/', status, CAST(benchmark_score IS NULL AS VARCHAR))) > 1",
     "manifest_diff": f"WITH p AS (SELECT page_id, {_PAGE} AS page, sha256(coalesce(markdown, '')) AS digest, fetched_at FROM crawl_results), f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY page ORDER BY fetched_at NULLS FIRST, page_id) AS r FROM p) WHERE r = 1), l AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY page ORDER BY fetched_at DESC NULLS LAST, page_id DESC) AS r FROM p) WHERE r = 1 AND page_id % 7 <> 0) SELECT coalesce(f.page, l.page) AS page, CASE WHEN f.page IS NULL THEN 'added' WHEN l.page IS NULL THEN 'removed' ELSE 'changed' END AS change FROM f FULL JOIN l ON f.page = l.page WHERE f.digest IS DISTINCT FROM l.digest",
-    "jaccard_pairs": "WITH t AS (SELECT title, min(paper_row_id) AS id FROM paper_rows WHERE title IS NOT NULL GROUP BY title), w AS (SELECT id, list_distinct(regexp_extract_all(lower(title), '[a-z0-9]+')) AS w FROM t), j AS (SELECT a.id AS query_id, b.id, len(list_intersect(a.w, b.w)) AS i, len(a.w) + len(b.w) AS n FROM w a JOIN w b ON len(a.w) > 0 AND len(b.w) >= 0.8 * len(a.w) AND len(a.w) >= 0.8 * len(b.w) WHERE a.id % 20 = 0) SELECT query_id, id, round(i / (n - i), 6) AS jaccard FROM j WHERE i / (n - i) >= 0.8",
+    "jaccard_members": "SELECT paper_row_id, min(paper_row_id) OVER (PARTITION BY title) AS id FROM paper_rows WHERE title IS NOT NULL",
+    "jaccard_pairs": "WITH t AS (SELECT title, min(paper_row_id) AS id, bool_or(paper_row_id % 20 = 0) AS asked FROM paper_rows WHERE title IS NOT NULL GROUP BY title), w AS (SELECT id, asked, list_distinct(regexp_extract_all(lower(title), '[a-z0-9]+')) AS w FROM t), j AS (SELECT a.id AS query_id, b.id, len(list_intersect(a.w, b.w)) AS i, len(a.w) + len(b.w) AS n FROM w a JOIN w b ON len(a.w) > 0 AND len(b.w) >= 0.8 * len(a.w) AND len(a.w) >= 0.8 * len(b.w) WHERE a.asked) SELECT query_id, id, round(i / (n - i), 6) AS jaccard FROM j WHERE i / (n - i) >= 0.8",
     "canonical_digest": r"WITH d AS (SELECT log_id, sha256('error' || chr(30) || coalesce('=' || error_code, '~') || chr(30) || 'run' || chr(30) || coalesce('=' || run_id, '~') || chr(30) || 'status' || chr(30) || coalesce('=' || feedback_status, '~') || chr(30) || 'turn' || chr(30) || coalesce('=' || turn, '~')) AS digest FROM case_steps) SELECT digest, count(*) AS n, min(log_id) AS first FROM d GROUP BY digest",
     "benchmark_examples": "WITH a AS (SELECT md5(problem) AS id, trim(problem) AS problem, bench, list_filter(list_transform(string_split(coalesce(accepted_answer, ''), ';'), lambda x: trim(x)), lambda x: x <> '') AS l FROM exclusion_pool WHERE problem IS NOT NULL) SELECT id, problem, bench, len(l) AS n_answers, coalesce(array_to_string(l, ' || '), '') AS answers FROM a",
 }
