@@ -144,6 +144,22 @@ def transitions(states: DataFrame, run: list[str], order: list[str], ids: str) -
     return states.withColumn("added", added).withColumn("lost", lost).withColumn("change", change)
 
 
+def evidence_growth(df: DataFrame, run: list[str], order: list[str], ids: str) -> DataFrame:
+    """``df`` with (added, change): how many ids each step brings that no earlier step of its run has; first, append or no_change.
+
+    Only the first step of each id is looked up, so a run costs its ids and not its steps times its ids. ``order`` must
+    tell the steps of a run apart; NULL and empty arrays bring nothing, an id that stands twice in a step counts once.
+    """
+    step = F.struct(*order)
+    listed = df.select(*run, step.alias("_o"), F.explode(F.array_distinct(ids)).alias("_id")).where("_id is not null")
+    first = listed.groupBy(*run, "_id").agg(F.min("_o").alias("_o")).groupBy(*run, "_o").agg(F.count(F.lit(1)).alias("_n"))
+    starts = df.groupBy(*run).agg(F.min(step).alias("_start"))
+    placed = df.withColumn("_o", step).join(first, [*run, "_o"], "left").join(starts, run)
+    added = F.coalesce("_n", F.lit(0))
+    change = F.when(F.col("_o") == F.col("_start"), "first").when(added > 0, "append").otherwise("no_change")
+    return placed.withColumn("added", added).withColumn("change", change).drop("_o", "_n", "_start")
+
+
 def answer_issues(df: DataFrame, cited: str, opened: str, claim: Column, evidence: Column) -> DataFrame:
     """``df`` with ``issues``: unknown citations, numbers that the evidence lacks, no shared word; distinct, in this order."""
     numbers = lambda c: F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(r"[0-9]+(?:\.[0-9]+)?"), F.lit(0))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -18,29 +19,16 @@ DOTS = ".．﹒"
 CLOSERS = "\"”’」』】〉》）)]}"
 ABBREVIATIONS = ("e.g", "i.e", "dr", "mr", "ms", "prof", "vs", "et al")
 
-_ABBREVIATED = re.compile(rf"(?<!\w)(?:{'|'.join(map(re.escape, ABBREVIATIONS))})\.$", re.I)
-_TERMINAL = re.compile(f"[{re.escape(TERMINALS)}]|…(?!…)")
+_ABBREVIATED = re.compile(rf"(?<!\w)(?:{'|'.join(map(re.escape, ABBREVIATIONS))})\.", re.I)
+_WIDE_DOTS, _OTHERS, _MARKS = DOTS.replace(".", ""), "".join(c for c in TERMINALS if c not in DOTS), re.escape(CLOSERS)
+_SENTENCE_END = re.compile(rf"(\.(?=\s|\Z|[{_MARKS}])|(?<!\d)[{_WIDE_DOTS}]|[{_WIDE_DOTS}](?!\d)|[{_OTHERS}])[{_MARKS}]*|…(?!…)")
 _CLAUSE = re.compile("[,，、;；:：]")
 
 
 def sentence_ends(text: str) -> list[int]:
     """Offsets after the ends of sentences, closing marks included; decimals, abbreviations and inner dots end none."""
-    out = []
-    for m in _TERMINAL.finditer(text):
-        at, end = m.start(), m.end()
-        if m.group() in DOTS:
-            near = text[at - 1 : at] if at else ""
-            after = text[end : end + 1]
-            if near.isdigit() and after.isdigit():
-                continue
-            if m.group() == "." and (after and not after.isspace() and after not in CLOSERS or _ABBREVIATED.search(text, max(0, at - 8), end)):
-                continue
-        if m.group() != "…":
-            while text[end : end + 1] and text[end] in CLOSERS:
-                end += 1
-        if not out or end > out[-1]:
-            out.append(end)
-    return out
+    shortened = {m.end() for m in _ABBREVIATED.finditer(text)}
+    return [m.end() for m in _SENTENCE_END.finditer(text) if m.end(1) not in shortened]
 
 
 def section_chunks(text: str, size: int = 1_800, overlap: int = 200) -> list[tuple[int, int]]:
@@ -72,19 +60,16 @@ def section_chunks(text: str, size: int = 1_800, overlap: int = 200) -> list[tup
 
 def align(text: str, start: int, end: int) -> tuple[int, int, bool] | None:
     """Span moved to sentence ends: back to the one before, on by at most EXTENSION characters or back; whether it stays open."""
-    ends = sentence_ends(text)
-    if start and start not in ends:
-        start = max((e for e in ends if e < start), default=0)
-    is_open = False
-    if end < len(text) and end not in ends:
-        later = [e for e in ends if end < e <= end + EXTENSION]
-        if later:
-            end = later[0]
-        elif earlier := [e for e in ends if start < e <= end]:
-            end = earlier[-1]
-        else:
-            is_open = True
-    return (start, end, is_open) if start < end else None
+    bounds = [0, *sentence_ends(text)]
+    begin = bounds[bisect_right(bounds, start) - 1]
+    if end >= len(text):
+        return (begin, end, False) if begin < end else None
+    k = bisect_left(bounds, end, 1)
+    if k < len(bounds) and bounds[k] <= end + EXTENSION:
+        return begin, bounds[k], False
+    if bounds[k - 1] > begin:
+        return begin, bounds[k - 1], False
+    return (begin, end, True) if begin < end else None
 
 
 def clip(text: str, tokens: int, chars: int, count: Callable[[str], int], whole: bool = False) -> str:

@@ -35,10 +35,8 @@ def similar_query_advisory(spark: SparkSession, d: str) -> DataFrame:
 
 def evidence_transitions(spark: SparkSession, d: str) -> DataFrame:
     """Growth of the set of evidence of each run, step by step."""
-    rows = table(spark, d, "case_steps").where("run_id is not null")
-    w = Window.partitionBy("run_id").orderBy("turn", "log_id").rowsBetween(Window.unboundedPreceding, 0)
-    seen = rows.withColumn("ids", F.array_distinct(F.flatten(F.collect_list(F.coalesce("new_evidence_ids", F.array().cast("array<string>"))).over(w))))
-    return X.transitions(seen, ["run_id"], ["turn", "log_id"], "ids").select("log_id", F.col("added").cast("bigint").alias("added"), "change")
+    rows = table(spark, d, "case_steps").where("run_id is not null and turn is not null")
+    return X.evidence_growth(rows, ["run_id"], ["turn", "log_id"], "new_evidence_ids").select("log_id", "added", "change")
 
 
 def coverage_merge(spark: SparkSession, d: str) -> DataFrame:
@@ -158,7 +156,7 @@ g AS (SELECT 0 AS i, CAST([] AS VARCHAR[]) AS strata, CAST([] AS VARCHAR[]) AS c
   FROM g JOIN c ON c.i = g.i + 1, LATERAL (SELECT NOT list_contains(clusters, coalesce(c.cl, '')) AND len(list_filter(strata, lambda x: x = coalesce(c.bench, ''))) < 10 AS ok) t)
 SELECT question_id, bench FROM g WHERE ok""",
     "repeated_query_words": f"WITH {_STEPS}, q AS (SELECT log_id, run_id, row_number() OVER (PARTITION BY run_id ORDER BY turn, log_id) AS o, list_distinct({_TOK.format('query')}) AS w FROM s WHERE action = 'search' AND run_id IS NOT NULL AND query IS NOT NULL), j AS (SELECT a.log_id, CASE WHEN len(a.w) + len(b.w) = 0 THEN 1.0 ELSE len(list_intersect(a.w, b.w)) / (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w))) END AS j FROM q a JOIN q b ON a.run_id = b.run_id AND b.o < a.o) SELECT log_id, round(max(j), 6) AS best FROM j GROUP BY log_id HAVING max(j) >= 0.85",
-    "evidence_transitions": "WITH e AS (SELECT run_id, turn, log_id, coalesce(new_evidence_ids, []) AS l FROM case_steps WHERE run_id IS NOT NULL), c AS (SELECT run_id, turn, log_id, list_distinct(flatten(list(l) OVER (PARTITION BY run_id ORDER BY turn, log_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))) AS ids FROM e), p AS (SELECT *, len(ids) - coalesce(lag(len(ids)) OVER w, 0) AS added, lag(len(ids)) OVER w IS NULL AS f FROM c WINDOW w AS (PARTITION BY run_id ORDER BY turn, log_id)) SELECT log_id, added, CASE WHEN f THEN 'first' WHEN added > 0 THEN 'append' ELSE 'no_change' END AS change FROM p",
+    "evidence_transitions": "WITH e AS (SELECT run_id, turn, log_id, coalesce(new_evidence_ids, []) AS l FROM case_steps WHERE run_id IS NOT NULL AND turn IS NOT NULL), c AS (SELECT run_id, turn, log_id, list_distinct(flatten(list(l) OVER (PARTITION BY run_id ORDER BY turn, log_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))) AS ids FROM e), p AS (SELECT *, len(ids) - coalesce(lag(len(ids)) OVER w, 0) AS added, lag(len(ids)) OVER w IS NULL AS f FROM c WINDOW w AS (PARTITION BY run_id ORDER BY turn, log_id)) SELECT log_id, added, CASE WHEN f THEN 'first' WHEN added > 0 THEN 'append' ELSE 'no_change' END AS change FROM p",
     "coverage_merge": f"WITH {_STEPS}, r AS (SELECT question_id, turn, feedback_status, new_evidence_ids, unnest(CAST(j->'requirement_ids' AS VARCHAR[])) AS requirement FROM s WHERE question_id IS NOT NULL) SELECT question_id, requirement, CASE WHEN count(*) FILTER (turn > 3 AND feedback_status = 'ok') >= 3 THEN 'direct' WHEN count(*) FILTER (turn <= 3 AND feedback_status = 'ok') > 0 OR count(*) FILTER (turn > 3 AND feedback_status = 'ok') > 0 THEN 'partial' ELSE 'missing' END AS status, coalesce({_IDS}, '') AS evidence FROM r WHERE turn IS NOT NULL GROUP BY 1, 2",
     "answer_validation": f"WITH c AS (SELECT output_id, final_response AS f, problem AS p, list_filter(flatten(list_transform(regexp_extract_all(final_response, '<cite id=\"([^\"<>]+)\">', 1), lambda g: list_transform(string_split(g, ','), lambda x: trim(x)))), lambda x: x <> '') AS cited FROM eval_outputs WHERE final_response IS NOT NULL) SELECT output_id, concat_ws(',', CASE WHEN len(list_filter(cited, lambda x: x NOT IN ('E1', 'E2'))) > 0 THEN 'unknown_citation' END, CASE WHEN len(cited) = 0 THEN 'no_citation' END, CASE WHEN len(list_filter({_NUM.format('f')}, lambda x: NOT list_contains({_NUM.format('p')}, x))) > 0 THEN 'unsupported_number' END, CASE WHEN len(list_intersect({_TOK.format('f')}, {_TOK.format('p')})) = 0 THEN 'no_shared_term' END) AS issues FROM c",
     "prefix_chain_merge": f"WITH {_STEPS}, q AS (SELECT run_id, turn, log_id, lower(query) AS q FROM s WHERE run_id IS NOT NULL AND query IS NOT NULL), b AS (SELECT *, CASE WHEN starts_with(q, lag(q) OVER (PARTITION BY run_id ORDER BY turn, log_id)) THEN 0 ELSE 1 END AS b FROM q) SELECT run_id, CAST(sum(b) AS BIGINT) AS chains, count(*) AS n FROM b GROUP BY run_id",
