@@ -66,7 +66,7 @@ def align(text: str, start: int, end: int) -> tuple[int, int, bool] | None:
         return (begin, end, False) if begin < end else None
     k = bisect_left(bounds, end, 1)
     if k < len(bounds) and bounds[k] <= end + EXTENSION:
-        return begin, bounds[k], False
+        return (begin, bounds[k], False) if begin < bounds[k] else None
     if bounds[k - 1] > begin:
         return begin, bounds[k - 1], False
     return (begin, end, True) if begin < end else None
