@@ -128,31 +128,34 @@ def estimate(text: str) -> int:
 CHUNK = "item_id bigint, section_index int, chunk_index int, chunk_id string, heading string, start_char int, end_char int, text string, text_sha256 string"
 
 
-def chunk_sections(sections: DataFrame, size: int = 1_800, overlap: int = 200) -> DataFrame:
+def chunk_sections(sections: DataFrame, size: int = 1_800, overlap: int = 200, with_title: bool = False) -> DataFrame:
     """Chunks of parsed documents (item_id, sections): ids, spans in the collapsed section text, and digests.
 
+    With ``with_title`` each chunk carries the ``title`` of its document, so that nothing has to be joined back.
     NULL or empty sections give none; documents that stand twice give their chunks twice. Nothing is shuffled.
     """
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple] = []
-            for item, listed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for item, listed, title in zip(*(batch.column(k).to_pylist() for k in range(3))):
                 for s, section in enumerate(listed or ()):
                     text = " ".join((section["text"] or "").split())
                     heading = " ".join((section["heading"] or "").split()) or "Section"
                     for c, (a, b) in enumerate(section_chunks(text, size, overlap)):
-                        out.append((item, s, c, f"{item}#s{s}-c{c}", heading, a, b, text[a:b], hashlib.sha256(text[a:b].encode()).hexdigest()))
+                        out.append((item, s, c, f"{item}#s{s}-c{c}", heading, a, b, text[a:b], hashlib.sha256(text[a:b].encode()).hexdigest(), *([title] if with_title else [])))
             yield _batch(out)
 
     kinds = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}
-    fields = [(n, kinds[k]) for n, k in (x.split() for x in CHUNK.split(", "))]
+    schema = CHUNK + (", title string" if with_title else "")
+    fields = [(n, kinds[k]) for n, k in (x.split() for x in schema.split(", "))]
 
     def _batch(rows: list[tuple]) -> pa.RecordBatch:
         columns = list(zip(*rows)) if rows else [()] * len(fields)
         return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, (_, k) in zip(columns, fields)], names=[n for n, _ in fields])
 
-    return sections.select("item_id", "sections").mapInArrow(scan, CHUNK)
+    title = F.col("title") if with_title else F.lit(None).cast("string").alias("title")
+    return sections.select("item_id", "sections", title).mapInArrow(scan, schema)
 
 
 def pack_ranked(ranked: DataFrame, group: str, tokens: int = 1_000, chars: int = 4_200, k: int = 3) -> DataFrame:

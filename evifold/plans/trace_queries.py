@@ -87,7 +87,7 @@ def section_chunks(spark: SparkSession, d: str) -> DataFrame:
 def hybrid_passages(spark: SparkSession, d: str) -> DataFrame:
     """Pages cut to chunks, ranked per page for its first heading by words and by overlap, fused, packed under both budgets."""
     parsed = P.parse_sections(table(spark, d, "crawl_results"), "page_id", "markdown").where("title != ''")
-    chunks = V.chunk_sections(parsed).join(parsed.select("item_id", "title"), "item_id")
+    chunks = V.chunk_sections(parsed, with_title=True)
     asked = F.array_distinct(R.tokens(F.col("title")))
     body = R.tokens(F.concat_ws(" ", "heading", "text"))
     scored = chunks.withColumn("lexical", F.size(F.filter(body, lambda t: F.array_contains(asked, t)))).withColumn("overlap", R.overlap_share(asked, F.array_distinct(body)))
