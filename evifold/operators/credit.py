@@ -84,3 +84,13 @@ def token_surrogate(current: Column, old: Column, behaviour: Column, advantage:
 def effective_sample_share(weight: Column) -> Column:
     """(sum w)^2 / (n * sum w^2) of a group."""
     return F.sum(weight) * F.sum(weight) / (F.count(weight) * F.sum(weight * weight))
+
+
+def surrogate_loss(delta: Column, advantage: Column, clip: float = 0.2, most: float = 20.0) -> Column:
+    """Negative mean of the clipped surrogate over a group of differences of log-probabilities; NULL where one is beyond ``most``, as exp() of it says nothing."""
+    return F.when(F.max(F.abs(delta)) <= most, -F.avg(clipped_surrogate(F.exp(delta), advantage, clip)))
+
+
+def weights_held(raw: Column, cap: float, most_capped: float = 0.05, least_share: float = 0.8) -> Column:
+    """Whether a group is held back: more than ``most_capped`` of its raw weights beyond the cap, or an effective share under ``least_share``."""
+    return (F.avg((raw > cap).cast("double")) > most_capped) | (effective_sample_share(F.least(raw, F.lit(cap))) < least_share)

@@ -91,6 +91,26 @@ def _means_by_join(rows: DataFrame, sizes: DataFrame, group: list[str], resample
     return drawn.join(placed, [*group, "_at"]).groupBy(*group, "r").agg(F.avg("_d").alias("m"))
 
 
+def _resampled(deltas: DataFrame, group: list[str], question: str, delta: str, resamples: int, seed: int) -> tuple[DataFrame, DataFrame]:
+    """(group, n, mean) of the values, and (group, r, m) of their resamples."""
+    rows = deltas.where(F.col(delta).isNotNull()).select(*group, F.col(question).alias("_q"), F.col(delta).cast("double").alias("_d"))
+    sizes = rows.groupBy(*group).agg(F.count(F.lit(1)).alias("n"), F.avg("_d").alias("mean"))
+    few = rows.limit(RESAMPLED_AT_ONCE + 1).count() <= RESAMPLED_AT_ONCE
+    means = _means_by_task(rows, group, resamples, seed) if few else _means_by_join(rows, sizes, group, resamples, seed)
+    return sizes, means
+
+
+def bootstrap_deviation(scores: DataFrame, group: list[str], question: str, score: str, resamples: int = 1_000, seed: int = 20_261_026) -> DataFrame:
+    """(group, n, mean, deviation): mean clipped to 0..1, and the population deviation of the clipped means of the resamples.
+
+    Resamples are drawn as in :func:`bootstrap_interval`; NULL scores are left out.
+    """
+    sizes, means = _resampled(scores, group, question, score, resamples, seed)
+    clipped = lambda x: F.greatest(F.lit(0.0), F.least(F.lit(1.0), x))
+    spread = means.groupBy(*group).agg(F.stddev_pop(clipped(F.col("m"))).alias("deviation"))
+    return sizes.withColumn("mean", clipped(F.col("mean"))).join(spread, group)
+
+
 def bootstrap_interval(deltas: DataFrame, group: list[str], question: str, delta: str, resamples: int = 2_000, seed: int = 20_261_026) -> DataFrame:
     """(group, n, mean, low, high): percentile interval of the mean delta over ``resamples`` resamples of the questions.
 
@@ -100,10 +120,7 @@ def bootstrap_interval(deltas: DataFrame, group: list[str], question: str, delta
     resamples; beyond that the draws are joined to the values. The bounds are the sorted
     means at 2.5 and 97.5 per cent, the 50th and the 1,950th of 2,000. NULL deltas are left out.
     """
-    rows = deltas.where(F.col(delta).isNotNull()).select(*group, F.col(question).alias("_q"), F.col(delta).cast("double").alias("_d"))
-    sizes = rows.groupBy(*group).agg(F.count(F.lit(1)).alias("n"), F.avg("_d").alias("mean"))
-    few = rows.limit(RESAMPLED_AT_ONCE + 1).count() <= RESAMPLED_AT_ONCE
-    means = _means_by_task(rows, group, resamples, seed) if few else _means_by_join(rows, sizes, group, resamples, seed)
+    sizes, means = _resampled(deltas, group, question, delta, resamples, seed)
     at = lambda q: max(1, min(resamples, int(np.ceil(resamples * q))))
     ranked = means.withColumn("_k", F.row_number().over(Window.partitionBy(*group).orderBy("m", "r")))
     bounds = ranked.groupBy(*group).agg(F.max(F.when(F.col("_k") == at(0.025), F.col("m"))).alias("low"), F.max(F.when(F.col("_k") == at(0.975), F.col("m"))).alias("high"))

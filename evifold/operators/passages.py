@@ -214,6 +214,23 @@ def dictionary(df: DataFrame, value: str, least_length: int, least_count: int =
     return frequent.select(value, F.concat(F.lit("@"), F.substring(F.sha2(value, 256), 1, 16)).alias("code"), "n")
 
 
+def packed_column(df: DataFrame, value: str, codes: DataFrame) -> DataFrame:
+    """``df`` with ``packed``: the code of each value of a :func:`dictionary`, its own text otherwise, marked by a leading blank where it begins with the sign of a code.
+
+    A code is shorter than any value of the dictionary, and each stands at least twice, so packing never adds.
+    """
+    joined = df.join(codes.select(F.col(value).alias("_v"), "code"), F.col(value) == F.col("_v"), "left").drop("_v")
+    own = F.when(F.col(value).rlike("^ *@"), F.concat(F.lit(" "), F.col(value))).otherwise(F.col(value))
+    return joined.withColumn("packed", F.coalesce("code", own)).drop("code")
+
+
+def unpacked_column(df: DataFrame, packed: str, codes: DataFrame, value: str) -> DataFrame:
+    """``df`` with ``value``: the text that :func:`packed_column` had; NULL stays NULL, a code that the dictionary lacks raises nothing and stays as it is."""
+    joined = df.join(codes.select(F.col(value).alias("_v"), F.col("code").alias("_c")), F.col(packed) == F.col("_c"), "left")
+    own = F.when(F.col(packed).rlike("^ +@"), F.substring(F.col(packed), 2, 1 << 30)).otherwise(F.col(packed))
+    return joined.withColumn(value, F.coalesce("_v", own)).drop("_v", "_c")
+
+
 def evidence_pack(df: DataFrame, run: list[str], order: list[str], source: str, text: Column, max_sources: int = 6, per_source: int = 3, budget: int = 2_400) -> DataFrame:
     """First-seen evidence: equal texts of a source once, at most six sources and three texts each, texts only whole if they fit.
 

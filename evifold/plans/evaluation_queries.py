@@ -65,6 +65,12 @@ def bootstrap_ci(spark: SparkSession, d: str) -> DataFrame:
     return out.select("arm", "n", *(F.round(c, 6).alias(c) for c in ("mean", "low", "high")))
 
 
+def bootstrap_deviation(spark: SparkSession, d: str) -> DataFrame:
+    rows = cells(spark, d).select("arm", F.concat_ws("/", "round_no", "question_id").alias("q"), (F.col("benchmark_score") / 10).alias("x"))
+    out = V.bootstrap_deviation(rows, ["arm"], "q", "x", 500)
+    return out.select("arm", "n", F.round("mean", 6).alias("mean"), F.round("deviation", 6).alias("deviation"))
+
+
 def leave_one_question(spark: SparkSession, d: str) -> DataFrame:
     """Mean of each arm without the questions of each benchmark in turn."""
     rows = cells(spark, d).where("benchmark_score is not null").withColumn("bench", F.coalesce("bench", F.lit("unknown")))
@@ -121,13 +127,13 @@ def std_advantage(spark: SparkSession, d: str) -> DataFrame:
 
 def clipped_surrogate(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "lineitem").select("l_orderkey", (F.col("l_discount") - F.col("l_tax")).alias("delta"), (F.col("l_quantity") / 50 - 0.5).alias("a"))
-    return rows.groupBy("l_orderkey").agg(F.round(-F.avg(C.clipped_surrogate(F.exp("delta"), F.col("a"))), 6).alias("loss"), F.round(F.avg(C.k3_divergence(F.col("delta"))), 6).alias("kl"))
+    return rows.groupBy("l_orderkey").agg(F.round(C.surrogate_loss(F.col("delta") * 300, F.col("a")), 6).alias("loss"), F.round(F.avg(C.k3_divergence(F.col("delta"))), 6).alias("kl"))
 
 
 def is_weights_ess(spark: SparkSession, d: str) -> DataFrame:
     raw = F.exp(5 * (F.col("l_discount") - F.col("l_tax")))
     rows = table(spark, d, "lineitem").select("l_returnflag", raw.alias("raw"), F.least(raw, F.lit(1.2)).alias("w"))
-    return rows.groupBy("l_returnflag").agg(F.round(C.effective_sample_share(F.col("w")), 6).alias("ess"), F.round(F.avg((F.col("raw") > 1.2).cast("double")), 6).alias("capped"), F.count(F.lit(1)).alias("n"))
+    return rows.groupBy("l_returnflag").agg(F.round(C.effective_sample_share(F.col("w")), 6).alias("ess"), F.round(F.avg((F.col("raw") > 1.2).cast("double")), 6).alias("capped"), F.count(F.lit(1)).alias("n"), C.weights_held(F.col("raw"), 1.2).alias("held"))
 
 
 def learning_signal(spark: SparkSession, d: str) -> DataFrame:
@@ -147,12 +153,17 @@ def pairwise_winner(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("round_no", "question_id", F.when(~F.coalesce(tied, F.lit(False)), F.col("winner")).alias("winner"))
 
 
-QUERIES = {f.__name__: f for f in (grid_summary, paired_wins, common_valid, clipped_mean_rollup, status_pivot, rubric_score_by_tag, bootstrap_ci, leave_one_question, weighted_coverage, strict_process_mean, coverage_gain, slot_first_support, return_to_go, discounted_return, loo_advantage, group_advantage, std_advantage, clipped_surrogate, is_weights_ess, learning_signal, citation_min_group_mean, pairwise_winner)}
+QUERIES = {f.__name__: f for f in (grid_summary, paired_wins, common_valid, clipped_mean_rollup, status_pivot, rubric_score_by_tag, bootstrap_ci, bootstrap_deviation, leave_one_question, weighted_coverage, strict_process_mean, coverage_gain, slot_first_support, return_to_go, discounted_return, loo_advantage, group_advantage, std_advantage, clipped_surrogate, is_weights_ess, learning_signal, citation_min_group_mean, pairwise_winner)}
 
 _VALUE = "CASE WHEN feedback_status = 'ok' THEN 1.0 WHEN feedback_status = 'empty' THEN 0.5 WHEN feedback_status IN ('environment_failure', 'source_unreadable') THEN 0.0 END"
 _GRP = f"WITH {_CELLS}, a AS (SELECT *, CASE WHEN count(process_reward) OVER w = 4 AND count(*) OVER w = 4 THEN process_reward - avg(process_reward) OVER w END AS adv FROM cells WINDOW w AS (PARTITION BY round_no, question_id))"
 _DRAWS = ", ".join(f"{{'i': {i}, 'x': CAST('0x' || substring(h, {8 * i + 1}, 8) AS BIGINT)}}" for i in range(4))
 SQL = {
+    "bootstrap_deviation": f"""WITH {_CELLS}, d AS (SELECT arm, round_no || '/' || question_id AS q, benchmark_score / 10 AS x FROM cells), p AS (SELECT arm, x, row_number() OVER (PARTITION BY arm ORDER BY q, x) AS pos FROM d WHERE x IS NOT NULL),
+n AS (SELECT arm, count(*) AS n, avg(x) AS mean FROM p GROUP BY 1), j AS (SELECT arm, n, r, unnest(range((n - 1) // 4 + 1)) AS j FROM (SELECT arm, n, unnest(range(500)) AS r FROM n)),
+h AS (SELECT *, md5('20261026|' || r || '|' || j) AS h FROM j), z AS (SELECT arm, n, r, j, unnest([{_DRAWS}]) AS z FROM h), k AS (SELECT arm, r, z.x % n + 1 AS pos FROM z WHERE 4 * j + z.i < n),
+m AS (SELECT arm, r, greatest(0.0, least(1.0, avg(x))) AS m FROM k JOIN p USING (arm, pos) GROUP BY 1, 2)
+SELECT arm, n.n, round(greatest(0.0, least(1.0, n.mean)), 6) AS mean, round(stddev_pop(m), 6) AS deviation FROM m JOIN n USING (arm) GROUP BY 1, 2, n.mean""",
     "bootstrap_ci": f"""WITH {_CELLS}, b AS (SELECT round_no, question_id, arg_min(benchmark_score, arm) FILTER (benchmark_score IS NOT NULL) AS base FROM cells GROUP BY 1, 2),
 d AS (SELECT arm, round_no || '/' || question_id AS q, benchmark_score - base AS x FROM cells JOIN b USING (round_no, question_id)), p AS (SELECT arm, x, row_number() OVER (PARTITION BY arm ORDER BY q, x) AS pos FROM d WHERE x IS NOT NULL),
 n AS (SELECT arm, count(*) AS n, avg(x) AS mean FROM p GROUP BY 1), j AS (SELECT arm, n, r, unnest(range((n - 1) // 4 + 1)) AS j FROM (SELECT arm, n, unnest(range(2000)) AS r FROM n)),
@@ -175,8 +186,8 @@ SELECT arm, n.n, round(n.mean, 6) AS mean, round(max(m) FILTER (i = 50), 6) AS l
     "loo_advantage": f"WITH {_CELLS}, m AS (SELECT question_id, arm, avg(process_reward) AS x FROM cells WHERE process_reward IS NOT NULL GROUP BY 1, 2), t AS (SELECT question_id, sum(x) AS s, count(*) AS n FROM m GROUP BY 1) SELECT cell_id, round(process_reward - (s - coalesce(x, 0)) / nullif(n - CASE WHEN x IS NULL THEN 0 ELSE 1 END, 0), 6) AS local_advantage FROM cells LEFT JOIN m USING (question_id, arm) LEFT JOIN t USING (question_id)",
     "group_advantage": _GRP + " SELECT cell_id, round(adv, 6) AS advantage FROM a",
     "std_advantage": "SELECT o_orderkey, CASE WHEN count(*) OVER w >= 2 THEN round((o_totalprice - avg(o_totalprice) OVER w) / (stddev_pop(o_totalprice) OVER w + 1e-8), 6) END AS advantage FROM orders WINDOW w AS (PARTITION BY o_custkey)",
-    "clipped_surrogate": "WITH r AS (SELECT l_orderkey, l_discount - l_tax AS d, l_quantity / 50 - 0.5 AS a FROM lineitem) SELECT l_orderkey, round(-avg(least(exp(d) * a, greatest(0.8, least(1.2, exp(d))) * a)), 6) AS loss, round(avg(exp(d) - 1 - d), 6) AS kl FROM r GROUP BY 1",
-    "is_weights_ess": "WITH r AS (SELECT l_returnflag, exp(5 * (l_discount - l_tax)) AS raw FROM lineitem), w AS (SELECT *, least(raw, 1.2) AS w FROM r) SELECT l_returnflag, round(sum(w) * sum(w) / (count(w) * sum(w * w)), 6) AS ess, round(avg(CAST(raw > 1.2 AS DOUBLE)), 6) AS capped, count(*) AS n FROM w GROUP BY 1",
+    "clipped_surrogate": "WITH r AS (SELECT l_orderkey, l_discount - l_tax AS d, l_quantity / 50 - 0.5 AS a FROM lineitem) SELECT l_orderkey, CASE WHEN max(abs(d * 300)) <= 20 THEN round(-avg(least(exp(d * 300) * a, greatest(0.8, least(1.2, exp(d * 300))) * a)), 6) END AS loss, round(avg(exp(d) - 1 - d), 6) AS kl FROM r GROUP BY 1",
+    "is_weights_ess": "WITH r AS (SELECT l_returnflag, exp(5 * (l_discount - l_tax)) AS raw FROM lineitem), w AS (SELECT *, least(raw, 1.2) AS w FROM r) SELECT l_returnflag, round(sum(w) * sum(w) / (count(w) * sum(w * w)), 6) AS ess, round(avg(CAST(raw > 1.2 AS DOUBLE)), 6) AS capped, count(*) AS n, avg(CAST(raw > 1.2 AS DOUBLE)) > 0.05 OR sum(w) * sum(w) / (count(w) * sum(w * w)) < 0.8 AS held FROM w GROUP BY 1",
     "learning_signal": _GRP + " SELECT question_id, coalesce(bool_or(adv <> 0), false) AS has_signal FROM a GROUP BY 1",
     "citation_min_group_mean": r"WITH g AS (SELECT source, CASE WHEN count(*) = count(score) THEN min(score) END AS low FROM documents WHERE text IS NOT NULL GROUP BY source, trim(regexp_replace(lower(text), '\s+', ' ', 'g'))) SELECT source, CASE WHEN count(*) = count(low) THEN round(avg(low), 6) END AS strict, count(*) AS claims, round(avg(low), 6) AS loose FROM g GROUP BY 1",
     "pairwise_winner": f"WITH {_CELLS}, r AS (SELECT round_no, question_id, arm, benchmark_score, max(benchmark_score) OVER w AS top, rank() OVER (PARTITION BY round_no, question_id ORDER BY benchmark_score DESC) AS k FROM cells WHERE benchmark_score IS NOT NULL WINDOW w AS (PARTITION BY round_no, question_id)) SELECT round_no, question_id, CASE WHEN count(*) = 1 THEN min(arm) END AS winner FROM r WHERE k = 1 GROUP BY 1, 2",

@@ -38,7 +38,7 @@ def repeat_actions(spark: SparkSession, d: str) -> DataFrame:
 def attempts_and_success(spark: SparkSession, d: str) -> DataFrame:
     s = steps(spark, d).where("a.action = 'browse' and a.source_id is not null")
     keyed = s.withColumn("source", E.source_id(F.col("a.source_id")))
-    return keyed.groupBy("run_id", "source").agg(F.count(F.lit(1)).alias("attempts"), F.count_if(F.col("feedback_status") == "ok").alias("successes"))
+    return keyed.groupBy("run_id", "source").agg(F.count(F.lit(1)).alias("attempts"), F.count_if(F.col("feedback_status") == "ok").alias("successes"), (F.count(F.lit(1)) >= 2).alias("used_up"))
 
 
 def call_output_pairing(spark: SparkSession, d: str) -> DataFrame:
@@ -117,7 +117,7 @@ _BEFORE = "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
 SQL = {
     "latest_state_fold": "SELECT run_id, feedback_status FROM (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY turn DESC, log_id DESC) AS r FROM case_steps WHERE run_id IS NOT NULL) WHERE r = 1",
     "repeat_actions": f"WITH {_STEPS}, r AS (SELECT arm, row_number() OVER (PARTITION BY run_id, coalesce(channel, ''), trim(regexp_replace(lower(query), '\\s+', ' ', 'g')) ORDER BY turn, log_id) AS o FROM s WHERE action = 'search' AND run_id IS NOT NULL AND query IS NOT NULL) SELECT arm, count(*) AS searches, count(*) FILTER (o > 1) AS repeated FROM r GROUP BY arm",
-    "attempts_and_success": f"WITH {_STEPS} SELECT run_id, trim(string_split(source, '#')[1]) AS source, count(*) AS attempts, count(*) FILTER (feedback_status = 'ok') AS successes FROM s WHERE action = 'browse' AND source IS NOT NULL GROUP BY ALL",
+    "attempts_and_success": f"WITH {_STEPS} SELECT run_id, trim(string_split(source, '#')[1]) AS source, count(*) AS attempts, count(*) FILTER (feedback_status = 'ok') AS successes, count(*) >= 2 AS used_up FROM s WHERE action = 'browse' AND source IS NOT NULL GROUP BY ALL",
     "call_output_pairing": "WITH l AS (SELECT *, last_value(CASE WHEN event_type IN ('click', 'view', 'purchase') THEN {'c': event_type = 'click', 'v': event_id} END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS l FROM events) SELECT user_id, event_id, l.v AS paired FROM l WHERE event_type IN ('view', 'purchase') AND l.c",
     "budget_charge": f"WITH c AS (SELECT log_id, row_number() OVER (PARTITION BY run_id ORDER BY turn, log_id) AS actual, CAST(least(sum(CASE WHEN feedback_status = 'timeout' THEN 1 ELSE 0 END) OVER (PARTITION BY run_id ORDER BY turn, log_id {_SOFAR}), 5) AS BIGINT) AS exempt, turn FROM case_steps) SELECT log_id, actual, exempt, actual - exempt AS charged, (actual - exempt >= 6 OR actual >= 11 OR coalesce(turn >= 16, false)) AS stopped FROM c",
     "failures_since_ok": f"WITH i AS (SELECT *, sum(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id {_SOFAR}) AS isl FROM events) SELECT event_id, user_id, CAST(sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id, isl ORDER BY ts, event_id {_SOFAR}) AS BIGINT) AS failures FROM i",

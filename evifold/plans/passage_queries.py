@@ -52,6 +52,13 @@ def dict_factor(spark: SparkSession, d: str) -> DataFrame:
     return packed.select("paper_row_id", F.md5("packed").alias("packed"), "n")
 
 
+def dict_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "paper_rows").select("paper_row_id", F.concat(F.when(F.col("paper_row_id") % 7 == 0, "@").otherwise(""), "abstract").alias("abstract"))
+    codes = P.dictionary(rows, "abstract", 120)
+    back = P.unpacked_column(P.packed_column(rows, "abstract", codes).drop("abstract"), "packed", codes, "abstract")
+    return back.select("paper_row_id", F.md5("abstract").alias("abstract"), (F.length("packed") <= F.length("abstract") + 1).alias("no_longer"))
+
+
 def evidence_pack(spark: SparkSession, d: str) -> DataFrame:
     s = steps(spark, d).where("run_id is not null and feedback_status = 'ok' and a.source_id is not null").select("run_id", "turn", "log_id", F.col("a.source_id").alias("source"), F.repeat(F.col("a.reading_focus"), 9).alias("t"))
     return P.evidence_pack(s, ["run_id"], ["turn", "log_id"], "source", F.col("t"))
@@ -70,9 +77,10 @@ def passage_dependencies(spark: SparkSession, d: str) -> DataFrame:
     return marked.groupBy("doc_id").agg(F.count(F.lit(1)).alias("lines"), F.count_if(F.col("scopes") > 0).alias("scoped"), F.max("scopes").alias("scopes"))
 
 
-QUERIES = {f.__name__: f for f in (markdown_sections, html_sections, fixed_chunks, interval_merge, char_budget, fair_share_cap, preview_share, dict_factor, evidence_pack, sentence_overlap_excerpt, passage_dependencies)}
+QUERIES = {f.__name__: f for f in (markdown_sections, html_sections, fixed_chunks, interval_merge, char_budget, fair_share_cap, preview_share, dict_factor, dict_round_trip, evidence_pack, sentence_overlap_excerpt, passage_dependencies)}
 
 SQL = {
+    "dict_round_trip": "SELECT paper_row_id, md5(CASE WHEN paper_row_id % 7 = 0 THEN '@' ELSE '' END || abstract) AS abstract, CASE WHEN abstract IS NOT NULL THEN true END AS no_longer FROM paper_rows",
     "fair_share_cap": """WITH RECURSIVE r AS (SELECT run_id, list(coalesce(length(executed_action), 0) ORDER BY turn, log_id) AS z FROM case_steps WHERE run_id IS NOT NULL GROUP BY 1),
 f AS (SELECT run_id, z, 0 AS pos, 700 AS rest, least(z[1], greatest(1, 700 // len(z))) AS share FROM r
   UNION ALL SELECT run_id, z, pos + 1, rest - share, least(z[pos + 2], CASE WHEN rest - share <= 0 THEN 0 ELSE greatest(1, (rest - share) // (len(z) - pos - 1)) END) FROM f WHERE pos + 1 < len(z))
