@@ -16,7 +16,6 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Row
@@ -294,7 +293,7 @@ def _places(text: str) -> dict[str, int]:
     return out
 
 
-FOUND = "item_id bigint, question_id string, field string, run_words int, lcs_words int, keys int, least_keys int, other_share double, cosine double"
+FOUND = "item_id bigint, question_id string, field string, run_words int, lcs_words int, keys int, least_keys int, passages int, other_share double, cosine double"
 
 
 def find_leaks(
@@ -322,7 +321,7 @@ def find_leaks(
             found = found.unionByName(short_matches(df, pool, id_col, text_col, paraphrases), allowMissingColumns=True)
     pairs = found.groupBy("item_id", "question_id", "field").agg(
         F.max("run_words").alias("run_words"), F.max("lcs_words").alias("lcs_words"), F.bit_or("keys").alias("keys"), F.max("least_keys").alias("least_keys"),
-        F.sum(F.when(F.col("lcs_words") >= LCS_LEAST, 1).otherwise(0)).alias("passages"), F.max("other_share").alias("other_share"), F.round(F.max("cosine"), 3).alias("cosine"),
+        F.sum("passages").cast("int").alias("passages"), F.max("other_share").alias("other_share"), F.round(F.max("cosine"), 3).alias("cosine"),
     )
     own = F.bit_count("keys") >= F.col("least_keys")
     near = own & ((F.col("passages") >= NEAR_LEAST) | (F.col("passages") >= 1) & (F.col("other_share") >= OTHER_SHARE))
@@ -342,61 +341,95 @@ def _longest_run(window: str, held: str) -> int:
     return 0
 
 
+def lcs_lengths(windows: np.ndarray, passages: np.ndarray) -> np.ndarray:
+    """Lengths of the longest common subsequences of rows of word numbers, pair by pair; 0 is no word and equals nothing."""
+    best = np.zeros((len(windows), passages.shape[1] + 1), np.int16)
+    for k in range(windows.shape[1]):
+        w = windows[:, k, None]
+        step = np.maximum(best[:, 1:], best[:, :-1] + ((passages == w) & (w > 0)))
+        np.maximum.accumulate(step, axis=1, out=best[:, 1:])
+    return best[:, -1]
+
+
+#: Cells of the tables that are filled at a time for the common subsequences; bounds memory, not results.
+CELLS = 8_000_000
+
+
+def _pair_lengths(ids: np.ndarray, rows: np.ndarray, held: np.ndarray, words_of: list[np.ndarray]) -> np.ndarray:
+    """Lengths of the common subsequences of windows ``ids[rows]`` and passages ``held``, in slices of CELLS."""
+    out = np.zeros(len(rows), np.int16)
+    sizes = np.array([len(words_of[p]) for p in held])
+    order = np.argsort(sizes, kind="stable")
+    at = 0
+    while at < len(order):
+        n = max(1, CELLS // (sizes[order[at]] + 1))
+        part = order[at : at + n]
+        part = part[: max(1, int(np.searchsorted(sizes[part], 2 * sizes[order[at]], "right")))]
+        known, where = np.unique(held[part], return_inverse=True)
+        table = np.zeros((len(known), max(len(words_of[p]) for p in known)), np.uint32)
+        for r, p in enumerate(known):
+            table[r, : len(words_of[p])] = words_of[p]
+        out[part] = lcs_lengths(ids[rows[part]], table[where])
+        at += len(part)
+    return out
+
+
 def _candidates(windows: DataFrame, pool: Pool, block: slice, weights: np.ndarray, basis: np.ndarray, paraphrases: bool, cosine: float) -> DataFrame:
-    """Passages of the corpus with the passages of one block of the pool near them, after the checks."""
-    rare = [_rarest({_number(c) for c in text}, weights) for text in pool.passages]
+    """Passages of the corpus with the passages of one block of the pool near them, after the checks, summed up per batch."""
+    numbers = [np.fromiter(map(_number, text), np.uint32, len(text)) for text in pool.passages]
+    rare = np.zeros((len(numbers), KEYS), np.uint32)
+    for p, ids in enumerate(numbers):
+        keys = _rarest(set(ids.tolist()), weights)
+        rare[p, : len(keys)] = keys
     opposite = {"problem": "accepted_answer", "accepted_answer": "problem"}
     other = [np.array(_rarest(pool.sides[q, opposite[name]], weights), np.uint32) for q, name in zip(pool.questions, pool.fields)]
     targets = np.ascontiguousarray(_latent(pool.windows[block], weights, basis).T)
-    shared = windows.sparkSession.sparkContext.broadcast((weights, basis, targets, pool.passage_of[block], pool.passages, pool.questions, pool.fields, rare, other))
+    shared = windows.sparkSession.sparkContext.broadcast((weights, basis, targets, pool.passage_of[block], pool.passages, numbers, pool.questions, pool.fields, rare, other))
     least = LCS_LEAST if paraphrases else RUN
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights, basis, targets, owner, passages, questions, fields, rare, other = shared.value
-        places: dict[int, dict[str, int]] = {}
+        weights, basis, targets, owner, passages, numbers, questions, fields, rare, other = shared.value
+        needed = np.ceil(KEYS_SHARE * (rare > 0).sum(axis=1)).astype(np.int32)
+        bit = (1 << np.arange(KEYS)).astype(np.int32)
         document = np.zeros(0, np.uint32)
         for batch in batches:
-            out: list[tuple] = []
-            matrix = _matrix(batch.column(1).to_pylist())
-            items, held_words = batch.column(0).to_pylist(), batch.column(2).to_pylist()
-            shares: dict[int, float] = {}
-            seen = -1
+            matrix, items = _matrix(batch.column(1).to_pylist()), batch.column(0).to_numpy()
+            opened = [k for k, h in enumerate(batch.column(2).is_valid().to_pylist()) if h]
+            texts = [document, *(np.frombuffer(batch.column(2)[k].as_py(), np.uint32) for k in opened)]
+            text_of = np.searchsorted(opened, np.arange(len(matrix)), "right")
+            parts: list[tuple[np.ndarray, ...]] = []
             for lo in range(0, len(matrix), 256):
                 ids = matrix[lo : lo + 256]
                 near = _latent(ids, weights, basis) @ targets
-                rows, columns = np.nonzero(near >= cosine)
-                keys, where = np.unique(rows.astype(np.int64) * len(passages) + owner[columns], return_inverse=True)
+                r, c = np.nonzero(near >= cosine)
+                keys, where = np.unique(r.astype(np.int64) * len(passages) + owner[c], return_inverse=True)
+                if not len(keys):
+                    continue
                 best = np.zeros(len(keys))
-                np.maximum.at(best, where, near[rows, columns])
-                text: dict[int, str] = {}
-                for key, c in zip(keys.tolist(), best.tolist()):
-                    row, p = divmod(key, len(passages))
-                    if row not in text:
-                        text[row] = "".join(map(_char, ids[row].tolist()))
-                    if p not in places:
-                        places[p] = _places(passages[p])
-                    known = places[p]
-                    if len([1 for w in text[row] if w in known]) < least:
-                        continue  # no longer subsequence than words in common
-                    lcs = lcs_length(text[row], known)
-                    if lcs < least:
-                        continue
-                    run = _longest_run(text[row], passages[p]) if lcs >= RUN else 0
-                    if not run and not paraphrases:
-                        continue
-                    for k in range(seen + 1, lo + row + 1):
-                        if held_words[k] is not None:
-                            document, shares = np.frombuffer(held_words[k], np.uint32), {}
-                    seen = lo + row
-                    if p not in shares:
-                        shares[p] = float(np.isin(other[p], document).mean()) if len(other[p]) else 0.0
-                    here = set(ids[row].tolist())
-                    bits = sum((r in here) << k for k, r in enumerate(rare[p]))
-                    out.append((items[lo + row], questions[p], fields[p], run, lcs, bits, int(np.ceil(KEYS_SHARE * len(rare[p]))), shares[p], float(c)))
-            for k in range(seen + 1, len(held_words)):
-                if held_words[k] is not None:
-                    document = np.frombuffer(held_words[k], np.uint32)
-            yield pa.RecordBatch.from_pandas(pd.DataFrame(out, columns=arrow.names), schema=arrow, preserve_index=False)
+                np.maximum.at(best, where, near[r, c])
+                row, held = np.divmod(keys, len(passages))
+                lcs = _pair_lengths(ids, row, held, numbers)
+                row, held, lcs, best = (x[lcs >= least] for x in (row, held, lcs, best))
+                run = np.zeros(len(row), np.int32)
+                for n in np.flatnonzero(lcs >= RUN):
+                    run[n] = _longest_run("".join(map(_char, ids[row[n]].tolist())), passages[held[n]])
+                if not paraphrases:
+                    row, held, lcs, best, run = (x[run > 0] for x in (row, held, lcs, best, run))
+                bits = ((rare[held][:, :, None] == ids[row][:, None, :]) & (rare[held] > 0)[:, :, None]).any(axis=2) @ bit
+                parts.append((text_of[lo + row], held, items[lo + row], run, lcs.astype(np.int32), bits.astype(np.int32), best))
+            document = texts[-1]
+            text, held, item, run, lcs, bits, best = (np.concatenate(x) for x in zip(*parts)) if parts else (np.zeros(0, np.int64),) * 7
+            order = np.lexsort((held, text))
+            text, held, item, run, lcs, bits, best = (x[order] for x in (text, held, item, run, lcs, bits, best))
+            first = np.flatnonzero(np.concatenate(([True], (text[1:] != text[:-1]) | (held[1:] != held[:-1])))) if len(text) else np.zeros(0, np.int64)
+            over = lambda f, x: f.reduceat(x, first) if len(first) else x[:0]
+            owners = held[first]
+            share = [float(np.isin(other[p], texts[t]).mean()) if len(other[p]) else 0.0 for t, p in zip(text[first], owners)]
+            columns = [
+                item[first], [questions[p] for p in owners], [fields[p] for p in owners], over(np.maximum, run), over(np.maximum, lcs), over(np.bitwise_or, bits), needed[owners],
+                over(np.add, (lcs >= LCS_LEAST).astype(np.int32)), share, over(np.maximum, best),
+            ]
+            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(columns, arrow)], schema=arrow)
 
     kinds = {"bigint": pa.int64(), "string": pa.string(), "int": pa.int32(), "double": pa.float64()}
     arrow = pa.schema([(name, kinds[kind]) for name, kind in (x.split() for x in FOUND.split(", "))])

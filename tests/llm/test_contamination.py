@@ -114,3 +114,16 @@ def test_pool_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(contamination, "POOL_ROWS", 15)
     monkeypatch.setattr(contamination, "POOL_WORDS", 150)
     assert {(r.item_id, r.question_id) for r in find_leaks(df, held, paraphrases=False).where("kind = 'verbatim'").collect()} == _brute(docs, pool)
+
+
+def test_common_subsequences_of_many_pairs():
+    rng = np.random.RandomState(4)
+    windows, passages = rng.randint(0, 6, (300, 16)).astype(np.uint32), rng.randint(0, 6, (300, 40)).astype(np.uint32)
+    passages[:100, 25:] = 0
+    for w, p, n in zip(windows, passages, contamination.lcs_lengths(windows, passages)):
+        text = "".join(contamination._char(x) for x in w if x)
+        held = "".join(contamination._char(x) for x in p if x)
+        assert n == lcs_length(text, _places(held))
+    lists = [p[p > 0] for p in passages]
+    pairs = contamination._pair_lengths(windows, np.arange(300), np.arange(300), lists)
+    assert (pairs == contamination.lcs_lengths(windows, passages)).all()
