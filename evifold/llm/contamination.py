@@ -351,6 +351,8 @@ def lcs_lengths(windows: np.ndarray, passages: np.ndarray) -> np.ndarray:
     return best[:, -1]
 
 
+#: Bytes of a table of the words of each passage, by which pairs are told apart at once; without it all are compared.
+MEMBER_BYTES = 200_000_000
 #: Cells of the tables that are filled at a time for the common subsequences; bounds memory, not results.
 CELLS = 8_000_000
 
@@ -391,6 +393,11 @@ def _candidates(windows: DataFrame, pool: Pool, block: slice, weights: np.ndarra
         weights, basis, targets, owner, passages, numbers, questions, fields, rare, other = shared.value
         needed = np.ceil(KEYS_SHARE * (rare > 0).sum(axis=1)).astype(np.int32)
         bit = (1 << np.arange(KEYS)).astype(np.int32)
+        member = None
+        if len(passages) * len(weights) <= MEMBER_BYTES:
+            member = np.zeros((len(passages), len(weights)), bool)
+            for p, words_of in enumerate(numbers):
+                member[p, words_of] = True
         document = np.zeros(0, np.uint32)
         for batch in batches:
             matrix, items = _matrix(batch.column(1).to_pylist()), batch.column(0).to_numpy()
@@ -408,6 +415,9 @@ def _candidates(windows: DataFrame, pool: Pool, block: slice, weights: np.ndarra
                 best = np.zeros(len(keys))
                 np.maximum.at(best, where, near[r, c])
                 row, held = np.divmod(keys, len(passages))
+                if member is not None:  # no common subsequence is longer than the number of words in common
+                    enough = member[held[:, None], ids[row]].sum(axis=1) >= least
+                    row, held, best = row[enough], held[enough], best[enough]
                 lcs = _pair_lengths(ids, row, held, numbers)
                 row, held, lcs, best = (x[lcs >= least] for x in (row, held, lcs, best))
                 run = np.zeros(len(row), np.int32)
